@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.catalog import table
+from lodestrata.llm import chunking, languages, mixing, packing, survivors
 from lodestrata.llm import near_duplicates as nd
 
 
@@ -22,5 +23,123 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.duplicate_groups(*_near_duplicates(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-ORACLES: dict[str, str] = {}
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk(table(spark, sf_dir, "docs"), limit=450, overlap=40)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = p2_pieces(spark, sf_dir).where("start = 0 and section_tokens > 450")
+    return first.select("doc_id", "section_no", "heading_path")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _, _ = survivors.survivors(table(spark, sf_dir, "docs"))
+    return records.select("group_id", "survivor_id", "title_id", "mtime_id")
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "docs"))[0]
+
+
+def p4_true_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "docs"))[1]
+
+
+def p4_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "docs"))[2]
+
+
+def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_placed(spark, sf_dir).where("piece_no = 1").select("doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by how full they are, in twentieths of the capacity."""
+    full = p6_placed(spark, sf_dir).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return full.groupBy(F.floor(F.col("tokens") * 20 / 2048).alias("twentieths")).agg(F.count("*").alias("n_containers"), F.sum("tokens").alias("tokens"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("outcome <> 'once'").select("source", "outcome")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, samples = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")
+    profiles = languages.refit_profiles(languages.fit_profiles(samples), samples, docs)
+    return docs, languages.language_segments(docs, profiles)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.relabelled(*_languages(spark, sf_dir)).select("doc_id", "segment_no", "lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_records": p4_records,
+    "p4_true_values": p4_true_values,
+    "p4_source_quality": p4_source_quality,
+    "p6_found": p6_found,
+    "p6_placed": p6_placed,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_sample": p7_sample,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+}
+
+_TOKENS = "CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END"
+_TARGETS = f"""
+WITH sized AS (
+  SELECT {_TOKENS} AS tokens, regexp_replace(regexp_replace(lower(trim(source)), '/+$', ''), '[ _]', '-', 'g') AS source FROM documents),
+t AS (
+  SELECT m.source, m.max_repeats, m.target_share * (SELECT sum(tokens) FROM sized) AS need,
+    coalesce((SELECT sum(tokens) FROM sized s WHERE s.source = m.source), 0) AS own FROM mix_targets m)
+"""
+_GROUPS = """
+WITH RECURSIVE e AS (
+  SELECT d.id AS a, d.dup_of_id AS b FROM docs d JOIN docs o ON o.id = d.dup_of_id WHERE d.id <> d.dup_of_id
+  UNION SELECT d.dup_of_id, d.id FROM docs d JOIN docs o ON o.id = d.dup_of_id WHERE d.id <> d.dup_of_id),
+reach AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+grouped AS (SELECT a AS id, min(b) AS group_id FROM reach GROUP BY a),
+timed AS (
+  SELECT g.group_id, d.id, lower(trim(coalesce(d.status, ''))) AS status, lower(trim(coalesce(d.title, ''))) AS title,
+    CASE WHEN mtime >= 1420070400 AND mtime < 1767225600 THEN mtime
+         WHEN mtime / 1e3 >= 1420070400 AND mtime / 1e3 < 1767225600 THEN mtime / 1e3
+         WHEN mtime / 1e6 >= 1420070400 AND mtime / 1e6 < 1767225600 THEN mtime / 1e6 END AS at_
+  FROM docs d JOIN grouped g ON g.id = d.id),
+ranked AS (
+  SELECT *, CASE status WHEN 'canonical' THEN 0 WHEN 'plan' THEN 1 WHEN 'duplicate' THEN 2 WHEN 'stale' THEN 3 WHEN 'superseded' THEN 4 ELSE 5 END AS trust FROM timed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust, at_ DESC NULLS LAST, id DESC) AS k FROM ranked)
+"""
+ORACLES = {
+    "p4_found": _GROUPS
+    + """SELECT group_id, max(id) FILTER (WHERE k = 1) AS survivor_id, arg_min(id, k) FILTER (WHERE title NOT IN ('', 'untitled')) AS title_id,
+      arg_max(id, (at_, id)) FILTER (WHERE at_ IS NOT NULL) AS mtime_id FROM placed GROUP BY group_id""",
+    "p6_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 2048",
+    "p7_found": _TARGETS + "SELECT source, CASE WHEN need > max_repeats * own THEN 'short' ELSE 'repeat' END AS outcome FROM t WHERE need > own OR need > max_repeats * own",
+}
