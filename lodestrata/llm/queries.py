@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.catalog import table
-from lodestrata.llm import chunking, languages, mixing, packing, survivors
+from lodestrata.llm import chunking, languages, mixing, packing, survivors, vector_graph
 from lodestrata.llm import near_duplicates as nd
 
 
@@ -49,6 +49,42 @@ def p4_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, "docs"))[2]
 
 
+VECTORS = ("vec_docs", "vec_chunks")
+#: The beam that finds near copies: those are the nearest of all, so a narrow one reaches them.
+NARROW = 24
+
+
+def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
+    found = [of(vector_graph.usable(table(spark, sf_dir, name))).select(F.lit(name).alias("vec_table"), "*") for name in VECTORS]
+    return found[0].unionByName(found[1])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, at_least=0.85, beam=NARROW))
+    return near.select("vec_table", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10))
+
+
+def _hundredths(v: DataFrame) -> DataFrame:
+    return v.where("id % 100 = 0").select("id")
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, queries=_hundredths(v)))
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the true ten nearest that p5_search finds, by table, and of those of 0.85 or more."""
+    keys = ["vec_table", "id", "neighbour"]
+    found = p5_search(spark, sf_dir).select(*keys, F.lit(1).alias("found"))
+    true = _each_vector_table(spark, sf_dir, lambda v: vector_graph.exact_neighbours(v, _hundredths(v), k=10))
+    both = true.join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.groupBy("vec_table").agg(F.count("*").alias("n_true"), F.avg("found").alias("recall"), F.avg(F.when(F.col("similarity") >= 0.85, F.col("found"))).alias("recall_near"))
+
+
 def p6_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -102,6 +138,10 @@ QUERIES = {
     "p4_records": p4_records,
     "p4_true_values": p4_true_values,
     "p4_source_quality": p4_source_quality,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
+    "p5_search": p5_search,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p6_placed": p6_placed,
     "p6_fill": p6_fill,
@@ -136,7 +176,17 @@ ranked AS (
   SELECT *, CASE status WHEN 'canonical' THEN 0 WHEN 'plan' THEN 1 WHEN 'duplicate' THEN 2 WHEN 'stale' THEN 3 WHEN 'superseded' THEN 4 ELSE 5 END AS trust FROM timed),
 placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY trust, at_ DESC NULLS LAST, id DESC) AS k FROM ranked)
 """
+_COSINES = """
+WITH usable AS (
+  SELECT t, id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM (
+    SELECT 'vec_docs' AS t, id, embedding FROM vec_docs UNION ALL SELECT 'vec_chunks', id, embedding FROM vec_chunks)
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT a.t, a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM usable a JOIN usable b ON a.t = b.t AND a.id <> b.id),
+top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY t, id ORDER BY s DESC, other) <= 10)
+"""
 ORACLES = {
+    "p5_found": _COSINES + "SELECT DISTINCT t AS vec_table, least(id, other) AS id_a, greatest(id, other) AS id_b FROM top WHERE s >= 0.85",
     "p4_found": _GROUPS
     + """SELECT group_id, max(id) FILTER (WHERE k = 1) AS survivor_id, arg_min(id, k) FILTER (WHERE title NOT IN ('', 'untitled')) AS title_id,
       arg_max(id, (at_, id)) FILTER (WHERE at_ IS NOT NULL) AS mtime_id FROM placed GROUP BY group_id""",
