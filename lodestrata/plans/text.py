@@ -65,7 +65,7 @@ def literal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     "document_titles",
     rf"""SELECT id, coalesce(nullif({_strip(f"regexp_extract({_BODY}[1:2000], '(?m)^#[ \t]+([^\n]+)', 1)")}, ''),
       nullif({_strip(f"regexp_extract({_BODY}[1:2000], '(?m)^#{{1,6}}[ \t]+([^\n]+)', 1)")}, ''), {_front("title")},
-      nullif({_strip(f"regexp_extract({_BODY}, '(?m)^[^\S\n]*(\S[^\n]*)', 1)")}[1:120], ''), 'Untitled') AS title FROM docs WHERE content IS NOT NULL""",
+      nullif({_strip(rf"regexp_extract({_BODY}, '(?m)^[^\S\n]*(\S[^\n]*)', 1)")}[1:120], ''), 'Untitled') AS title FROM docs WHERE content IS NOT NULL""",
 )
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "docs").where("content is not null").select("id", T.document_title(F.col("content")).alias("title"))
