@@ -32,7 +32,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 def best(found: DataFrame, of: str, other: str, k: int, by: str = "similarity") -> DataFrame:
     """The k best of each, the smaller id first on a tie; the limit is applied within tasks before the shuffle too."""
     order = Window.partitionBy(of).orderBy(F.desc(by), other)
-    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    # The limit must be on the row number itself for Spark to apply it before the shuffle.
+    return found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
 def _blocked(vectors: DataFrame, size: int, ids: str, xs: str) -> DataFrame:

@@ -141,8 +141,7 @@ def best_per_document(hits: DataFrame, limit: int = 12, offset: int = 0) -> Data
     first = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "id"))
     one = hits.withColumn("k", first).where("k = 1")
     one = one.withColumn("share", F.round(F.col("score") / F.max("score").over(Window.partitionBy("qid")), 6))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")) - 1
-    return one.withColumn("rank", place).where((F.col("rank") >= offset) & (F.col("rank") < offset + limit)).select("qid", "doc_id", "id", "score", "share", "rank")
+    return best(one, "qid", "doc_id", offset + limit, "score").where(F.col("rank") >= offset).select("qid", "doc_id", "id", "score", "share", "rank")
 
 
 def facet_counts(hits: DataFrame, tags: DataFrame, active: list[str], limit: int = 12) -> DataFrame:

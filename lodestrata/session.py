@@ -25,21 +25,24 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
     return spark
 
 
+#: Folders made for local sessions that have none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
     Only a local master, whose executors all run on this machine, may fall back
     to a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or _own.get(context.applicationId)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
+    return _own[context.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
