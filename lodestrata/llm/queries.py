@@ -50,8 +50,8 @@ def p4_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTORS = ("vec_docs", "vec_chunks")
-#: The beam that finds near copies: those are the nearest of all, so a narrow one reaches them.
-NARROW = 24
+#: Beams, for building and for searching, that find near copies: those are the nearest of all, so narrow ones reach them.
+NARROW = (48, 48)
 
 
 def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
@@ -60,7 +60,7 @@ def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, at_least=0.85, beam=NARROW))
+    near = _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, at_least=0.85, build_beam=NARROW[0], beam=NARROW[1], near_only=True))
     return near.select("vec_table", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

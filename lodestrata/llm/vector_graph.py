@@ -23,16 +23,19 @@ from lodestrata.session import materialize
 DEGREE, SLACK, ALPHA = 24, 32, 1.2
 #: Beam widths of the searches that build the graph and of those that answer; nodes expanded at once.
 BUILD_BEAM, BEAM, EXPAND = 48, 128, 4
+#: Candidates of a node that are looked at in pruning, the nearest.
+CAP = 48
 #: Vectors searched at once; vectors that join the graph at once; nodes that searches may start from, and how many of them do.
 BLOCK, BATCH, GATES, STARTS = 256, 4096, 1024, 8
 #: Vectors of a shard on average, those sampled for centroids, and the shards asked at most.
-SHARD, SAMPLE, PROBES = 48_000, 20_000, 8
+SHARD, SAMPLE, PROBES = 150_000, 20_000, 8
 
 
 class Graph:
     """A directed graph over unit vectors, for searches from a few gates."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1, degree: int = DEGREE, beam: int = BUILD_BEAM):
+    def __init__(self, x: np.ndarray, seed: int = 1, degree: int = DEGREE, beam: int = BUILD_BEAM, note: float | None = None):
+        self.note, self.noted = note, []
         self.order = np.random.default_rng(seed).permutation(len(x))
         self.x = np.ascontiguousarray(x[self.order], np.float32)
         self.n, self.degree = 0, degree
@@ -54,6 +57,9 @@ class Graph:
         if self.n:
             found, close = self.search(q, beam)
             ids, sims = np.concatenate([ids, found], 1), np.concatenate([sims, close], 1)
+        if self.note is not None:
+            row, col = np.nonzero(sims >= self.note)
+            self.noted.append((new[row], ids[row, col], sims[row, col]))
         for at in range(0, len(new), 512):
             rows = new[at : at + 512]
             self.edges[rows, : self.degree], self.sims[rows, : self.degree] = self._prune(ids[at : at + 512], sims[at : at + 512])
@@ -62,9 +68,12 @@ class Graph:
 
     def _prune(self, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The diverse neighbours among candidates: the nearest is kept, and drops those ALPHA times nearer to it than to the node."""
+        if ids.shape[1] > CAP:
+            near = np.argpartition(-sims, CAP - 1, axis=1)[:, :CAP]
+            ids, sims = np.take_along_axis(ids, near, 1), np.take_along_axis(sims, near, 1)
         order = np.argsort(-sims, axis=1)
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        v = self.x[np.maximum(ids, 0)]
+        v = self.x.take(np.maximum(ids, 0).ravel(), axis=0).reshape(*ids.shape, -1)
         between = (1 - v @ v.transpose(0, 2, 1)) * ALPHA
         live = sims > -9
         away = 1 - sims
@@ -116,6 +125,15 @@ class Graph:
             out[at : at + 4096] = (added[at : at + 4096, :, None] == self.edges[nodes[at : at + 4096]][:, None, :]).any(2)
         return out
 
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, node) of the pairs of at least the noted similarity that searches met while the graph was built, in both directions, each once.
+
+        Of two near vectors the later to join meets the earlier, so both have the other.
+        """
+        a, b = (np.concatenate([n[k] for n in self.noted]).astype(np.int64) if self.noted else np.empty(0, np.int64) for k in (0, 1))
+        key = np.unique(np.concatenate([a * self.n + b, b * self.n + a]))
+        return key // max(1, self.n), key % max(1, self.n)
+
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of a beam for each query, in no order; -1 and -9 where it holds fewer."""
         parts = [self._search(queries[at : at + BLOCK], beam) for at in range(0, len(queries), BLOCK)]
@@ -143,19 +161,20 @@ class Graph:
             if not len(active):
                 break
             done[active[:, None], pick] = True
-            near = self.edges[np.where(live, ids[active[:, None], pick], 0)]
-            near[~live] = -1
+            near = self.edges.take(np.where(live, ids[active[:, None], pick], 0).ravel(), axis=0)
+            near[~live.ravel()] = -1
             near = near.reshape(len(active), -1)
-            row, col = np.nonzero(near >= 0)
-            key = active[row] * n + near[row, col]
-            key = key[~seen[key]]
+            key = (active.astype(np.int64) * n)[:, None] + near
+            key = key[near >= 0]
+            key = key[~seen.take(key)]
             key.sort()
             key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             seen[key] = True
-            row, node = np.divmod(key, n)
-            sim = np.einsum("ij,ij->i", q[row], self.x[node])
-            better = sim > sims.min(1)[row]
-            row, node, sim = row[better], node[better], sim[better]
+            row = key // n
+            node = key - row * n
+            sim = np.einsum("ij,ij->i", q.take(row, axis=0), self.x.take(node, axis=0))
+            better = np.flatnonzero(sim > sims.min(1).take(row))
+            row, node, sim = row.take(better), node.take(better), sim.take(better)
             if not len(row):
                 continue
             head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -164,13 +183,15 @@ class Graph:
             place = np.arange(len(row)) - np.repeat(head, count)
             width = beam + int(count.max())
             wide_sims = np.full((len(rows), width), -9, np.float32)
+            # A node's number, or -2 less it once it was expanded.
             wide_ids = np.full((len(rows), width), -1, np.int32)
-            wide_done = np.ones((len(rows), width), bool)
-            wide_sims[:, :beam], wide_ids[:, :beam], wide_done[:, :beam] = sims[rows], ids[rows], done[rows]
-            local = np.repeat(np.arange(len(rows)), count)
-            wide_sims[local, beam + place], wide_ids[local, beam + place], wide_done[local, beam + place] = sim, node, False
-            best = np.argpartition(-wide_sims, beam - 1, axis=1)[:, :beam]
-            sims[rows], ids[rows], done[rows] = np.take_along_axis(wide_sims, best, 1), np.take_along_axis(wide_ids, best, 1), np.take_along_axis(wide_done, best, 1)
+            old, finished = ids.take(rows, axis=0), done.take(rows, axis=0)
+            wide_sims[:, :beam], wide_ids[:, :beam] = sims.take(rows, axis=0), np.where(finished, -2 - old, old)
+            spot = np.repeat(np.arange(len(rows)) * width + beam, count) + place
+            wide_sims.ravel()[spot], wide_ids.ravel()[spot] = sim, node
+            best = np.argpartition(-wide_sims, beam - 1, axis=1)[:, :beam] + (np.arange(len(rows)) * width)[:, None]
+            kept = wide_ids.ravel().take(best)
+            sims[rows], ids[rows], done[rows] = wide_sims.ravel().take(best), np.where(kept < 0, -2 - kept, kept), kept < 0
         return ids, sims
 
 
@@ -185,8 +206,27 @@ def nearest(graph: Graph, raw: np.ndarray, ids: np.ndarray, queries: np.ndarray,
     top = np.argsort(-sims, axis=1)[:, : k + 6]
     found, sims = np.take_along_axis(found, top, 1), np.take_along_axis(sims, top, 1)
     row, col = np.nonzero((found >= 0) & (sims >= at_least - 1e-4))
-    node = graph.order[found[row, col]]
-    a, b = queries[row].astype(np.float64), raw[node].astype(np.float64)
+    return _exact(raw, ids, queries, query_ids, row, graph.order[found[row, col]], k, at_least)
+
+
+def met_while_building(graph: Graph, raw: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, at_least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, similarity) for the asked rows of the graph: what the building met, but rows that met k or more are searched for, as more may be near than a building search holds."""
+    a, b = graph.met()
+    a, b = graph.order[a], graph.order[b]
+    crowded = (np.bincount(a, minlength=len(ids)) >= k) & asked
+    some = asked[a] & ~crowded[a]
+    row, other, similarity = _exact(raw, ids, raw, ids, a[some], b[some], k, at_least)
+    yield ids[row], other, similarity
+    full = np.flatnonzero(crowded)
+    for at in range(0, len(full), 8192):
+        part = full[at : at + 8192]
+        row, other, similarity = nearest(graph, raw, ids, raw[part], ids[part], k, at_least, beam)
+        yield ids[part][row], other, similarity
+
+
+def _exact(raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, row: np.ndarray, node: np.ndarray, k: int, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (row of queries, node) with their exact similarity, the k best of each row."""
+    a, b = queries.take(row, axis=0).astype(np.float64), raw.take(node, axis=0).astype(np.float64)
     exact = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b)), 6)
     keep = (exact >= at_least) & (ids[node] != query_ids[row])
     row, other, exact = row[keep], ids[node[keep]], exact[keep]
@@ -218,7 +258,7 @@ def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding"
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & fine & some)
 
 
-def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, probes: int = PROBES, beam: int = BEAM, build_beam: int = BUILD_BEAM, near_only: bool = False) -> DataFrame:
     """(id, neighbour, similarity) of the k most similar other rows of every row of usable(vectors) frames.
 
     With queries, a frame (id), only those rows are asked for, against all. The
@@ -227,6 +267,11 @@ def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries:
     is approximate: a true neighbour can be missed. Of a row's neighbours those
     in the probes nearest shards (all, where there are no more) can be found.
 
+    With near_only, for an at_least far above the similarity of unrelated rows,
+    a row's neighbours in its own shard are those that the building met, and
+    only rows that met k or more are searched for; a lighter graph (build_beam)
+    and a narrow beam do for that.
+
     Rows of equal vectors are one node, so copies neither crowd the graph nor
     each other out: their k + 1 smallest ids stand for them. A shard never
     exceeds three times the stated size, as larger ones are split by a hash. Ids
@@ -251,7 +296,7 @@ def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries:
     shards = _Shards(nodes, n, shard, sample, probes)
     sent = nodes.mapInArrow(shards.route, "shard int, away boolean, id long, asked boolean, v array<float>")
     sent = sent.repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "away")
-    found = sent.mapInArrow(_answers(k, at_least, beam), "node long, other long, similarity double")
+    found = sent.mapInArrow(_answers(k, at_least, beam, build_beam, near_only), "node long, other long, similarity double")
     if shards.count > 1:
         found = _best(found, "node", "other", k)
     # Copies: a neighbour stands for its smallest ids, an asked node for all of its rows, and copies are neighbours of each other.
@@ -321,7 +366,7 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), np.float32)
 
 
-def _answers(k: int, at_least: float, beam: int):
+def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         graph = raw = ids = None
@@ -336,10 +381,12 @@ def _answers(k: int, at_least: float, beam: int):
             nonlocal graph, raw, ids, held
             ids, raw, asked = (np.concatenate(x) for x in zip(*held, strict=True))
             held = []
-            graph = Graph(unit(raw))
-            # In the order of the graph, so that a block's rows are close in memory.
-            own = np.flatnonzero(asked)
-            yield from reply(ids[own], raw[own])
+            graph = Graph(unit(raw), beam=build_beam, note=at_least - 1e-4 if near_only else None)
+            if near_only:
+                for node, other, similarity in met_while_building(graph, raw, ids, asked, k, at_least, beam):
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
+            else:
+                yield from reply(ids[asked], raw[asked])
 
         for batch in batches:
             if not batch.num_rows:
