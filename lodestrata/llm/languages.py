@@ -105,6 +105,8 @@ def _grams(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _ranked(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, n-gram, rank) of the distinct n-grams of each owner, most frequent first; ties share their middle rank."""
     keys = (owner.astype(np.int64) << 21) | grams
+    if not len(keys):
+        return keys, keys, keys
     keys.sort()
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     counts = np.diff(np.r_[first, len(keys)])
