@@ -39,8 +39,9 @@ def shares(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     Documents with no or an unknown source count in T and are in no mix. A null
     share counts as 0, null or negative max_repeats as 0. A document of 0 tokens
     or a null id is in no mix, and of rows with one id each is drawn alike. The
-    draw never exceeds a budget: it takes the documents, by key, as long as
-    their running sum fits. A source or a mix of nothing has the share null.
+    draw takes the documents, by key, as long as at least half of each fits into
+    what is left of the budget, so it ends as near to it as the last one allows.
+    Shares of a mix of nothing are null.
 
     Keys are binned per source on the scale of their distribution; bins before
     the one that holds the end of the budget are taken whole, and only that bin
@@ -68,7 +69,7 @@ def shares(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     member = rows.where("doc_id is not null and tokens > 0").join(placed, ["source", "bin"])
     split = (F.col("before") < F.col("budget")) & (F.col("upto") > F.col("budget"))
     within = Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = member.where(split).withColumn("sum", F.col("before") + F.sum("tokens").over(within)).withColumn("drawn", F.col("sum") <= F.col("budget"))
+    edge = member.where(split).withColumn("sum", F.col("before") + F.sum("tokens").over(within)).withColumn("drawn", F.col("sum") - F.col("tokens") / 2 <= F.col("budget"))
     whole = member.where(~split).withColumn("drawn", F.col("upto") <= F.col("budget"))
     names = ["doc_id", "source", "tokens"]
     sample = edge.select(*names, "passes", "drawn").unionByName(whole.select(*names, "passes", "drawn"))
