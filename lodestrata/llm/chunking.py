@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 CHARS = 4
 _LINE = re.compile(r"\r\n|\n")
 _HEADING = re.compile(r"(#{1,6})\s+(\S.*)$", re.DOTALL)
-_CLOSING = re.compile(r"(?:^|\s+)#+\s*$")
+_CLOSING = re.compile(r"\s*#+\s*$")
 #: The places where a text may be cut, best first; a cut is after the match.
 _SEPARATORS = tuple(re.compile(p) for p in (r"\n[^\S\n]*\n\s*", r"\n+", r"[.!?…。]+[\"')\]]*\s+", r"\s+"))
 
