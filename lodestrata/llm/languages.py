@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import materialize
+
 # Names that a label may use for each language (two letters, three letters, English).
 NAMES = {
     "en": ("eng", "english"),
@@ -345,6 +347,8 @@ def relabelled(docs: DataFrame, segments: DataFrame) -> DataFrame:
 
     doc_id must be unique in docs; a document without segments has no case.
     """
+    # Read twice below: found once.
+    segments = materialize(segments)
     first = segments.groupBy("doc_id").agg(F.min(F.struct("segment_no", "lang")).alias("first"), F.max("segment_no").alias("last"))
     label = docs.select(F.col("doc_id"), labelled(F.col("lang")).alias("label"))
     wrong = label.join(first, "doc_id").where("label is null or label <> first.lang or last > 0").select("doc_id")
