@@ -24,6 +24,8 @@ from lodestrata.session import materialize
 WORD = re.compile(r"[a-z0-9]+")
 #: Weight of the texts that one bucket holds at most, unless it holds one text only: their distinct shingles, at least LIGHT a text.
 BUCKET, LIGHT = 4_000_000, 200
+#: Copies of a set that may reach its bucket.
+MANY = 4
 #: Groups that shingles are hashed into, for each shingle of a middling text.
 GROUPS_PER_SHINGLE = 1.5
 #: Children of a tree node, and points of a leaf.
@@ -205,9 +207,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.to_json(F.struct(*[c.alias(f"b{i}") for i, c in enumerate(block)])).alias("block"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     thin = materialize(_shingled(rows, k, False))
-    least = thin.groupBy("block", "sig", "size").agg(F.min("id").alias("class_id"))
+    least = thin.groupBy("block", "sig", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classed = materialize(thin.join(least, ["block", "sig", "size"]))
-    copies = classed.where("id <> class_id").select("id", "sig").distinct()
+    # Copies of a set fall into one bucket, where they are put together; those of a set with many are left out before.
+    many = materialize(classed.where(f"id <> class_id and copies > {MANY}").select("id", "sig").distinct())
 
     # Buckets of the blocks: cumulative weight before each size, ties spread by the set's signature.
     heavy = classed.where("id = class_id").groupBy("block", "size").agg(F.count("*").alias("n"))
@@ -224,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     ends = met.select("block", "bucket", F.struct("bucket", "bucket_b", F.lit(0).alias("side")).alias("task")).unionByName(met.where("bucket < bucket_b").select("block", F.col("bucket_b").alias("bucket"), F.struct("bucket", "bucket_b", F.lit(1).alias("side")).alias("task")))
     tasks = materialize(ends.groupBy("block", "bucket").agg(F.collect_list("task").alias("tasks")))
 
-    full = _shingled(rows, k, True).join(copies, ["id", "sig"], "left_anti")
+    full = _shingled(rows, k, True).join(many, ["id", "sig"], "left_anti")
     salted = full.join(cut, ["block", "size"], "left").withColumn("bucket", F.coalesce(F.floor((F.col("before") + F.pmod(F.col("sig"), F.col("weight"))) / bucket), F.lit(0)))
     sent = salted.join(tasks, ["block", "bucket"], "left").withColumn("task", F.explode(F.coalesce("tasks", F.array(F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("bucket_b"), F.lit(0).alias("side"))))))
     sent = sent.select("id", "shingles", F.xxhash64("block", "task.bucket", "task.bucket_b").alias("task_id"), "block", "task.side")
@@ -236,8 +239,14 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
 def _join_of(tau: float):
     def join(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        ids = table["id"].to_numpy()
-        sets = [_unpack(b.as_py()) for b in table["shingles"]]
+        # Of equal sets the smallest id stands for all.
+        least: dict[tuple, int] = {}
+        for i, s, b in zip(table["id"].to_pylist(), side.tolist(), table["shingles"].to_pylist(), strict=True):
+            if i < least.get((s, b), i + 1):
+                least[s, b] = i
+        side = np.array([s for s, _ in least], np.int64)
+        ids = np.array(list(least.values()), np.int64)
+        sets = [_unpack(b) for _, b in least]
         middling = float(np.median([len(h) for h in sets]))
         groups = 1 << int(np.clip(np.ceil(np.log2(GROUPS_PER_SHINGLE * middling)), 6, 16))
         trees, names = [], []
