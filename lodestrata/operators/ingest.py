@@ -76,3 +76,10 @@ def facet_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
     """(doc_id, tag) with flat tags promoted by mapping(tag, facet) to facet/tag; leads (…-lead) become role/lead beside that. Repeated rows once."""
     named = tags.join(mapping, "tag", "left").select("doc_id", F.when(F.col("facet").isNotNull(), F.concat_ws("/", "facet", "tag")).otherwise(F.col("tag")).alias("tag"), F.endswith("tag", F.lit("-lead")).alias("lead"))
     return named.select("doc_id", "tag").unionByName(named.where("lead").select("doc_id", F.lit("role/lead").alias("tag"))).distinct()
+
+
+def folder_tags(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag): folder/<name> of every folder a document lies in, and origin/<source>."""
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    inside = docs.select(F.col("id").alias("doc_id"), F.explode(folders).alias("name")).where("name <> ''").select("doc_id", F.concat(F.lit("folder/"), F.lower("name")).alias("tag"))
+    return inside.unionByName(docs.where("source_id is not null").select(F.col("id").alias("doc_id"), F.concat(F.lit("origin/"), "source_id").alias("tag"))).distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import plain, stored_seconds
-from lodestrata.operators.knn import best
+from lodestrata.operators.knn import best, nearest
+from lodestrata.session import materialize, spread
 
 #: Constants of Okapi BM25, of reciprocal rank fusion (ranks from 0), and of the scores.
 K1, B, RRF, HALF_LIFE_DAYS, IMPORTANCE = 1.2, 0.75, 60, 90.0, 0.35
@@ -18,8 +20,8 @@ TERM = "[a-z0-9]{2,}"
 
 
 def query_frame(spark: SparkSession, queries: list[str]) -> DataFrame:
-    """(qid, query), numbered from 1, as a local relation."""
-    return spark.createDataFrame(list(enumerate(queries, 1)), "qid int, query string")
+    """(qid, query), numbered from 1, as a local relation, whose size Spark knows."""
+    return spark.createDataFrame(pa.table({"qid": pa.array(range(1, len(queries) + 1), pa.int32()), "query": pa.array(queries, pa.string())}))
 
 
 def _words(c: Column) -> Column:
@@ -69,12 +71,15 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     0 and is counted. Scores are rounded to 6 places, ties go to the smaller id.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(F.slice(_words(F.col("query")), 1, 24))).alias("term"))
-    words = docs.select("id", _words(F.col("text")).alias("w"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean"))
-    needed = asked.select("term").distinct()
-    hits = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(needed, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # The empty term stands for the document itself, so that one pass gives the matches and the corpus's size.
+    needed = asked.select("term").unionByName(docs.sparkSession.createDataFrame(pa.table({"term": [""]}))).distinct()
+    words = spread(docs.select("id", "text")).select("id", _words(F.col("text")).alias("w"))
+    words = words.select("id", F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    # Read three times below: written once, so that the corpus is read once.
+    hits = materialize(words.join(needed, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf")))
     # One row. The lists of query terms are broadcast if Spark finds them small, as it does for any but a huge set of queries.
+    size = hits.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.join(idf, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -91,12 +96,38 @@ def hashed_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", di
     return counts.join(norms, "id").select("id", "dim", (F.col("n") / F.col("norm")).alias("weight"))
 
 
+def embedded(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 384) -> DataFrame:
+    """(id, v): the same bag of words as a vector of counts, in Arrow batches; texts without terms have no row."""
+    import hashlib
+    import re
+    from collections.abc import Iterator
+
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = re.compile(TERM).findall, {}
+        for batch in batches:
+            counts = np.zeros((batch.num_rows, dim), np.float32)
+            for k, text in enumerate(batch["text"]):
+                terms = find((text.as_py() or "").lower())
+                if len(known) > 1_000_000:
+                    known.clear()
+                for t in terms:
+                    if t not in known:
+                        known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % dim
+                counts[k] = np.bincount([known[t] for t in terms], minlength=dim) if terms else 0
+            some = counts.any(1)
+            flat = pa.array(counts[some].ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch["id"].filter(pa.array(some)), lists], ["id", "v"])
+
+    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, v array<float>")
+
+
 def dense(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(qid, id, score, rank) of the pool documents(id, text) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2."""
-    q = hashed_terms(queries, "qid", "query").select(F.col("id").alias("qid"), "dim", F.col("weight").alias("q_weight"))
-    met = hashed_terms(docs).join(q, "dim")
-    scored = met.groupBy("qid", "id").agg(F.round((1 + F.sum(F.col("weight") * F.col("q_weight"))) / 2, 6).alias("score"))
-    return best(scored, "qid", "id", pool, "score")
+    """(qid, id, score, rank) of the pool documents(id, text) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents are embedded in one pass, and a block of them and of the queries is one matrix product."""
+    near = nearest(embedded(docs), embedded(queries, "qid", "query"), pool, itself=True)
+    return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 
 
 def fuse(*ranked: DataFrame) -> DataFrame:

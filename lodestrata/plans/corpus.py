@@ -359,6 +359,18 @@ def migrated_ids(spark, sf_dir):
     return ingest.migrated(_docs(spark, sf_dir))
 
 
+@_query("folder_tags", "SELECT DISTINCT id AS doc_id, 'folder/' || lower(f) AS tag FROM (SELECT id, unnest(string_split(path, '/')[:-2]) AS f FROM d) WHERE f <> '' UNION SELECT id, 'origin/' || source_id FROM d WHERE source_id IS NOT NULL")
+def folder_tags(spark, sf_dir):
+    return ingest.folder_tags(_docs(spark, sf_dir))
+
+
+@_query("retitled", r"SELECT id, title AS stored, title IS NULL OR lower(trim(title)) IN ('', 'untitled') AS wanting FROM d WHERE title IS NULL OR lower(trim(title)) IN ('', 'untitled')")
+def retitled(spark, sf_dir):
+    """Documents whose stored title says nothing, to be titled anew from their text."""
+    nothing = plain(F.col("title")).isin("", "untitled")
+    return _docs(spark, sf_dir).where(nothing).select("id", F.col("title").alias("stored"), nothing.alias("wanting"))
+
+
 # Caches.
 _VERSION = """, c AS (SELECT source_id, count(*) AS n, max("at") AS "at", sum(CAST('0x' || md5(concat_ws('|', id, coalesce(status, ''), coalesce(lifecycle, '')))[1:8] AS BIGINT)) AS state FROM d GROUP BY 1),
 ver AS (SELECT source_id, concat_ws(':', source_id, n, CAST(coalesce(floor("at"), 0) AS BIGINT), state) AS version FROM c)"""

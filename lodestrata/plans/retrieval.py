@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.catalog import table
 from lodestrata.functions.text import first_words, tag_name
+from lodestrata.operators import evaluation as E
 from lodestrata.operators import knn
 from lodestrata.operators import retrieval as R
 
@@ -65,7 +66,7 @@ def _dense_sql(of: str, pool: int) -> str:
     return (
         vectors("dv", of, "id", "text")
         + vectors("qv", "asked", "qid", "query")
-        + f"""dn AS (SELECT q.id AS qid, v.id, round((1 + sum(v.weight * q.weight)) / 2, 6) AS score FROM dv v JOIN qv q USING (dim) GROUP BY ALL),
+        + f"""dn AS (SELECT q.id AS qid, v.id, round((1 + round(sum(v.weight * q.weight), 6)) / 2, 7) AS score FROM dv v JOIN qv q USING (dim) GROUP BY ALL),
 near AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM dn QUALIFY rank < {pool}),
 """
     )
@@ -238,6 +239,25 @@ def _(spark, sf_dir):
     return R.listing(_docs(spark, sf_dir))
 
 
+_PROBES = r"""probes AS (SELECT id AS qid, list_filter(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 40 AND NOT regexp_matches(x, '^[#*|`-]'))[1][1:200] AS query FROM d WHERE content IS NOT NULL),
+asked AS (SELECT qid, query FROM probes WHERE query IS NOT NULL ORDER BY md5(CAST(qid AS VARCHAR)), qid LIMIT 20),
+"""
+
+
+@_query(
+    "probe_recall",
+    _ALL.replace("asked(qid, query) AS", "unused(qid, query) AS") + _PROBES + _bm25_sql("d", 5) + "r AS (SELECT a.qid, min(rank) AS rank FROM asked a LEFT JOIN lexical l ON l.qid = a.qid AND l.id = a.qid GROUP BY a.qid) SELECT count(*) AS n, round(avg(CASE WHEN rank = 0 THEN 1 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END), 6) AS recall FROM r",
+)
+def _(spark, sf_dir):
+    """Twenty documents drawn by a hash, each searched for by a line of its own: how often it comes first, and among the first five."""
+    from lodestrata.functions.text import probe_line
+
+    d = R.visible(_docs(spark, sf_dir))
+    drawn = d.select(F.col("id").alias("qid"), probe_line(F.col("content")).alias("query")).where("query is not null").orderBy(F.md5(F.col("qid").cast("string")), "qid").limit(20)
+    labels = drawn.select("qid", F.col("qid").alias("id"))
+    return E.mean_metrics(E.rank_metrics(R.bm25(d, drawn, 5), labels, 5)).select("n", "hit_1", "recall")
+
+
 # Vectors.
 _USABLE = """len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 

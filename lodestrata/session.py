@@ -67,3 +67,13 @@ def discard(df: DataFrame) -> None:
         if folder.rsplit("/", 1)[-1].startswith("lodestrata-") and base.split(":", 1)[-1].strip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer splits than those, as a small table in one file has.
+
+    For steps that cost far more a row than moving it does. A table of many
+    splits, as any large one is, passes as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
