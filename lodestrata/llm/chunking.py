@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 #: Characters a token stands for.
 CHARS = 4
 _LINE = re.compile(r"\r\n|\n")
@@ -141,4 +143,4 @@ def chunk(docs: DataFrame, id_col: str = "id", text_col: str = "content", limit:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
-    return rows.mapInArrow(run, "doc_id long, piece_no int, section_no int, heading_path string, section_tokens long, start long, content string, tokens_est long, overlap_chars long")
+    return spread(rows).mapInArrow(run, "doc_id long, piece_no int, section_no int, heading_path string, section_tokens long, start long, content string, tokens_est long, overlap_chars long")

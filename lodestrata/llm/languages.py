@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 # Names that a label may use for each language (two letters, three letters, English).
 NAMES = {
@@ -329,7 +329,7 @@ def language_segments(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds)], schema=pa.schema(kinds))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
-    return rows.mapInArrow(run, "doc_id long, segment_no int, start long, end long, lang string, confidence double, n_sentences long")
+    return spread(rows).mapInArrow(run, "doc_id long, segment_no int, start long, end long, lang string, confidence double, n_sentences long")
 
 
 def labelled(label: Column) -> Column:

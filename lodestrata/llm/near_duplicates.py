@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.components import connected_components
-from lodestrata.session import materialize
+from lodestrata.session import materialize, spread
 
 WORD = re.compile(r"[a-z0-9]+")
 #: Weight of the texts that one bucket holds at most, unless it holds one text only: their distinct shingles, at least LIGHT a text.
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     whose sizes can reach tau meet, each pair in a task of its own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.to_json(F.struct(*[c.alias(f"b{i}") for i, c in enumerate(block)])).alias("block"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = spread(rows)
     thin = materialize(_shingled(rows, k, False))
     least = thin.groupBy("block", "sig", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classed = materialize(thin.join(least, ["block", "sig", "size"]))
@@ -217,8 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     upto = Window.partitionBy("block").orderBy("size")
     heavy = heavy.withColumn("weight", F.col("n") * F.greatest("size", F.lit(LIGHT))).withColumn("before", F.sum("weight").over(upto) - F.col("weight"))
     heavy = heavy.withColumn("first", F.floor(F.col("before") / bucket)).withColumn("last", F.floor((F.col("before") + F.col("weight") - 1) / bucket))
-    spread = heavy.withColumn("bucket", F.explode(F.sequence("first", "last")))
-    ranges = spread.groupBy("block", "bucket").agg(F.min("size").alias("small"), F.max("size").alias("large"))
+    spans = heavy.withColumn("bucket", F.explode(F.sequence("first", "last")))
+    ranges = spans.groupBy("block", "bucket").agg(F.min("size").alias("small"), F.max("size").alias("large"))
     large = ranges.where("bucket > 0").select("block").distinct()
     cut = materialize(heavy.join(large, "block", "left_semi").select("block", "size", "before", "weight"))
     ranges = ranges.join(large, "block", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.catalog import table
 from lodestrata.llm import chunking, languages, mixing, packing, survivors, vector_graph
 from lodestrata.llm import near_duplicates as nd
+from lodestrata.operators import knn
 
 
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,7 @@ NARROW = (48, 48)
 
 
 def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
-    found = [of(vector_graph.usable(table(spark, sf_dir, name))).select(F.lit(name).alias("vec_table"), "*") for name in VECTORS]
+    found = [of(knn.usable(table(spark, sf_dir, name))).select(F.lit(name).alias("vec_table"), "*") for name in VECTORS]
     return found[0].unionByName(found[1])
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import knn
 from lodestrata.session import materialize
 
 #: Edges out of a node after pruning, and before it is pruned again; the relaxation of distances in pruning.
@@ -196,8 +197,7 @@ class Graph:
 
 
 def unit(v: np.ndarray) -> np.ndarray:
-    d = v.astype(np.float64)
-    return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+    return knn.unit(v).astype(np.float32)
 
 
 def nearest(graph: Graph, raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,16 +250,8 @@ def centroids(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64) -> DataFrame:
-    """(id, v) of the rows whose vector is of dim finite numbers that are not all zero, with a known id; repeated rows once."""
-    v = F.col(vector_col).cast("array<float>")
-    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    some = F.exists(v, lambda e: e != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & fine & some)
-
-
 def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, probes: int = PROBES, beam: int = BEAM, build_beam: int = BUILD_BEAM, near_only: bool = False) -> DataFrame:
-    """(id, neighbour, similarity) of the k most similar other rows of every row of usable(vectors) frames.
+    """(id, neighbour, similarity) of the k most similar other rows of every row of vectors(id, v), as knn.usable() gives them.
 
     With queries, a frame (id), only those rows are asked for, against all. The
     similarity is the cosine in double, rounded to 6 places; on a tie the
@@ -324,7 +316,7 @@ class _Shards:
         self.centres = np.zeros((1, 1), np.float32)
         if clusters > 1:
             rows = nodes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(sample, clusters)).toArrow()
-            self.centres = centroids(unit(_matrix(rows["v"].combine_chunks())), clusters)
+            self.centres = centroids(unit(knn.matrix(rows["v"].combine_chunks())), clusters)
             # One count for each shard's worth of vectors.
             sizes = nodes.mapInArrow(self._home, "cluster int").groupBy("cluster").count().collect()
             for r in sizes:
@@ -335,7 +327,7 @@ class _Shards:
     def _home(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = unit(_matrix(batch["v"])) @ self.centres.T
+                near = unit(knn.matrix(batch["v"])) @ self.centres.T
                 yield pa.RecordBatch.from_arrays([pa.array(near.argmax(1), pa.int32())], ["cluster"])
 
     def route(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +339,7 @@ class _Shards:
             if len(self.parts) == 1:
                 order = np.zeros((n, 1), np.int64)
             else:
-                order = np.argsort(-(unit(_matrix(batch["v"])) @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+                order = np.argsort(-(unit(knn.matrix(batch["v"])) @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
             spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             home = self.first[order[:, 0]] + (spread % self.parts[order[:, 0]].astype(np.uint64)).astype(np.int64)
             row, shard = [np.arange(n)], [home]
@@ -361,11 +353,6 @@ class _Shards:
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(away), pa.array(ids[row]), pa.array(asked[row]), batch["v"].take(pa.array(row))], ["shard", "away", "id", "asked", "v"])
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), np.float32)
-
-
 def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -392,7 +379,7 @@ def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: boo
             if not batch.num_rows:
                 continue
             shard, away = batch["shard"].to_numpy(), batch["away"].to_numpy(zero_copy_only=False)
-            bid, basked, v = batch["id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False), _matrix(batch["v"])
+            bid, basked, v = batch["id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False), knn.matrix(batch["v"])
             for s in np.unique(shard):
                 if s != now:
                     if held:
@@ -414,31 +401,6 @@ def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: boo
 
 
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(id, neighbour, similarity) as neighbours() gives them, by brute force for a stated query set: blocks of queries meet blocks of rows."""
-    blocks = _blocked(vectors, 8192)
-    asked = _blocked(vectors.join(queries.select("id").distinct(), "id", "left_semi").repartition(4), 512)
-    pairs = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).crossJoin(blocks)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, q = (np.frombuffer(b, np.float32).reshape(len(i), -1).astype(np.float64) for b, i in ((r["vectors"], ids), (r["q_vectors"], q_ids)))
-                s = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 6)
-                s[q_ids[:, None] == ids[None, :]] = -9
-                for i, own in zip(q_ids, s):
-                    top = np.lexsort((ids, -own))[:k]
-                    top = top[own[top] > -9]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), i)), pa.array(ids[top]), pa.array(own[top])], ["id", "neighbour", "similarity"])
-
-    return _best(pairs.mapInArrow(compare, "id long, neighbour long, similarity double"), "id", "neighbour", k)
-
-
-def _blocked(vectors: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays([pa.array([part["id"].to_numpy().tobytes()]), pa.array([_matrix(part["v"]).astype(np.float32).tobytes()])], ["ids", "vectors"])
-
-    return vectors.select("id", "v").mapInArrow(run, "ids binary, vectors binary")
+    """(id, neighbour, similarity) as neighbours() gives them, by brute force for a stated query set (id)."""
+    asked = vectors.join(queries.select("id").distinct(), "id", "left_semi")
+    return knn.nearest(vectors, asked, k).select("id", "neighbour", "similarity")

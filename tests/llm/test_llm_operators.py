@@ -184,11 +184,11 @@ def test_neighbours_recall(spark, shard):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
     true = brute(ids, x)
     got = {}
-    for r in vector_graph.neighbours(vector_graph.usable(df), 10, shard=shard).collect():
+    for r in vector_graph.neighbours(knn.usable(df), 10, shard=shard).collect():
         got.setdefault(r.id, []).append((r.neighbour, r.similarity))
     hit = sum(len({n for n, _ in got[i]} & {n for n, _ in t}) for i, t in true.items()) / (10 * len(x))
     assert hit >= 0.9
-    near = rows(vector_graph.neighbours(vector_graph.usable(df), 10, at_least=0.85, shard=shard, build_beam=32, beam=48, near_only=True))
+    near = rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=shard, build_beam=32, beam=48, near_only=True))
     want = sorted((i, n, s) for i, t in true.items() for n, s in t if s >= 0.85)
     assert len(set(near) & set(want)) >= 0.99 * len(want) and set(near) <= set(want)
 
@@ -199,14 +199,14 @@ def test_neighbours_copies_and_unusable(spark):
     odd = [(200, None), (201, [1.0]), (202, [float("nan")] * 64), (203, [0.0] * 64), (204, [None] * 64), (None, x[1].tolist()), (205, [float("inf")] * 64)]
     df = spark.createDataFrame(v + odd, "id long, embedding array<float>")
     got = {}
-    for r in vector_graph.neighbours(vector_graph.usable(df), 10).collect():
+    for r in vector_graph.neighbours(knn.usable(df), 10).collect():
         got.setdefault(r.id, []).append((r.neighbour, r.similarity))
     true = brute(np.array([i for i, _ in v]), np.array([e for _, e in v]))
     assert {i: sorted(t, key=lambda p: (-p[1], p[0])) for i, t in got.items()} == true
     some = df.where("id in (5, 103)").select("id")
-    assert {r.id for r in vector_graph.neighbours(vector_graph.usable(df), 3, queries=some).collect()} == {5, 103}
-    assert vector_graph.neighbours(vector_graph.usable(df.limit(0)), 3).count() == 0
-    assert vector_graph.neighbours(vector_graph.usable(df.where("id = 100")), 3).count() == 0
+    assert {r.id for r in vector_graph.neighbours(knn.usable(df), 3, queries=some).collect()} == {5, 103}
+    assert vector_graph.neighbours(knn.usable(df.limit(0)), 3).count() == 0
+    assert vector_graph.neighbours(knn.usable(df.where("id = 100")), 3).count() == 0
 
 
 # Packing.
