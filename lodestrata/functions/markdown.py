@@ -1,11 +1,20 @@
-"""Structure of markdown documents as relational plans over their lines."""
+"""Structure of markdown documents.
+
+Sections are read in one pass over each partition, without a shuffle. What asks
+for single lines, headings or edits is a relational plan over lines.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import body, packed, slug, strip, unix_lines
+from lodestrata.session import spread
 
 _HEADING = r"^(#{1,6})\s+(\S.*?)(?:\s+#+)?\s*$"
 
@@ -33,26 +42,61 @@ def table_of_contents(docs: DataFrame, id_col: str = "id", text_col: str = "cont
     return found.select("doc_id", "n", F.least(F.col("level") + 1, F.lit(6)).alias("level"), "title", F.when(place == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), place.cast("string"))).alias("anchor"))
 
 
-def sections(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """(doc_id, section_no, heading_path, text): the text between two headings, stripped; empty ones are left out.
+_LINE = re.compile(r"\r\n|\n")
+_HEAD = re.compile(r"(#{1,6})\s+(\S.*)$", re.DOTALL)
+_CLOSING = re.compile(r"\s*#+\s*$")
+
+
+def parse(content: str) -> list[tuple[str, str]]:
+    """(heading_path, text) of the sections of a document that are not empty.
 
-    The open heading of each level is the last one of it, unless one of a lower
-    level came after; all are running maxima over a document's lines.
+    Front matter (a first line --- through the next line ---) is dropped. A
+    heading is a line of one to six # at its very start, white space and a text,
+    outside fences; hashes at its end are no part of the text. A fence opens and
+    closes at lines that begin, after white space, with three backticks; one
+    never closed reaches to the end. The path holds the texts of the open
+    headings, outermost first.
     """
-    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines(docs, id_col, text_col).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(upto))
-    for k in range(1, 7):
-        rows = rows.withColumn(f"at{k}", F.max(F.when(F.col("level") == k, F.struct("n", "title"))).over(upto))
-    heads = []
-    for k in range(1, 7):
-        last = F.lit(-1)
-        for j in range(1, k):
-            last = F.greatest(last, F.coalesce(F.col(f"at{j}.n"), F.lit(-1)))
-        heads.append(F.when(F.col(f"at{k}.n") > last, F.col(f"at{k}.title")))
-    rows = rows.withColumn("path", F.concat_ws(" > ", *heads))
-    parts = rows.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("n", "line")))).alias("body"), F.max("path").alias("heading_path"))
-    parts = parts.withColumn("text", strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n"))).where("text <> ''")
-    return parts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("section")) - 1).alias("section_no"), "heading_path", "text")
+    rows = _LINE.split(content)
+    if rows and rows[0] == "---" and "---" in rows[1:]:
+        rows = rows[rows.index("---", 1) + 1 :]
+    out: list[tuple[str, str]] = []
+    path: list[tuple[int, str]] = []
+    held: list[str] = []
+    fenced = False
+
+    def close() -> None:
+        text = "\n".join(held).strip()
+        if text:
+            out.append((" > ".join(t for _, t in path), text))
+        held.clear()
+
+    for row in rows:
+        if row.lstrip().startswith("```"):
+            fenced = not fenced
+        elif not fenced and row.startswith("#") and (m := _HEAD.match(row)) and (title := _CLOSING.sub("", m[2]).strip()):
+            close()
+            level = len(m[1])
+            while path and path[-1][0] >= level:
+                path.pop()
+            path.append((level, title))
+            continue
+        held.append(row)
+    close()
+    return out
+
+
+def sections(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """(doc_id, section_no, heading_path, text): the text between two headings, stripped, as parse() gives it; null ids and texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, k, path, text) for i, c in zip(batch["id"].to_pylist(), batch["text"], strict=True) for k, (path, text) in enumerate(parse(c.as_py()))]
+            columns = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "section_no", "heading_path", "text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return spread(rows).mapInArrow(run, "doc_id long, section_no int, heading_path string, text string")
 
 
 def chunks(docs: DataFrame, id_col: str = "id", text_col: str = "content", most: int = 450) -> DataFrame:

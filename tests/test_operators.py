@@ -26,7 +26,7 @@ def column(spark, value, f, kind="string"):
 
 def test_sessions_gap_duplicates_and_nulls(spark):
     events = [("a", 0.0, 1, "q"), ("a", 1800.0, 2, "q"), ("a", 3600.5, 3, "r"), ("a", 0.0, 1, "q"), (None, 5.0, 9, "q"), ("b", None, 10, "q"), ("b", float("nan"), 11, "q"), ("b", 7.0, 12, None), ("c", 5.0, None, "q")]
-    df = spark.createDataFrame(events, "actor string, at double, event_id long, item string")
+    df = spark.createDataFrame(events, "actor string, at double, event_id long, item string").withColumn("slice", F.lit("clash")).withColumn("session_no", F.lit("clash"))
     assert rows(merge_sessions(df)) == [("a", 0, 0.0, 1800.0, 1800.0, 2, 1, 1, 2), ("a", 1, 3600.5, 3600.5, 0.0, 1, 1, 3, 3), ("b", 0, 7.0, 7.0, 0.0, 1, 0, 12, 12)]
     assert merge_sessions(df.limit(0)).count() == 0
 
@@ -273,3 +273,49 @@ def test_streamed_windows_equal_batch(spark, data, tmp_path):
 def test_knn_limits_within_tasks(spark):
     df = spark.range(10).select(F.col("id").alias("a"), F.col("id").alias("b"), F.rand(1).alias("similarity"))
     assert "WindowGroupLimit" in knn.best(df, "a", "b", 3)._jdf.queryExecution().toString()
+
+
+def test_spread_and_materialize(spark):
+    from lodestrata.session import discard, materialize, shared_folder, spread
+
+    many = spark.range(100).repartition(9)
+    assert spread(many) is many
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    kept = materialize(many.where("id < 5"))
+    folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert shared_folder(spark).split(":", 1)[-1].strip("/") in folder and kept.count() == 5
+    discard(kept)
+    from pathlib import Path
+
+    assert not Path(folder.removeprefix("file://")).exists()
+
+
+def test_clean_names_and_log_actors(spark):
+    from lodestrata.operators.sessions import log_actors
+
+    log_rows = [(1, " Ann.B\t", "s", 1.6e9), (2, None, "S-1", 1.6e12), (3, "UNKNOWN", "unknown", 1.6e9), (4, "", None, 1.6e9), (5, '"x_1"', "s", -1.0)]
+    df = spark.createDataFrame(log_rows, "id long, user string, session_id string, ts double").withColumn("query", F.lit("q"))
+    assert [(r.event_id, r.actor, r["at"]) for r in log_actors(df).orderBy("event_id").collect()] == [(1, "ann.b", 1.6e9), (2, "s-1", 1.6e9), (3, None, 1.6e9), (4, None, 1.6e9), (5, "x_1", None)]
+
+
+def test_stream_of_sessions_merges_late_events(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    first = [(1, start), (1, start + dt.timedelta(minutes=40)), (2, start)]
+    # Late, but within the watermark: it joins the two intervals of key 1.
+    late = [(1, start + dt.timedelta(minutes=20)), (9, start + dt.timedelta(days=2))]
+    for k, part in enumerate((first, late)):
+        spark.createDataFrame(part, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = log.sessions(log.events_stream(spark, f"{tmp_path}/in"), "user_id")
+    got = log.drained(stream, "s", f"file://{tmp_path}/work")
+    assert sorted((r.user_id, r.n) for r in got.collect() if r.user_id != 9) == [(1, 3), (2, 1)]
+
+
+def test_embedded_equals_the_relational_form(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta beta"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    sparse = {(r.id, r.dim): r.weight for r in retrieval.hashed_terms(docs).collect()}
+    for r in retrieval.embedded(docs).collect():
+        norm = sum(v * v for v in r.v) ** 0.5
+        assert {(r.id, d): pytest.approx(v / norm) for d, v in enumerate(r.v) if v} == {k: w for k, w in sparse.items() if k[0] == r.id}
+    assert {r.id for r in retrieval.embedded(docs).collect()} == {1}
