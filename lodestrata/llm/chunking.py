@@ -15,13 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.markdown import parse
 from lodestrata.session import spread
 
 #: Characters a token stands for.
 CHARS = 4
-_LINE = re.compile(r"\r\n|\n")
-_HEADING = re.compile(r"(#{1,6})\s+(\S.*)$", re.DOTALL)
-_CLOSING = re.compile(r"\s*#+\s*$")
 #: The places where a text may be cut, best first; a cut is after the match.
 _SEPARATORS = tuple(re.compile(p) for p in (r"\n[^\S\n]*\n\s*", r"\n+", r"[.!?…。]+[\"')\]]*\s+", r"\s+"))
 
@@ -30,44 +28,6 @@ def count_tokens(text: str) -> int:
     return max(1, len(text) // CHARS) if text else 0
 
 
-def sections(content: str) -> list[tuple[str, str]]:
-    """(heading_path, text) of the sections that are not empty.
-
-    Front matter (a first line --- through the next line ---) is dropped. A
-    heading is a line of one to six # at its very start, white space and a text,
-    outside fences; hashes at its end are no part of the text. A fence opens and
-    closes at lines that begin, after white space, with three backticks; one
-    never closed reaches to the end.
-    """
-    lines = _LINE.split(content)
-    if lines and lines[0] == "---" and "---" in lines[1:]:
-        lines = lines[lines.index("---", 1) + 1 :]
-    out: list[tuple[str, str]] = []
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-    fenced = False
-
-    def close() -> None:
-        text = "\n".join(body).strip()
-        if text:
-            out.append((" > ".join(t for _, t in path), text))
-        body.clear()
-
-    for line in lines:
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-        elif not fenced and line.startswith("#") and (m := _HEADING.match(line)) and (title := _CLOSING.sub("", m[2]).strip()):
-            close()
-            level = len(m[1])
-            while path and path[-1][0] >= level:
-                path.pop()
-            path.append((level, title))
-            continue
-        body.append(line)
-    close()
-    return out
-
-
 def _last_cut(text: str, start: int, low: int, high: int) -> int:
     """The end of a piece that starts at start: the last boundary of the best kind in (low, high], else high."""
     for separator in _SEPARATORS:
@@ -131,7 +91,7 @@ def chunk(docs: DataFrame, id_col: str = "id", text_col: str = "content", limit:
             held = 0
             for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
                 number = 0
-                for k, (path, body) in enumerate(sections(text.as_py())):
+                for k, (path, body) in enumerate(parse(text.as_py())):
                     size, end = count_tokens(body), 0
                     for a, b in pieces(body, limit, overlap):
                         rows.append((doc, number, k, path, size, a, body[a:b], count_tokens(body[a:b]), end - a if a else 0))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import chunking, languages, mixing, packing, survivors, vector_graph
+from lodestrata.functions.markdown import parse
 from lodestrata.llm import near_duplicates as nd
 from lodestrata.operators import knn
 
@@ -94,9 +95,9 @@ def test_bound_is_never_below_the_overlap():
 # Chunking.
 def test_sections():
     text = "---\na: b\n---\nintro\r\n# A #\none\n   ```\n# not\n```\n###### Deep\nx\n#nohead\n## B\n\n```\nopen\n# in"
-    assert chunking.sections(text) == [("", "intro"), ("A", "one\n   ```\n# not\n```"), ("A > Deep", "x\n#nohead"), ("A > B", "```\nopen\n# in")]
-    assert chunking.sections("---\nnever closed") == [("", "---\nnever closed")]
-    assert chunking.sections("# only\n\n") == []
+    assert parse(text) == [("", "intro"), ("A", "one\n   ```\n# not\n```"), ("A > Deep", "x\n#nohead"), ("A > B", "```\nopen\n# in")]
+    assert parse("---\nnever closed") == [("", "---\nnever closed")]
+    assert parse("# only\n\n") == []
 
 
 @pytest.mark.parametrize("text", ["x" * 9000, "word " * 4000, "A sentence of some length. " * 400, "p\n\n" * 3000, "é" * 5000, "a" * 1803, "a" * 1804, "\n".join("line of text %d" % k for k in range(900)), "long" + " " * 6000 + "gap"])
@@ -330,3 +331,33 @@ def test_held_out_accuracy(spark, data):
     met = docs.select("doc_id", languages.labelled(F.col("lang")).alias("label")).join(found, "doc_id").where("label is not null")
     right = met.agg(F.avg((F.col("label") == F.col("lang")).cast("double"))).first()[0]
     assert right > 0.8
+
+
+# Properties.
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "A sentence. ", "\n\n", "\n", "x" * 37, "é", "  ", "```\n", "# h\n"]), max_size=400), st.integers(5, 60))
+def test_any_text_is_cut_and_put_together(parts, limit):
+    for _, text in parse("".join(parts)):
+        cut = chunking.pieces(text, limit, 2)
+        assert all(0 < chunking.count_tokens(text[a:b]) <= limit for a, b in cut)
+        done, out = 0, ""
+        for a, b in cut:
+            assert a <= done < b
+            out, done = out + text[done:b], b
+        assert out == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=30))
+def test_any_histogram_is_packed(histogram):
+    plan = packing.plan(histogram, 64)
+    placed = {}
+    for sizes, n in plan:
+        assert sum(sizes) <= 64
+        for s in sizes:
+            placed[s] = placed.get(s, 0) + n
+    assert placed == histogram
