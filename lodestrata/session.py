@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +80,28 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once an application, through the shared folder.
+
+    They need not have it installed, nor the driver be started beside it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent).as_posix())
+    path = f"{shared_folder(spark)}/lodestrata-{uuid.uuid4().hex}.zip"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
