@@ -53,6 +53,8 @@ def p4_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = ("vec_docs", "vec_chunks")
 #: Beams, for building and for searching, that find near copies: those are the nearest of all, so narrow ones reach them.
 NARROW = (48, 48)
+#: Shards and beam for all ten neighbours of any vector: graphs of this size are searched well by a beam of this width.
+WIDE = {"shard": 40_000, "beam": 128}
 
 
 def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
@@ -66,7 +68,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10))
+    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, **WIDE))
 
 
 def _hundredths(v: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def _hundredths(v: DataFrame) -> DataFrame:
 
 
 def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, queries=_hundredths(v)))
+    return _each_vector_table(spark, sf_dir, lambda v: vector_graph.neighbours(v, k=10, queries=_hundredths(v), **WIDE))
 
 
 def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
