@@ -125,8 +125,8 @@ def embedded(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: i
 
 
 def dense(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(qid, id, score, rank) of the pool documents(id, text) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents are embedded in one pass, and a block of them and of the queries is one matrix product."""
-    near = nearest(embedded(docs), embedded(queries, "qid", "query"), pool, itself=True)
+    """(qid, id, score, rank) of the pool documents(id, text) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents that share nothing with a query are no candidates for it. They are embedded in one pass, and a block of them and of the queries is one matrix product."""
+    near = nearest(embedded(docs), embedded(queries, "qid", "query"), pool, itself=True).where("similarity > 0")
     return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 
 
