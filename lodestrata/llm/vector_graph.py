@@ -30,6 +30,10 @@ CAP = 48
 BLOCK, BATCH, GATES, STARTS = 256, 4096, 1024, 8
 #: Vectors of a shard on average, those sampled for centroids, and the shards asked at most.
 SHARD, SAMPLE, PROBES = 150_000, 20_000, 8
+#: Similarities in single precision that differ by less may be equal when rounded to 6 places.
+TIE = 4e-6
+#: With near_only, a beam full of similarities that fall short by this much at most is too narrow to trust.
+DENSE = 0.1
 
 
 class Graph:
@@ -129,7 +133,7 @@ class Graph:
     def met(self) -> tuple[np.ndarray, np.ndarray]:
         """(node, node) of the pairs of at least the noted similarity that searches met while the graph was built, in both directions, each once.
 
-        Of two near vectors the later to join meets the earlier, so both have the other.
+        A pair is missing where the later one to join had more nearer earlier vectors than its search holds.
         """
         a, b = (np.concatenate([n[k] for n in self.noted]).astype(np.int64) if self.noted else np.empty(0, np.int64) for k in (0, 1))
         key = np.unique(np.concatenate([a * self.n + b, b * self.n + a]))
@@ -200,34 +204,62 @@ def unit(v: np.ndarray) -> np.ndarray:
     return knn.unit(v).astype(np.float32)
 
 
-def nearest(graph: Graph, raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of queries, id, similarity) of the k nearest others in a graph, cosines in double rounded to 6 places."""
-    found, sims = graph.search(unit(queries), max(beam, k + 1))
-    top = np.argsort(-sims, axis=1)[:, : k + 6]
-    found, sims = np.take_along_axis(found, top, 1), np.take_along_axis(sims, top, 1)
-    row, col = np.nonzero((found >= 0) & (sims >= at_least - 1e-4))
-    return _exact(raw, ids, queries, query_ids, row, graph.order[found[row, col]], k, at_least)
+def nearest(graph: Graph, raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM, near_only: bool = False, met: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, id, similarity) of the k nearest others in a graph, cosines in double rounded to 6 places.
 
-
-def met_while_building(graph: Graph, raw: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, at_least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, other, similarity) for the asked rows of the graph: what the building met, but rows that met k or more are searched for, as more may be near than a building search holds."""
+    With near_only, a query whose beam is full of vectors of nearly at_least is
+    compared with all vectors of the graph. met: further candidates (row of queries, row of raw).
+    """
+    q = unit(queries)
+    found, sims = graph.search(q, max(beam, k + 1))
+    # The query itself may be among the k + 1 best.
+    least = np.maximum(-np.partition(-sims, k, axis=1)[:, k] - TIE, at_least - 1e-4)
+    full = near_only & (sims.min(1) >= at_least - DENSE)
+    row, col = np.nonzero((found >= 0) & (sims >= least[:, None]) & ~full[:, None])
+    node = graph.order[found[row, col]]
+    if met is not None:
+        some = ~full[met[0]]
+        key = np.unique(np.concatenate([row * len(ids) + node, met[0][some] * len(ids) + met[1][some]]))
+        row, node = key // len(ids), key % len(ids)
+    parts = [_exact(raw, ids, queries, query_ids, row, node, k, at_least)]
+    full = np.flatnonzero(full)
+    for at in range(0, len(full), 64):
+        part = full[at : at + 64]
+        row, node = np.nonzero(q[part] @ graph.x.T >= least[part, None])
+        parts.append(_exact(raw, ids, queries, query_ids, part[row], graph.order[node], k, at_least))
+    row, other, similarity = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, other, similarity
+
+
+def searched_and_met(graph: Graph, raw: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, at_least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, similarity) for the asked rows of the graph: the best of what a search for each on the whole graph finds and of what the building met."""
     a, b = graph.met()
     a, b = graph.order[a], graph.order[b]
-    crowded = (np.bincount(a, minlength=len(ids)) >= k) & asked
-    some = asked[a] & ~crowded[a]
-    row, other, similarity = _exact(raw, ids, raw, ids, a[some], b[some], k, at_least)
-    yield ids[row], other, similarity
-    full = np.flatnonzero(crowded)
-    for at in range(0, len(full), 8192):
-        part = full[at : at + 8192]
-        row, other, similarity = nearest(graph, raw, ids, raw[part], ids[part], k, at_least, beam)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    rows = np.flatnonzero(asked)
+    for at in range(0, len(rows), 8192):
+        part = rows[at : at + 8192]
+        first, last = np.searchsorted(a, part), np.searchsorted(a, part, "right")
+        count = last - first
+        of = np.repeat(np.arange(len(part)), count)
+        met = of, b[np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+        row, other, similarity = nearest(graph, raw, ids, raw[part], ids[part], k, at_least, beam, True, met)
         yield ids[part][row], other, similarity
 
 
+def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Cosines in double of pairs (row of a, row of b)."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), 1 << 16):
+        x, y = a.take(row[at : at + (1 << 16)], axis=0).astype(np.float64), b.take(node[at : at + (1 << 16)], axis=0).astype(np.float64)
+        out[at : at + (1 << 16)] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x)) / np.sqrt(np.einsum("ij,ij->i", y, y))
+    return out
+
+
 def _exact(raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, row: np.ndarray, node: np.ndarray, k: int, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates (row of queries, node) with their exact similarity, the k best of each row."""
-    a, b = queries.take(row, axis=0).astype(np.float64), raw.take(node, axis=0).astype(np.float64)
-    exact = np.round(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a)) / np.sqrt(np.einsum("ij,ij->i", b, b)), 6)
+    exact = np.round(_cosines(queries, raw, row, node), 6)
     keep = (exact >= at_least) & (ids[node] != query_ids[row])
     row, other, exact = row[keep], ids[node[keep]], exact[keep]
     order = np.lexsort((other, -exact, row))
@@ -260,9 +292,9 @@ def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries:
     in the probes nearest shards (all, where there are no more) can be found.
 
     With near_only, for an at_least far above the similarity of unrelated rows,
-    a row's neighbours in its own shard are those that the building met, and
-    only rows that met k or more are searched for; a lighter graph (build_beam)
-    and a narrow beam do for that.
+    a lighter graph (build_beam) and a narrow beam do: a row whose beam is full
+    of rows of nearly at_least is compared with its whole shard, and what the
+    building met counts beside what the search of a row finds.
 
     Rows of equal vectors are one node, so copies neither crowd the graph nor
     each other out: their k + 1 smallest ids stand for them. A shard never
@@ -361,7 +393,7 @@ def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: boo
 
         def reply(query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(query_ids), 8192):
-                row, other, similarity = nearest(graph, raw, ids, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam)
+                row, other, similarity = nearest(graph, raw, ids, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam, near_only)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + 8192][row]), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
 
         def build() -> Iterator[pa.RecordBatch]:
@@ -370,7 +402,7 @@ def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: boo
             held = []
             graph = Graph(unit(raw), beam=build_beam, note=at_least - 1e-4 if near_only else None)
             if near_only:
-                for node, other, similarity in met_while_building(graph, raw, ids, asked, k, at_least, beam):
+                for node, other, similarity in searched_and_met(graph, raw, ids, asked, k, at_least, beam):
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
             else:
                 yield from reply(ids[asked], raw[asked])

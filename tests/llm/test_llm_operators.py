@@ -210,6 +210,24 @@ def test_neighbours_copies_and_unusable(spark):
     assert vector_graph.neighbours(knn.usable(df.where("id = 100")), 3).count() == 0
 
 
+def test_near_rows_at_the_rim_of_a_dense_family(spark):
+    # A rim row has few neighbours of 0.85 or more, and each of those has far more than a beam of nearer ones.
+    rng = np.random.default_rng(5)
+    centre = np.eye(64)[0]
+    family = centre + 0.35 * knn.unit(rng.normal(size=(4000, 64)) * (np.arange(64) > 0))
+    turned = knn.unit(rng.normal(size=(300, 64)) * (np.arange(64) > 0))
+    rim = np.cos(0.59) * centre + np.sin(0.59) * turned
+    x = np.concatenate([family, rim]).astype(np.float32)[rng.permutation(4300)]
+    ids = np.arange(len(x))
+    true = brute(ids, x)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
+    got = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, build_beam=48, beam=48, near_only=True)))
+    want = {(i, n, s) for i, t in true.items() for n, s in t if s >= 0.85}
+    few = {p for p in want if sum(s >= 0.85 for _, s in true[p[0]]) < 10}
+    assert len(few) > 100
+    assert len(got & few) >= 0.99 * len(few) and len(got & want) >= 0.999 * len(want) and got <= want
+
+
 # Packing.
 @pytest.mark.parametrize("capacity", [7, 100, 2048])
 def test_plan_holds_everything(capacity):
