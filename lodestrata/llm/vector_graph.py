@@ -34,6 +34,8 @@ SHARD, SAMPLE, PROBES = 150_000, 20_000, 8
 TIE = 4e-6
 #: With near_only, a beam full of similarities that fall short by this much at most is too narrow to trust.
 DENSE = 0.1
+#: Unit vectors in double whose places differ by no more are of one direction: the rounding of single precision.
+SAME = 3e-7
 
 
 class Graph:
@@ -204,48 +206,95 @@ def unit(v: np.ndarray) -> np.ndarray:
     return knn.unit(v).astype(np.float32)
 
 
-def nearest(graph: Graph, raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM, near_only: bool = False, met: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of queries, id, similarity) of the k nearest others in a graph, cosines in double rounded to 6 places.
-
-    With near_only, a query whose beam is full of vectors of nearly at_least is
-    compared with all vectors of the graph. met: further candidates (row of queries, row of raw).
+def directions(u: np.ndarray) -> np.ndarray:
+    """A number for each of the unit vectors, equal for vectors of one direction but for rounding; a few of those may differ too."""
+    times = np.random.default_rng(2).integers(-(2**62), 2**62, u.shape[1])
+    key = np.concatenate([(np.round(u[at : at + 8192] * 1e5).astype(np.int64) * times).sum(1) for at in range(0, len(u), 8192)])
+    of, left = np.arange(len(u)), np.arange(len(u))
+    # Vectors that share a key but not a direction are looked at again; what is still left is on its own.
+    for _ in range(8):
+        _, first, back = np.unique(key[left], return_index=True, return_inverse=True)
+        least = left[first][back]
+        same = np.abs(u[left] - u[least]).max(1) <= SAME
+        of[left[same]] = least[same]
+        left = left[~same]
+        if not len(left):
+            break
+    return np.unique(of, return_inverse=True)[1]
+
+
+class _Held:
+    """The rows of a shard by id. Rows of one direction are one node of the graph, so they do not crowd it."""
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, asked: np.ndarray, beam: int, note: float | None):
+        order = np.argsort(ids)
+        self.ids, self.raw, self.asked = ids[order], raw[order], asked[order]
+        u = knn.unit(self.raw)
+        self.of = directions(u)
+        self.members = np.argsort(self.of, kind="stable")
+        self.count = np.bincount(self.of)
+        self.first = np.cumsum(self.count) - self.count
+        own = self.members[self.first]
+        #: How far a node's rows lie from the one that stands for it.
+        self.spread = np.zeros(len(own))
+        np.maximum.at(self.spread, self.of, np.linalg.norm(u - u[own[self.of]], axis=1))
+        self.graph = Graph(u[own].astype(np.float32), beam=beam, note=note)
+
+    def rows(self, queries: np.ndarray, row: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
+        """How many rows of each node must be looked at: those of the k + 1 smallest ids, or all where some may round otherwise."""
+        count = np.minimum(self.count[node], k + 1)
+        many = np.flatnonzero(self.count[node] > k + 1)
+        close = _cosines(queries, self.raw, row[many], self.members[self.first[node[many]]]) * 1e6
+        unsure = np.abs(close - np.floor(close) - 0.5) <= self.spread[node[many]] * 1e6 + 1e-6
+        count[many[unsure]] = self.count[node[many[unsure]]]
+        return count
+
+
+def nearest(held: _Held, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM, near_only: bool = False, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, id, similarity) of the k nearest others in a shard, cosines in double rounded to 6 places.
+
+    A query whose beam ends in a tie with the k-th, or with near_only is full of
+    vectors of nearly at_least, is compared with all vectors of the graph. more:
+    further candidates (row of queries, node).
     """
-    q = unit(queries)
+    q, graph = unit(queries), held.graph
     found, sims = graph.search(q, max(beam, k + 1))
     # The query itself may be among the k + 1 best.
-    least = np.maximum(-np.partition(-sims, k, axis=1)[:, k] - TIE, at_least - 1e-4)
-    full = near_only & (sims.min(1) >= at_least - DENSE)
+    best = -np.partition(-sims, k, axis=1)[:, k]
+    least, last = np.maximum(best - TIE, at_least - 1e-4), sims.min(1)
+    full = (last > -9) & (last >= at_least - 1e-4) & (last >= best - TIE) | near_only & (last >= at_least - DENSE)
     row, col = np.nonzero((found >= 0) & (sims >= least[:, None]) & ~full[:, None])
     node = graph.order[found[row, col]]
-    if met is not None:
-        some = ~full[met[0]]
-        key = np.unique(np.concatenate([row * len(ids) + node, met[0][some] * len(ids) + met[1][some]]))
-        row, node = key // len(ids), key % len(ids)
-    parts = [_exact(raw, ids, queries, query_ids, row, node, k, at_least)]
+    if more is not None:
+        some = ~full[more[0]]
+        key = np.unique(np.concatenate([row * len(held.count) + node, more[0][some] * len(held.count) + more[1][some]]))
+        row, node = key // len(held.count), key % len(held.count)
+    parts = [_exact(held, queries, query_ids, row, node, k, at_least)]
     full = np.flatnonzero(full)
     for at in range(0, len(full), 64):
         part = full[at : at + 64]
         row, node = np.nonzero(q[part] @ graph.x.T >= least[part, None])
-        parts.append(_exact(raw, ids, queries, query_ids, part[row], graph.order[node], k, at_least))
+        parts.append(_exact(held, queries, query_ids, part[row], graph.order[node], k, at_least))
     row, other, similarity = (np.concatenate(x) for x in zip(*parts, strict=True))
     return row, other, similarity
 
 
-def searched_and_met(graph: Graph, raw: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, at_least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, other, similarity) for the asked rows of the graph: the best of what a search for each on the whole graph finds and of what the building met."""
-    a, b = graph.met()
-    a, b = graph.order[a], graph.order[b]
+def own_neighbours(held: _Held, k: int, at_least: float, beam: int, near_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, other, similarity) for the asked rows of the shard: the best of what a search for each finds, of its own direction, and with near_only of what the building met."""
+    a, b = held.graph.met()
+    every = np.arange(len(held.count))
+    a, b = np.concatenate([held.graph.order[a], every]), np.concatenate([held.graph.order[b], every])
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
-    rows = np.flatnonzero(asked)
+    rows = np.flatnonzero(held.asked)
     for at in range(0, len(rows), 8192):
         part = rows[at : at + 8192]
-        first, last = np.searchsorted(a, part), np.searchsorted(a, part, "right")
+        first, last = np.searchsorted(a, held.of[part]), np.searchsorted(a, held.of[part], "right")
         count = last - first
         of = np.repeat(np.arange(len(part)), count)
-        met = of, b[np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
-        row, other, similarity = nearest(graph, raw, ids, raw[part], ids[part], k, at_least, beam, True, met)
-        yield ids[part][row], other, similarity
+        more = of, b[np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+        row, other, similarity = nearest(held, held.raw[part], held.ids[part], k, at_least, beam, near_only, more)
+        yield held.ids[part][row], other, similarity
 
 
 def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -257,11 +306,27 @@ def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, node: np.ndarray) ->
     return out
 
 
-def _exact(raw: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, row: np.ndarray, node: np.ndarray, k: int, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (row of queries, node) with their exact similarity, the k best of each row."""
-    exact = np.round(_cosines(queries, raw, row, node), 6)
-    keep = (exact >= at_least) & (ids[node] != query_ids[row])
-    row, other, exact = row[keep], ids[node[keep]], exact[keep]
+def _exact(held: _Held, queries: np.ndarray, query_ids: np.ndarray, row: np.ndarray, node: np.ndarray, k: int, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (row of queries, in order; node) as rows with their exact similarity, the k best of each row."""
+    count = held.rows(queries, row, node, k)
+    parts, total, at = [], np.cumsum(count), 0
+    while at < len(row) or not parts:
+        # About a million rows at once, and all of a query.
+        to = np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")
+        to = max(np.searchsorted(row, row[to]), np.searchsorted(row, row[at], "right")) if to < len(row) else len(row)
+        n = count[at:to]
+        of = np.repeat(row[at:to], n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        parts.append(_best_rows(held, queries, query_ids, of, held.members[np.repeat(held.first[node[at:to]], n) + place], k, at_least))
+        at = to
+    row, other, exact = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, other, exact
+
+
+def _best_rows(held: _Held, queries: np.ndarray, query_ids: np.ndarray, row: np.ndarray, of: np.ndarray, k: int, at_least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    exact = np.round(_cosines(queries, held.raw, row, of), 6)
+    keep = (exact >= at_least) & (held.ids[of] != query_ids[row])
+    row, other, exact = row[keep], held.ids[of[keep]], exact[keep]
     order = np.lexsort((other, -exact, row))
     row, other, exact = row[order], other[order], exact[order]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
@@ -297,7 +362,8 @@ def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries:
     building met counts beside what the search of a row finds.
 
     Rows of equal vectors are one node, so copies neither crowd the graph nor
-    each other out: their k + 1 smallest ids stand for them. A shard never
+    each other out: their k + 1 smallest ids stand for them. So are, within a
+    shard, rows of one direction, whatever their length. A shard never
     exceeds three times the stated size, as larger ones are split by a hash. Ids
     must be unique; an empty frame gives no rows.
 
@@ -388,24 +454,21 @@ class _Shards:
 def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        graph = raw = ids = None
+        own: _Held | None = None
         now = -1
 
         def reply(query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(query_ids), 8192):
-                row, other, similarity = nearest(graph, raw, ids, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam, near_only)
+                row, other, similarity = nearest(own, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam, near_only)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + 8192][row]), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
 
         def build() -> Iterator[pa.RecordBatch]:
-            nonlocal graph, raw, ids, held
+            nonlocal own, held
             ids, raw, asked = (np.concatenate(x) for x in zip(*held, strict=True))
             held = []
-            graph = Graph(unit(raw), beam=build_beam, note=at_least - 1e-4 if near_only else None)
-            if near_only:
-                for node, other, similarity in searched_and_met(graph, raw, ids, asked, k, at_least, beam):
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
-            else:
-                yield from reply(ids[asked], raw[asked])
+            own = _Held(ids, raw, asked, build_beam, at_least - 1e-4 if near_only else None)
+            for node, other, similarity in own_neighbours(own, k, at_least, beam, near_only):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -416,15 +479,15 @@ def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: boo
                 if s != now:
                     if held:
                         yield from build()
-                    now, graph = s, None
-                own = (shard == s) & ~away
-                if own.any():
-                    held.append((bid[own], v[own].copy(), basked[own]))
+                    now, own = s, None
+                home = (shard == s) & ~away
+                if home.any():
+                    held.append((bid[home], v[home].copy(), basked[home]))
                 out = (shard == s) & away
                 if out.any():
                     if held:
                         yield from build()
-                    if graph is not None:
+                    if own is not None:
                         yield from reply(bid[out], v[out])
         if held:
             yield from build()

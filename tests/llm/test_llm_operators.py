@@ -228,6 +228,20 @@ def test_near_rows_at_the_rim_of_a_dense_family(spark):
     assert len(got & few) >= 0.99 * len(few) and len(got & want) >= 0.999 * len(want) and got <= want
 
 
+@pytest.mark.parametrize("near", [{}, {"at_least": 0.85, "build_beam": 48, "beam": 48, "near_only": True}])
+def test_neighbours_copies_of_other_lengths(spark, near):
+    rng = np.random.default_rng(3)
+    x = clustered(900)
+    one = x[0] * rng.uniform(0.1, 9, size=(600, 1))
+    beside = x[0] + 0.05 * rng.normal(size=(40, 64))
+    x = np.concatenate([x, one, beside]).astype(np.float32)[rng.permutation(1540)]
+    ids = np.arange(len(x)) * 2
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
+    want = {(i, n, s) for i, t in brute(ids, x).items() for n, s in t if s >= near.get("at_least", 0.85)}
+    got = {r for r in rows(vector_graph.neighbours(knn.usable(df), 10, **near)) if r[2] >= 0.85}
+    assert len(want) > 6000 and got == want
+
+
 # Packing.
 @pytest.mark.parametrize("capacity", [7, 100, 2048])
 def test_plan_holds_everything(capacity):
