@@ -28,8 +28,8 @@ BUILD_BEAM, BEAM, EXPAND = 48, 128, 4
 CAP = 48
 #: Vectors searched at once; vectors that join the graph at once; nodes that searches may start from, and how many of them do.
 BLOCK, BATCH, GATES, STARTS = 256, 4096, 1024, 8
-#: Vectors of a shard on average, those sampled for centroids, and the shards asked at most.
-SHARD, SAMPLE, PROBES = 150_000, 20_000, 8
+#: Vectors of a shard on average, and those sampled for centroids.
+SHARD, SAMPLE = 150_000, 20_000
 #: Similarities in single precision that differ by less may be equal when rounded to 6 places.
 TIE = 4e-6
 #: With near_only, a beam full of similarities that fall short by this much at most is too narrow to trust.
@@ -347,14 +347,14 @@ def centroids(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, probes: int = PROBES, beam: int = BEAM, build_beam: int = BUILD_BEAM, near_only: bool = False) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, beam: int = BEAM, build_beam: int = BUILD_BEAM, near_only: bool = False) -> DataFrame:
     """(id, neighbour, similarity) of the k most similar other rows of every row of vectors(id, v), as knn.usable() gives them.
 
     With queries, a frame (id), only those rows are asked for, against all. The
     similarity is the cosine in double, rounded to 6 places; on a tie the
     smaller id comes first, and no neighbour below at_least is given. The search
-    is approximate: a true neighbour can be missed. Of a row's neighbours those
-    in the probes nearest shards (all, where there are no more) can be found.
+    is approximate: a true neighbour can be missed. A row is searched in every
+    shard, but for those that by their angles hold nothing of at_least for it.
 
     With near_only, for an at_least far above the similarity of unrelated rows,
     a lighter graph (build_beam) and a narrow beam do: a row whose beam is full
@@ -383,7 +383,7 @@ def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries:
         of = queries.select("id").join(members, "id", "left").select(F.coalesce("node", "id").alias("id"), F.lit(True).alias("asked")).distinct()
         nodes = nodes.join(of, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
     n = nodes.count()
-    shards = _Shards(nodes, n, shard, sample, probes)
+    shards = _Shards(nodes, n, shard, sample, at_least)
     sent = nodes.mapInArrow(shards.route, "shard int, away boolean, id long, asked boolean, v array<float>")
     sent = sent.repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "away")
     found = sent.mapInArrow(_answers(k, at_least, beam, build_beam, near_only), "node long, other long, similarity double")
@@ -408,25 +408,31 @@ def _best(found: DataFrame, of: str, other: str, k: int) -> DataFrame:
 class _Shards:
     """Where a vector lives and which shards its query asks."""
 
-    def __init__(self, nodes: DataFrame, n: int, shard: int, sample: int, probes: int):
+    def __init__(self, nodes: DataFrame, n: int, shard: int, sample: int, at_least: float):
         clusters = max(1, -(-n // shard))
-        self.probes, self.parts = min(probes, clusters), np.ones(clusters, np.int64)
+        self.parts, self.reach = np.ones(clusters, np.int64), np.full(clusters, np.pi)
         self.centres = np.zeros((1, 1), np.float32)
+        # Angles in single precision are off by less than the margin.
+        self.angle = np.arccos(np.clip(at_least, -1, 1)) + 2e-3
         if clusters > 1:
             rows = nodes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(sample, clusters)).toArrow()
             self.centres = centroids(unit(knn.matrix(rows["v"].combine_chunks())), clusters)
-            # One count for each shard's worth of vectors.
-            sizes = nodes.mapInArrow(self._home, "cluster int").groupBy("cluster").count().collect()
+            # One count and one angle for each shard's worth of vectors.
+            sizes = nodes.mapInArrow(self._home, "cluster int, angle double").groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect()
             for r in sizes:
-                self.parts[r["cluster"]] = max(1, -(-r["count"] // shard))
+                self.parts[r["cluster"]] = max(1, -(-r["n"] // shard))
+                self.reach[r["cluster"]] = r["reach"]
         self.first = np.r_[0, np.cumsum(self.parts)]
         self.count = int(self.first[-1])
 
+    def _angles(self, v: pa.Array) -> np.ndarray:
+        return np.arccos(np.clip(unit(knn.matrix(v)) @ self.centres.T, -1, 1))
+
     def _home(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = unit(knn.matrix(batch["v"])) @ self.centres.T
-                yield pa.RecordBatch.from_arrays([pa.array(near.argmax(1), pa.int32())], ["cluster"])
+                angles = self._angles(batch["v"])
+                yield pa.RecordBatch.from_arrays([pa.array(angles.argmin(1), pa.int32()), pa.array(angles.min(1), pa.float64())], ["cluster", "angle"])
 
     def route(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -434,21 +440,21 @@ class _Shards:
                 continue
             ids, asked = batch["id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
             n = len(ids)
-            if len(self.parts) == 1:
-                order = np.zeros((n, 1), np.int64)
-            else:
-                order = np.argsort(-(unit(knn.matrix(batch["v"])) @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+            angles = np.zeros((n, 1)) if len(self.parts) == 1 else self._angles(batch["v"])
+            near = angles.argmin(1)
             spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            home = self.first[order[:, 0]] + (spread % self.parts[order[:, 0]].astype(np.uint64)).astype(np.int64)
-            row, shard = [np.arange(n)], [home]
-            for k in range(order.shape[1]):
-                for part in range(int(self.parts[order[:, k]].max())):
-                    to = self.first[order[:, k]] + part
-                    some = np.flatnonzero(asked & (part < self.parts[order[:, k]]) & (to != home))
-                    row.append(some), shard.append(to[some])
-            away = np.repeat([False, True], [n, sum(map(len, row)) - n])
-            row, shard = np.concatenate(row), np.concatenate(shard)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(away), pa.array(ids[row]), pa.array(asked[row]), batch["v"].take(pa.array(row))], ["shard", "away", "id", "asked", "v"])
+            home = self.first[near] + (spread % self.parts[near].astype(np.uint64)).astype(np.int64)
+            yield self._sent(batch, np.arange(n), home, False)
+            for cluster in range(len(self.parts)):
+                # A vector of the cluster is at least the difference of the angles away.
+                asks = asked & (angles[:, cluster] - self.reach[cluster] <= self.angle)
+                for to in range(self.first[cluster], self.first[cluster + 1]):
+                    some = np.flatnonzero(asks & (home != to))
+                    if len(some):
+                        yield self._sent(batch, some, np.full(len(some), to), True)
+
+    def _sent(self, batch: pa.RecordBatch, row: np.ndarray, shard: np.ndarray, away: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(row), away)), batch["id"].take(pa.array(row)), batch["asked"].take(pa.array(row)), batch["v"].take(pa.array(row))], ["shard", "away", "id", "asked", "v"])
 
 
 def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: bool):

@@ -242,6 +242,17 @@ def test_neighbours_copies_of_other_lengths(spark, near):
     assert len(want) > 6000 and got == want
 
 
+def test_neighbours_in_many_shards(spark):
+    x = clustered(1800)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
+    true = brute(ids, x)
+    got = rows(vector_graph.neighbours(knn.usable(df), 10, shard=90))
+    assert len(set(got) & {(i, n, s) for i, t in true.items() for n, s in t}) >= 0.99 * 10 * len(x)
+    near = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=90, build_beam=48, beam=48, near_only=True)))
+    assert near == {(i, n, s) for i, t in true.items() for n, s in t if s >= 0.85}
+
+
 # Packing.
 @pytest.mark.parametrize("capacity", [7, 100, 2048])
 def test_plan_holds_everything(capacity):
