@@ -395,6 +395,7 @@ def cache_hits(spark, sf_dir):
     from lodestrata.functions.text import strip
 
     key = F.regexp_replace(F.lower(strip(F.col("query"))), r"\s+", " ")
-    asked = table(spark, sf_dir, "mcp_queries").where(F.col("query").isNotNull() & F.col("ts").between(1420070400, _NOW)).select("id", key.alias("key"), "ts", F.lit("1").alias("version")).distinct()
+    log = table(spark, sf_dir, "mcp_queries").withColumn("ts", stored_seconds(F.col("ts")))
+    asked = log.where(F.col("query").isNotNull() & (F.col("ts") <= _NOW)).select("id", key.alias("key"), "ts", F.lit("1").alias("version")).distinct()
     cache = asked.groupBy("key", "version").agg(F.max("ts").alias("created_at"))
     return caches.hits(cache, asked, _NOW, ttl=86400)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.catalog import table
 from lodestrata.functions import code, markdown
 from lodestrata.functions import text as T
-from lodestrata.functions.columns import tokens
+from lodestrata.functions.columns import stored_seconds, tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -192,8 +192,8 @@ _AS_OF = 1767225600
       CAST(floor(d) AS BIGINT) || 'd ago' AS ago FROM d WHERE d >= 1""",
 )
 def fresh_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = (F.lit(_AS_OF) - F.col("mtime")) / 86400
-    docs = table(spark, sf_dir, "docs").where((F.col("mtime") >= 1420070400) & (F.col("mtime") < _AS_OF) & (age >= 1))
+    age = (F.lit(_AS_OF) - stored_seconds(F.col("mtime"))) / 86400
+    docs = table(spark, sf_dir, "docs").where(age.isNotNull())
     return docs.select("id", T.fresh_label(age).alias("label"), T.relative_time(age * 86400).alias("ago"))
 
 

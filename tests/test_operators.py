@@ -319,3 +319,16 @@ def test_embedded_equals_the_relational_form(spark):
         norm = sum(v * v for v in r.v) ** 0.5
         assert {(r.id, d): pytest.approx(v / norm) for d, v in enumerate(r.v) if v} == {k: w for k, w in sparse.items() if k[0] == r.id}
     assert {r.id for r in retrieval.embedded(docs).collect()} == {1}
+
+
+def test_fresh_labels_and_cache_hits_read_every_unit(spark, tmp_path):
+    from lodestrata.plans import corpus, text
+
+    at = 1767225600 - 3 * 86400.0
+    docs = [(1, at), (2, at * 1e3), (3, at * 1e6), (4, 1767225600 - 7200.0), (5, None), (6, -1.0), (7, 1767225600.0)]
+    spark.createDataFrame(docs, "id long, mtime double").write.parquet(f"{tmp_path}/docs.parquet")
+    assert rows(text.fresh_labels(spark, str(tmp_path))) == [(1, "fresh 3d", "3d ago"), (2, "fresh 3d", "3d ago"), (3, "fresh 3d", "3d ago"), (4, "fresh", "2h ago")]
+    now = 1583798400.0
+    asked = [(1, "Alpha", now - 60), (2, "beta ", (now - 60) * 1e3), (3, "BETA", now - 90000), (4, "gamma", (now - 90000) * 1e6), (5, "alpha", (now + 60) * 1e3), (6, "beta", None)]
+    spark.createDataFrame(asked, "id long, query string, ts double").write.parquet(f"{tmp_path}/mcp_queries.parquet")
+    assert rows(corpus.cache_hits(spark, str(tmp_path)).select("id", "key", "hit")) == [(1, "alpha", True), (2, "beta", True), (3, "beta", True), (4, "gamma", False)]
