@@ -4,7 +4,7 @@ Vectors are put into shards of bounded size around centroids fitted on a bounded
 sample. Each shard builds one graph in memory: vectors join in growing batches,
 a greedy search on the graph so far proposes their neighbours, relaxed distance
 pruning keeps diverse edges, and edges back are added and pruned the same way.
-Beam searches then answer the queries of the shard. All steps run on many
+Beam searches then answer the queries that ask the shard. All steps run on many
 vectors at once as array operations.
 """
 
@@ -21,19 +21,23 @@ from lodestrata.operators import knn
 from lodestrata.session import materialize
 
 #: Edges out of a node after pruning, and before it is pruned again; the relaxation of distances in pruning.
-DEGREE, SLACK, ALPHA = 24, 32, 1.2
+DEGREE, SLACK, ALPHA = 16, 24, 1.2
 #: Beam widths of the searches that build the graph and of those that answer; nodes expanded at once.
-BUILD_BEAM, BEAM, EXPAND = 48, 128, 4
+BUILD_BEAM, BEAM, EXPAND = 32, 96, 4
 #: Candidates of a node that are looked at in pruning, the nearest.
-CAP = 48
+CAP = 40
 #: Vectors searched at once; vectors that join the graph at once; nodes that searches may start from, and how many of them do.
-BLOCK, BATCH, GATES, STARTS = 256, 4096, 1024, 8
-#: Vectors of a shard on average, and those sampled for centroids.
-SHARD, SAMPLE = 150_000, 20_000
+BLOCK, BATCH, GATES, STARTS = 256, 2048, 1024, 8
+#: Vectors of a shard on average.
+SHARD = 6_000
+#: Vectors sampled for centroids: so many at least, so many a shard, and so many at most.
+SAMPLE, SAMPLE_EACH, SAMPLE_MOST = 20_000, 16, 400_000
 #: Similarities in single precision that differ by less may be equal when rounded to 6 places.
 TIE = 4e-6
-#: With near_only, a beam full of similarities that fall short by this much at most is too narrow to trust.
+#: With a positive at_least, a beam full of similarities that fall short by this much at most is too narrow to trust.
 DENSE = 0.1
+#: Times a beam that is too narrow is widened, once; what does not do either is compared with all nodes of the shard.
+WIDER = 4
 #: Unit vectors in double whose places differ by no more are of one direction: the rounding of single precision.
 SAME = 3e-7
 
@@ -41,8 +45,7 @@ SAME = 3e-7
 class Graph:
     """A directed graph over unit vectors, for searches from a few gates."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1, degree: int = DEGREE, beam: int = BUILD_BEAM, note: float | None = None):
-        self.note, self.noted = note, []
+    def __init__(self, x: np.ndarray, seed: int = 1, degree: int = DEGREE, beam: int = BUILD_BEAM):
         self.order = np.random.default_rng(seed).permutation(len(x))
         self.x = np.ascontiguousarray(x[self.order], np.float32)
         self.n, self.degree = 0, degree
@@ -64,9 +67,6 @@ class Graph:
         if self.n:
             found, close = self.search(q, beam)
             ids, sims = np.concatenate([ids, found], 1), np.concatenate([sims, close], 1)
-        if self.note is not None:
-            row, col = np.nonzero(sims >= self.note)
-            self.noted.append((new[row], ids[row, col], sims[row, col]))
         for at in range(0, len(new), 512):
             rows = new[at : at + 512]
             self.edges[rows, : self.degree], self.sims[rows, : self.degree] = self._prune(ids[at : at + 512], sims[at : at + 512])
@@ -132,15 +132,6 @@ class Graph:
             out[at : at + 4096] = (added[at : at + 4096, :, None] == self.edges[nodes[at : at + 4096]][:, None, :]).any(2)
         return out
 
-    def met(self) -> tuple[np.ndarray, np.ndarray]:
-        """(node, node) of the pairs of at least the noted similarity that searches met while the graph was built, in both directions, each once.
-
-        A pair is missing where the later one to join had more nearer earlier vectors than its search holds.
-        """
-        a, b = (np.concatenate([n[k] for n in self.noted]).astype(np.int64) if self.noted else np.empty(0, np.int64) for k in (0, 1))
-        key = np.unique(np.concatenate([a * self.n + b, b * self.n + a]))
-        return key // max(1, self.n), key % max(1, self.n)
-
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of a beam for each query, in no order; -1 and -9 where it holds fewer."""
         parts = [self._search(queries[at : at + BLOCK], beam) for at in range(0, len(queries), BLOCK)]
@@ -150,7 +141,7 @@ class Graph:
         b, n = len(q), self.n
         gates = min(GATES, n)
         first = q @ self.x[:gates].T
-        starts = min(STARTS, gates)
+        starts = min(STARTS, gates, beam)
         at = np.argpartition(-first, starts - 1, axis=1)[:, :starts]
         ids = np.full((b, beam), -1, np.int32)
         sims = np.full((b, beam), -9, np.float32)
@@ -174,16 +165,17 @@ class Graph:
             key = (active.astype(np.int64) * n)[:, None] + near
             key = key[near >= 0]
             key = key[~seen.take(key)]
-            key.sort()
-            key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
             seen[key] = True
             row = key // n
-            node = key - row * n
-            sim = np.einsum("ij,ij->i", q.take(row, axis=0), self.x.take(node, axis=0))
+            sim = np.einsum("ij,ij->i", q.take(row, axis=0), self.x.take(key - row * n, axis=0))
             better = np.flatnonzero(sim > sims.min(1).take(row))
-            row, node, sim = row.take(better), node.take(better), sim.take(better)
-            if not len(row):
+            if not len(better):
                 continue
+            # Nodes met by two edges of one step are still twice here; few are left to tell apart.
+            key, once = np.unique(key.take(better), return_index=True)
+            sim = sim.take(better.take(once))
+            row = key // n
+            node = key - row * n
             head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             count = np.diff(np.r_[head, len(row)])
             rows = row[head]
@@ -226,7 +218,7 @@ def directions(u: np.ndarray) -> np.ndarray:
 class _Held:
     """The rows of a shard by id. Rows of one direction are one node of the graph, so they do not crowd it."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, asked: np.ndarray, beam: int, note: float | None):
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, asked: np.ndarray, beam: int):
         order = np.argsort(ids)
         self.ids, self.raw, self.asked = ids[order], raw[order], asked[order]
         u = knn.unit(self.raw)
@@ -238,7 +230,7 @@ class _Held:
         #: How far a node's rows lie from the one that stands for it.
         self.spread = np.zeros(len(own))
         np.maximum.at(self.spread, self.of, np.linalg.norm(u - u[own[self.of]], axis=1))
-        self.graph = Graph(u[own].astype(np.float32), beam=beam, note=note)
+        self.graph = Graph(u[own].astype(np.float32), beam=beam)
 
     def rows(self, queries: np.ndarray, row: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
         """How many rows of each node must be looked at: those of the k + 1 smallest ids, or all where some may round otherwise."""
@@ -250,53 +242,39 @@ class _Held:
         return count
 
 
-def nearest(held: _Held, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM, near_only: bool = False, more: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(held: _Held, queries: np.ndarray, query_ids: np.ndarray, k: int, at_least: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of queries, id, similarity) of the k nearest others in a shard, cosines in double rounded to 6 places.
 
-    A query whose beam ends in a tie with the k-th, or with near_only is full of
-    vectors of nearly at_least, is compared with all vectors of the graph. more:
-    further candidates (row of queries, node).
+    A beam that ends in a tie with the k-th, or that is full of vectors of nearly
+    a positive at_least, is too narrow: its query is searched again with a wider
+    one, and if that is full too, compared with all vectors of the graph. own:
+    the queries' nodes, if they are of this shard.
     """
     q, graph = unit(queries), held.graph
-    found, sims = graph.search(q, max(beam, k + 1))
-    # The query itself may be among the k + 1 best.
-    best = -np.partition(-sims, k, axis=1)[:, k]
-    least, last = np.maximum(best - TIE, at_least - 1e-4), sims.min(1)
-    full = (last > -9) & (last >= at_least - 1e-4) & (last >= best - TIE) | near_only & (last >= at_least - DENSE)
-    row, col = np.nonzero((found >= 0) & (sims >= least[:, None]) & ~full[:, None])
-    node = graph.order[found[row, col]]
-    if more is not None:
-        some = ~full[more[0]]
-        key = np.unique(np.concatenate([row * len(held.count) + node, more[0][some] * len(held.count) + more[1][some]]))
-        row, node = key // len(held.count), key % len(held.count)
-    parts = [_exact(held, queries, query_ids, row, node, k, at_least)]
-    full = np.flatnonzero(full)
-    for at in range(0, len(full), 64):
-        part = full[at : at + 64]
-        row, node = np.nonzero(q[part] @ graph.x.T >= least[part, None])
-        parts.append(_exact(held, queries, query_ids, part[row], graph.order[node], k, at_least))
+    parts, left, width = [], np.arange(len(q)), max(beam, k + 1)
+    for width in (width, width * WIDER):
+        found, sims = graph.search(q[left], width)
+        # The query itself may be among the k + 1 best.
+        best, last = -np.partition(-sims, k, axis=1)[:, k], sims.min(1)
+        least = np.maximum(best - TIE, at_least - 1e-4)
+        full = (last > -9) & ((last >= least) | (at_least > 0) & (last >= at_least - DENSE))
+        row, col = np.nonzero((found >= 0) & (sims >= least[:, None]) & ~full[:, None])
+        row, node = left[row], graph.order[found[row, col]]
+        if own is not None:
+            add = left[~full]
+            key = np.unique(np.concatenate([row * len(held.count) + node, add * len(held.count) + own[add]]))
+            row, node = key // len(held.count), key % len(held.count)
+        parts.append(_exact(held, queries, query_ids, row, node, k, at_least))
+        left, least = left[full], least[full]
+        if not len(left):
+            break
+    for at in range(0, len(left), 64):
+        row, node = np.nonzero(q[left[at : at + 64]] @ graph.x.T >= least[at : at + 64, None])
+        parts.append(_exact(held, queries, query_ids, left[at : at + 64][row], graph.order[node], k, at_least))
     row, other, similarity = (np.concatenate(x) for x in zip(*parts, strict=True))
     return row, other, similarity
 
 
-def own_neighbours(held: _Held, k: int, at_least: float, beam: int, near_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(id, other, similarity) for the asked rows of the shard: the best of what a search for each finds, of its own direction, and with near_only of what the building met."""
-    a, b = held.graph.met()
-    every = np.arange(len(held.count))
-    a, b = np.concatenate([held.graph.order[a], every]), np.concatenate([held.graph.order[b], every])
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    rows = np.flatnonzero(held.asked)
-    for at in range(0, len(rows), 8192):
-        part = rows[at : at + 8192]
-        first, last = np.searchsorted(a, held.of[part]), np.searchsorted(a, held.of[part], "right")
-        count = last - first
-        of = np.repeat(np.arange(len(part)), count)
-        more = of, b[np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
-        row, other, similarity = nearest(held, held.raw[part], held.ids[part], k, at_least, beam, near_only, more)
-        yield held.ids[part][row], other, similarity
-
-
 def _cosines(a: np.ndarray, b: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Cosines in double of pairs (row of a, row of b)."""
     out = np.empty(len(row))
@@ -334,59 +312,77 @@ def _best_rows(held: _Held, queries: np.ndarray, query_ids: np.ndarray, row: np.
     return row[keep], other[keep], exact[keep]
 
 
-def centroids(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means over a sample of unit vectors."""
+def centroids(x: np.ndarray, count: int, rounds: int = 8, cut: bool = True) -> np.ndarray:
+    """Spherical k-means over a sample of unit vectors, in two levels beyond 256 clusters; those of over twice the usual size are cut again."""
+    if count > 256:
+        top = centroids(x, int(np.sqrt(count)), rounds)
+        of = _closest(x, top)
+        return np.concatenate([centroids(x[of == k], max(1, round(count * (of == k).mean())), rounds) for k in np.unique(of)])
     c = x[np.linspace(0, len(x) - 1, count).astype(int)].copy()
     for _ in range(rounds):
-        of = (x @ c.T).argmax(1)
+        of = _closest(x, c)
         for k in range(count):
             own = x[of == k]
             if len(own):
                 m = own.mean(0)
                 c[k] = m / max(np.linalg.norm(m), 1e-12)
-    return c
+    of = _closest(x, c)
+    size = np.bincount(of, minlength=count)
+    large = np.flatnonzero(size > 2 * len(x) / count) if cut and count > 1 else []
+    parts = [centroids(x[of == k], int(np.ceil(size[k] * count / len(x))), rounds, False) for k in large]
+    return np.concatenate([np.delete(c, large, 0), *parts]) if len(large) else c
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[at : at + 8192] @ c.T).argmax(1) for at in range(0, len(x), 8192)])
 
 
-def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, shard: int = SHARD, sample: int = SAMPLE, beam: int = BEAM, build_beam: int = BUILD_BEAM, near_only: bool = False) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, at_least: float = -2.0, queries: DataFrame | None = None, gap: float | None = None, shard: int = SHARD, sample: int = SAMPLE, beam: int = BEAM, build_beam: int = BUILD_BEAM) -> DataFrame:
     """(id, neighbour, similarity) of the k most similar other rows of every row of vectors(id, v), as knn.usable() gives them.
 
     With queries, a frame (id), only those rows are asked for, against all. The
     similarity is the cosine in double, rounded to 6 places; on a tie the
     smaller id comes first, and no neighbour below at_least is given. The search
-    is approximate: a true neighbour can be missed. A row is searched in every
-    shard, but for those that by their angles hold nothing of at_least for it.
+    is approximate: a true neighbour can be missed.
 
-    With near_only, for an at_least far above the similarity of unrelated rows,
-    a lighter graph (build_beam) and a narrow beam do: a row whose beam is full
-    of rows of nearly at_least is compared with its whole shard, and what the
-    building met counts beside what the search of a row finds.
+    Every row lives in the shard of its nearest centroid and is searched, by a
+    beam search on the shard's graph, in each shard whose centroid is less
+    similar to it by gap at most, or in every shard if gap is None. With a gap
+    and no queries, a pair found from one side counts for the other too, so only
+    one of the two must ask the other's shard. How many shards a row asks hardly
+    grows with their number, and so does the work; what is missed by not asking
+    is measured for several numbers of shards (see the README).
 
     Rows of equal vectors are one node, so copies neither crowd the graph nor
     each other out: their k + 1 smallest ids stand for them. So are, within a
-    shard, rows of one direction, whatever their length. A shard never
-    exceeds three times the stated size, as larger ones are split by a hash. Ids
-    must be unique; an empty frame gives no rows.
-
-    The centroids are fitted on at most sample rows, those that come first by a
-    hash of their id, and every row is indexed. A shard is built and searched by
-    one task that holds its vectors and streams its queries, so a task's memory
-    is bounded by the size of a shard.
+    shard, rows of one direction, whatever their length. A cluster of over twice
+    the stated size is split into several shards by a hash, all of which are
+    asked where one is. Ids must be unique; an empty frame gives no rows.
+
+    The centroids are fitted on a bounded sample, the rows that come first by a
+    hash of their id: sample rows, SAMPLE_EACH a shard if that is more, at most
+    SAMPLE_MOST. Every row is indexed. A shard is built and searched by one task
+    that holds its vectors and streams its queries, so a task's memory is
+    bounded by the size of a shard.
     """
     rows = vectors.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     least = rows.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n"))
     members = materialize(rows.select("id", "h1", "h2").join(least.where("n > 1"), ["h1", "h2"]).select("id", "node"))
     copies = members.where("id <> node").select("id")
-    nodes = vectors.join(copies, "id", "left_anti")
+    nodes = vectors.select("id", "v").join(copies, "id", "left_anti")
     if queries is None:
         nodes = nodes.withColumn("asked", F.lit(True))
     else:
         of = queries.select("id").join(members, "id", "left").select(F.coalesce("node", "id").alias("id"), F.lit(True).alias("asked")).distinct()
         nodes = nodes.join(of, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    n = nodes.count()
-    shards = _Shards(nodes, n, shard, sample, at_least)
+    nodes = materialize(nodes)
+    shards = _Shards(nodes, shard, sample, gap)
     sent = nodes.mapInArrow(shards.route, "shard int, away boolean, id long, asked boolean, v array<float>")
     sent = sent.repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "away")
-    found = sent.mapInArrow(_answers(k, at_least, beam, build_beam, near_only), "node long, other long, similarity double")
+    found = sent.mapInArrow(_answers(k, at_least, beam, build_beam), "node long, other long, similarity double")
+    if gap is not None and queries is None:
+        # Others may be copies' stand-ins by direction, never copies that are left out, so both ends are nodes.
+        found = found.select(F.explode(F.array(F.struct("node", "other", "similarity"), F.struct(F.col("other").alias("node"), F.col("node").alias("other"), "similarity"))).alias("e")).select("e.*").distinct()
     if shards.count > 1:
         found = _best(found, "node", "other", k)
     # Copies: a neighbour stands for its smallest ids, an asked node for all of its rows, and copies are neighbours of each other.
@@ -408,73 +404,71 @@ def _best(found: DataFrame, of: str, other: str, k: int) -> DataFrame:
 class _Shards:
     """Where a vector lives and which shards its query asks."""
 
-    def __init__(self, nodes: DataFrame, n: int, shard: int, sample: int, at_least: float):
-        clusters = max(1, -(-n // shard))
-        self.parts, self.reach = np.ones(clusters, np.int64), np.full(clusters, np.pi)
-        self.centres = np.zeros((1, 1), np.float32)
-        # Angles in single precision are off by less than the margin.
-        self.angle = np.arccos(np.clip(at_least, -1, 1)) + 2e-3
+    def __init__(self, nodes: DataFrame, shard: int, sample: int, gap: float | None):
+        self.gap = np.inf if gap is None else gap
+        self.parts, self.centres = np.ones(1, np.int64), np.zeros((1, 1), np.float32)
+        clusters = max(1, -(-nodes.count() // shard))
         if clusters > 1:
-            rows = nodes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(sample, clusters)).toArrow()
-            self.centres = centroids(unit(knn.matrix(rows["v"].combine_chunks())), clusters)
-            # One count and one angle for each shard's worth of vectors.
-            sizes = nodes.mapInArrow(self._home, "cluster int, angle double").groupBy("cluster").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect()
-            for r in sizes:
-                self.parts[r["cluster"]] = max(1, -(-r["n"] // shard))
-                self.reach[r["cluster"]] = r["reach"]
+            some = min(max(sample, SAMPLE_EACH * clusters), SAMPLE_MOST)
+            rows = nodes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(some).toArrow()
+            self.centres = centroids(unit(knn.matrix(rows["v"].combine_chunks())), min(clusters, rows.num_rows))
+            self.parts = np.ones(len(self.centres), np.int64)
+            # One count for each shard's worth of vectors.
+            for r in nodes.select("v").mapInArrow(self._home, "cluster int, n long").groupBy("cluster").agg(F.sum("n").alias("n")).collect():
+                self.parts[r["cluster"]] = max(1, -(-r["n"] // (2 * shard)))
         self.first = np.r_[0, np.cumsum(self.parts)]
         self.count = int(self.first[-1])
 
-    def _angles(self, v: pa.Array) -> np.ndarray:
-        return np.arccos(np.clip(unit(knn.matrix(v)) @ self.centres.T, -1, 1))
+    def _close(self, v: pa.Array) -> np.ndarray:
+        return unit(knn.matrix(v)) @ self.centres.T
 
     def _home(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                angles = self._angles(batch["v"])
-                yield pa.RecordBatch.from_arrays([pa.array(angles.argmin(1), pa.int32()), pa.array(angles.min(1), pa.float64())], ["cluster", "angle"])
+                cluster, n = np.unique(self._close(batch["v"]).argmax(1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), pa.array(n, pa.int64())], ["cluster", "n"])
 
     def route(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, asked = batch["id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
-            n = len(ids)
-            angles = np.zeros((n, 1)) if len(self.parts) == 1 else self._angles(batch["v"])
-            near = angles.argmin(1)
-            spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            home = self.first[near] + (spread % self.parts[near].astype(np.uint64)).astype(np.int64)
-            yield self._sent(batch, np.arange(n), home, False)
-            for cluster in range(len(self.parts)):
-                # A vector of the cluster is at least the difference of the angles away.
-                asks = asked & (angles[:, cluster] - self.reach[cluster] <= self.angle)
-                for to in range(self.first[cluster], self.first[cluster + 1]):
-                    some = np.flatnonzero(asks & (home != to))
-                    if len(some):
-                        yield self._sent(batch, some, np.full(len(some), to), True)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                ids, asked = batch["id"].to_numpy(), batch["asked"].to_numpy(zero_copy_only=False)
+                close = np.zeros((len(ids), 1)) if len(self.parts) == 1 else self._close(batch["v"])
+                near = close.argmax(1)
+                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                home = self.first[near] + (spread % self.parts[near].astype(np.uint64)).astype(np.int64)
+                row, cluster = np.nonzero(asked[:, None] & (close >= close.max(1, keepdims=True) - self.gap))
+                # All parts of the clusters asked, but for the row's own.
+                n = self.parts[cluster]
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, to = np.repeat(row, n), np.repeat(self.first[cluster], n) + part
+                away = to != home[row]
+                yield self._sent(batch, np.arange(len(ids)), home, False)
+                if away.any():
+                    yield self._sent(batch, row[away], to[away], True)
 
     def _sent(self, batch: pa.RecordBatch, row: np.ndarray, shard: np.ndarray, away: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(row), away)), batch["id"].take(pa.array(row)), batch["asked"].take(pa.array(row)), batch["v"].take(pa.array(row))], ["shard", "away", "id", "asked", "v"])
 
 
-def _answers(k: int, at_least: float, beam: int, build_beam: int, near_only: bool):
+def _answers(k: int, at_least: float, beam: int, build_beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own: _Held | None = None
         now = -1
 
-        def reply(query_ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def reply(query_ids: np.ndarray, queries: np.ndarray, nodes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(query_ids), 8192):
-                row, other, similarity = nearest(own, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam, near_only)
+                row, other, similarity = nearest(own, queries[at : at + 8192], query_ids[at : at + 8192], k, at_least, beam, None if nodes is None else nodes[at : at + 8192])
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at : at + 8192][row]), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal own, held
             ids, raw, asked = (np.concatenate(x) for x in zip(*held, strict=True))
             held = []
-            own = _Held(ids, raw, asked, build_beam, at_least - 1e-4 if near_only else None)
-            for node, other, similarity in own_neighbours(own, k, at_least, beam, near_only):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(similarity)], ["node", "other", "similarity"])
+            own = _Held(ids, raw, asked, build_beam)
+            rows = np.flatnonzero(own.asked)
+            yield from reply(own.ids[rows], own.raw[rows], own.of[rows])
 
         for batch in batches:
             if not batch.num_rows:

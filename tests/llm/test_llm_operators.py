@@ -189,7 +189,7 @@ def test_neighbours_recall(spark, shard):
         got.setdefault(r.id, []).append((r.neighbour, r.similarity))
     hit = sum(len({n for n, _ in got[i]} & {n for n, _ in t}) for i, t in true.items()) / (10 * len(x))
     assert hit >= 0.9
-    near = rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=shard, build_beam=32, beam=48, near_only=True))
+    near = rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=shard, beam=24))
     want = sorted((i, n, s) for i, t in true.items() for n, s in t if s >= 0.85)
     assert len(set(near) & set(want)) >= 0.99 * len(want) and set(near) <= set(want)
 
@@ -221,14 +221,14 @@ def test_near_rows_at_the_rim_of_a_dense_family(spark):
     ids = np.arange(len(x))
     true = brute(ids, x)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id long, embedding array<float>")
-    got = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, build_beam=48, beam=48, near_only=True)))
+    got = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, beam=24)))
     want = {(i, n, s) for i, t in true.items() for n, s in t if s >= 0.85}
     few = {p for p in want if sum(s >= 0.85 for _, s in true[p[0]]) < 10}
     assert len(few) > 100
     assert len(got & few) >= 0.99 * len(few) and len(got & want) >= 0.999 * len(want) and got <= want
 
 
-@pytest.mark.parametrize("near", [{}, {"at_least": 0.85, "build_beam": 48, "beam": 48, "near_only": True}])
+@pytest.mark.parametrize("near", [{}, {"at_least": 0.85, "beam": 24}, {"at_least": 0.85, "beam": 24, "gap": 0.1, "shard": 200}])
 def test_neighbours_copies_of_other_lengths(spark, near):
     rng = np.random.default_rng(3)
     x = clustered(900)
@@ -249,8 +249,20 @@ def test_neighbours_in_many_shards(spark):
     true = brute(ids, x)
     got = rows(vector_graph.neighbours(knn.usable(df), 10, shard=90))
     assert len(set(got) & {(i, n, s) for i, t in true.items() for n, s in t}) >= 0.99 * 10 * len(x)
-    near = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=90, build_beam=48, beam=48, near_only=True)))
-    assert near == {(i, n, s) for i, t in true.items() for n, s in t if s >= 0.85}
+    near = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=90, beam=24)))
+    want = {(i, n, s) for i, t in true.items() for n, s in t if s >= 0.85}
+    assert near == want
+    few = set(rows(vector_graph.neighbours(knn.usable(df), 10, at_least=0.85, shard=90, gap=0.1, beam=24)))
+    assert few <= want and len(few) >= 0.98 * len(want)
+
+
+def test_centroids_of_equal_and_unequal_rows():
+    rng = np.random.default_rng(0)
+    x = knn.unit(rng.normal(size=(3000, 16))).astype(np.float32)
+    x[:2000] = x[0]
+    for count in (1, 7, 300):
+        c = vector_graph.centroids(x, count)
+        assert np.isfinite(c).all() and len(c) >= count // 2
 
 
 # Packing.
