@@ -51,7 +51,7 @@ def equal_success(cases: DataFrame) -> DataFrame:
 
 
 #: Weights of a judge's marks.
-WEIGHTS = {"relevance": 0.35, "completeness": 0.25, "accuracy": 0.20, "clarity": 0.10, "concision": 0.10}
+WEIGHTS = {"correctness": 0.35, "autonomy": 0.25, "actionability": 0.20, "safety": 0.10, "concision": 0.10}
 
 
 def weighted_marks(marks: DataFrame) -> DataFrame:

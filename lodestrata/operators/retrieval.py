@@ -13,7 +13,7 @@ from lodestrata.session import materialize, spread
 #: Constants of Okapi BM25, of reciprocal rank fusion (ranks from 0), and of the scores.
 K1, B, RRF, HALF_LIFE_DAYS, IMPORTANCE = 1.2, 0.75, 60, 90.0, 0.35
 #: Weights of statuses; any other weighs 1.
-STATUS_WEIGHTS = {"canonical": 1.0, "plan": 0.85, "stale": 0.5, "superseded": 0.6, "duplicate": 0.3}
+STATUS_WEIGHTS = {"canonical": 1.0, "plan": 0.85, "stale": 0.5, "duplicate": 0.6, "superseded": 0.3}
 #: Marks of statuses in a listing.
 STATUS_MARKS = {"canonical": "★", "plan": "◯", "stale": "✗", "duplicate": "⚠", "superseded": "⤺"}
 TERM = "[a-z0-9]{2,}"

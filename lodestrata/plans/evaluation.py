@@ -112,7 +112,7 @@ def equal_success(spark, sf_dir):
 
 @_query("weighted_marks", "SELECT id, round(0.35 * least(100, greatest(0, elapsed_ms)) + 0.25 * least(100, greatest(0, n_results * 20)) + 0.20 * least(100, greatest(0, top5_overlap * 20)) + 0.10 * least(100, greatest(0, top1_lift)) + 0.10 * least(100, greatest(0, reranked)), 6) AS weighted FROM log")
 def weighted_marks(spark, sf_dir):
-    marks = table(spark, sf_dir, "mcp_queries").distinct().select("id", F.col("elapsed_ms").alias("relevance"), (F.col("n_results") * 20).alias("completeness"), (F.col("top5_overlap") * 20).alias("accuracy"), F.col("top1_lift").alias("clarity"), F.col("reranked").alias("concision"))
+    marks = table(spark, sf_dir, "mcp_queries").distinct().select("id", F.col("elapsed_ms").alias("correctness"), (F.col("n_results") * 20).alias("autonomy"), (F.col("top5_overlap") * 20).alias("actionability"), F.col("top1_lift").alias("safety"), F.col("reranked").alias("concision"))
     return E.weighted_marks(marks).select("id", "weighted")
 
 

@@ -41,7 +41,7 @@ everything AS (SELECT id, title, concat_ws(' ', title, content) AS text, content
   coalesce(nullif(lower(trim(coalesce(status, ''))), ''), 'canonical') AS status, {_TIME} AS "at", coalesce(importance, 0) AS importance, coalesce(tokens_est, 0) AS tokens_est, path, ext_id FROM docs),
 d AS (SELECT * FROM everything WHERE lifecycle NOT IN ('pending_delete', 'archived') AND status <> 'duplicate'),
 """
-_STATUS = "CASE status WHEN 'plan' THEN 0.85 WHEN 'stale' THEN 0.5 WHEN 'superseded' THEN 0.6 WHEN 'duplicate' THEN 0.3 ELSE 1 END"
+_STATUS = "CASE status WHEN 'plan' THEN 0.85 WHEN 'stale' THEN 0.5 WHEN 'duplicate' THEN 0.6 WHEN 'superseded' THEN 0.3 ELSE 1 END"
 _FRESH = f"""coalesce(0.5 + 0.5 / (1 + greatest(0, ({AS_OF} - "at") / 86400) / 90), 0.5)"""
 
 

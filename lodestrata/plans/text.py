@@ -226,15 +226,15 @@ def probe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "scores_parsed",
-    """WITH j AS (SELECT doc_id, 'note {"relevance": ' || n_chars || ', "clarity": "x"} end' AS s FROM documents WHERE n_chars IS NOT NULL)
-    SELECT doc_id, CAST(greatest(0, least(100, coalesce(TRY_CAST(json_extract_string(regexp_extract(s, '(\\{.*\\})', 1), '$.relevance') AS INT), 0))) AS INT) AS relevance, 0 AS clarity FROM j""",
+    """WITH j AS (SELECT doc_id, 'note {"correctness": ' || n_chars || ', "safety": "x"} end' AS s FROM documents WHERE n_chars IS NOT NULL)
+    SELECT doc_id, CAST(greatest(0, least(100, coalesce(TRY_CAST(json_extract_string(regexp_extract(s, '(\\{.*\\})', 1), '$.correctness') AS INT), 0))) AS INT) AS correctness, 0 AS safety FROM j""",
 )
 def scores_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores read from the first {...} of a judge's answer, clamped to 0..100; what cannot be read counts 0."""
-    said = F.concat(F.lit('note {"relevance": '), F.col("n_chars").cast("string"), F.lit(', "clarity": "x"} end'))
-    docs = table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", F.from_json(F.regexp_extract(said, r"(\{.*\})", 1), "relevance string, clarity string").alias("j"))
+    said = F.concat(F.lit('note {"correctness": '), F.col("n_chars").cast("string"), F.lit(', "safety": "x"} end'))
+    docs = table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", F.from_json(F.regexp_extract(said, r"(\{.*\})", 1), "correctness string, safety string").alias("j"))
     score = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.col(c).try_cast("int"), F.lit(0))))
-    return docs.select("doc_id", score("j.relevance").alias("relevance"), score("j.clarity").alias("clarity"))
+    return docs.select("doc_id", score("j.correctness").alias("correctness"), score("j.safety").alias("safety"))
 
 
 @_query(

@@ -332,3 +332,13 @@ def test_fresh_labels_and_cache_hits_read_every_unit(spark, tmp_path):
     asked = [(1, "Alpha", now - 60), (2, "beta ", (now - 60) * 1e3), (3, "BETA", now - 90000), (4, "gamma", (now - 90000) * 1e6), (5, "alpha", (now + 60) * 1e3), (6, "beta", None)]
     spark.createDataFrame(asked, "id long, query string, ts double").write.parquet(f"{tmp_path}/mcp_queries.parquet")
     assert rows(corpus.cache_hits(spark, str(tmp_path)).select("id", "key", "hit")) == [(1, "alpha", True), (2, "beta", True), (3, "beta", True), (4, "gamma", False)]
+
+
+def test_fixed_values():
+    """Values that results must agree on, written out here and not read from the engine."""
+    from lodestrata.operators import evaluation, retrieval
+
+    assert retrieval.STATUS_WEIGHTS == {"canonical": 1.0, "plan": 0.85, "stale": 0.5, "duplicate": 0.6, "superseded": 0.3}
+    assert retrieval.STATUS_MARKS == {"canonical": "★", "plan": "◯", "stale": "✗", "duplicate": "⚠", "superseded": "⤺"}
+    assert evaluation.WEIGHTS == {"correctness": 0.35, "autonomy": 0.25, "actionability": 0.20, "safety": 0.10, "concision": 0.10}
+    assert (retrieval.RRF, retrieval.HALF_LIFE_DAYS, retrieval.IMPORTANCE) == (60, 90.0, 0.35)
