@@ -42,9 +42,19 @@ def table_of_contents(docs: DataFrame, id_col: str = "id", text_col: str = "cont
     return found.select("doc_id", "n", F.least(F.col("level") + 1, F.lit(6)).alias("level"), "title", F.when(place == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), place.cast("string"))).alias("anchor"))
 
 
-_LINE = re.compile(r"\r\n|\n")
-_HEAD = re.compile(r"(#{1,6})\s+(\S.*)$", re.DOTALL)
-_CLOSING = re.compile(r"\s*#+\s*$")
+#: What can start a line and matter: a fence, or one to six # with a text.
+_MARK = re.compile(r"^(?:[^\S\n]*(?P<fence>```)|(?P<level>#{1,6})[^\S\n]+(?P<title>\S[^\n]*))", re.MULTILINE)
+_RULE = re.compile(r"^---$", re.MULTILINE)
+
+
+def headings(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, level, title) of the heading lines of a text with Unix lines, outside fences; hashes at a title's end are no part of it."""
+    inside = False
+    for mark in _MARK.finditer(text):
+        if mark["fence"]:
+            inside = not inside
+        elif not inside and (title := mark["title"].rstrip().rstrip("#").rstrip()):
+            yield mark.start(), mark.end(), len(mark["level"]), title
 
 
 def parse(content: str) -> list[tuple[str, str]]:
@@ -56,33 +66,19 @@ def parse(content: str) -> list[tuple[str, str]]:
     closes at lines that begin, after white space, with three backticks; one
     never closed reaches to the end. The path holds the texts of the open
     headings, outermost first.
+
+    The headings' spans are found in one pass, and a section is the slice
+    between two of them; an open heading stands in the slot of its level.
     """
-    rows = _LINE.split(content)
-    if rows and rows[0] == "---" and "---" in rows[1:]:
-        rows = rows[rows.index("---", 1) + 1 :]
-    out: list[tuple[str, str]] = []
-    path: list[tuple[int, str]] = []
-    held: list[str] = []
-    fenced = False
-
-    def close() -> None:
-        text = "\n".join(held).strip()
-        if text:
-            out.append((" > ".join(t for _, t in path), text))
-        held.clear()
-
-    for row in rows:
-        if row.lstrip().startswith("```"):
-            fenced = not fenced
-        elif not fenced and row.startswith("#") and (m := _HEAD.match(row)) and (title := _CLOSING.sub("", m[2]).strip()):
-            close()
-            level = len(m[1])
-            while path and path[-1][0] >= level:
-                path.pop()
-            path.append((level, title))
-            continue
-        held.append(row)
-    close()
+    text = content.replace("\r\n", "\n")
+    begin = rule.end() if text.startswith("---\n") and (rule := _RULE.search(text, 4)) else 0
+    text = text[begin:]
+    slots, out, at = [""] * 7, [], 0
+    for start, end, level, title in (*headings(text), (len(text), len(text), 0, "")):
+        if body_ := text[at:start].strip():
+            out.append((" > ".join(filter(None, slots)), body_))
+        slots[level:] = [title] + [""] * (6 - level)
+        at = end
     return out
 
 

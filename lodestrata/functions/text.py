@@ -1,10 +1,13 @@
 """Text functions as column expressions, for markdown documents, queries and tags.
 
-Null texts give null unless stated; no function leaves the JVM.
+Null texts give null unless stated; no function but packed() leaves the JVM.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -187,22 +190,30 @@ def palette_place(c: Column, colours: int) -> Column:
 
 
 def packed(c: Column, most: int) -> Column:
-    """Paragraphs packed greedily into pieces of at most so many tokens; a paragraph over the limit stays whole, alone.
+    """Paragraphs packed greedily into pieces of at most so many tokens; a paragraph over the limit stays whole, alone; null for null.
 
-    One fold over the paragraphs: pieces are kept in a string behind separators,
-    the last piece and its tokens beside it.
+    Packing has no relational form, so it is an Arrow pass over each batch, in
+    time that grows with the text and not with its square.
     """
-    text = strip(c)
-    size = lambda s: F.when(F.char_length(s) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.char_length(s) / 4))).cast("long")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("cur"), F.lit(0).cast("long").alias("tok"), F.lit(False).alias("some"))
-
-    def step(a: Column, p: Column) -> Column:
-        flush = a["some"] & (a["tok"] + size(p) > most)
-        done = F.when(flush, F.concat(a["done"], a["cur"], F.lit("\u001e"))).otherwise(a["done"])
-        cur = F.when(flush | ~a["some"], p).otherwise(F.concat(a["cur"], F.lit("\n\n"), p))
-        tok = F.when(flush | ~a["some"], size(p)).otherwise(a["tok"] + size(p))
-        return F.struct(done.alias("done"), cur.alias("cur"), tok.alias("tok"), F.lit(True).alias("some"))
-
-    pieces = F.aggregate(F.split(text, r"\n\s*\n"), start, step, lambda a: F.concat(a["done"], a["cur"]))
-    split = F.filter(F.transform(F.split(pieces, "\u001e"), strip), lambda s: s != "")
-    return F.when(size(text) <= most, F.filter(F.array(text), lambda s: s != "")).otherwise(split)
+    blank, ends = re.compile(r"\n\s*\n", re.ASCII), " \t\n\x0b\x0c\r"
+    size = lambda s: max(1, len(s) // 4) if s else 0
+
+    def pieces(text: str) -> list[str]:
+        text = text.strip(ends)
+        if size(text) <= most:
+            return [text] if text else []
+        out: list[list[str]] = []
+        room = -1
+        for paragraph in blank.split(text):
+            if room < size(paragraph):
+                out.append([])
+                room = most
+            out[-1].append(paragraph)
+            room -= size(paragraph)
+        return [p for p in ("\n\n".join(parts).strip(ends) for parts in out) if p]
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(pieces, na_action="ignore")
+
+    return run(c)

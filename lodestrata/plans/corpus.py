@@ -386,7 +386,7 @@ _NOW = 1583798400
 
 @_query(
     "cache_hits",
-    rf""", q AS (SELECT DISTINCT id, regexp_replace(lower(regexp_replace(query, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS key, ts FROM mcp_queries WHERE query IS NOT NULL AND ts BETWEEN 1420070400 AND {_NOW}),
+    rf""", q AS (SELECT DISTINCT id, regexp_replace(lower(regexp_replace(query, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS key, t AS ts FROM (SELECT *, CASE WHEN ts >= 1420070400 AND ts < 1767225600 THEN ts WHEN ts / 1e3 >= 1420070400 AND ts / 1e3 < 1767225600 THEN ts / 1e3 WHEN ts / 1e6 >= 1420070400 AND ts / 1e6 < 1767225600 THEN ts / 1e6 END AS t FROM mcp_queries) WHERE query IS NOT NULL AND t <= {_NOW}),
     cache AS (SELECT key, max(ts) AS created_at FROM q GROUP BY key ORDER BY created_at DESC, key LIMIT 2000)
     SELECT q.id, q.key, coalesce(c.created_at IS NOT NULL AND {_NOW} - c.created_at < 86400, false) AS hit FROM q LEFT JOIN cache c USING (key)""",
 )

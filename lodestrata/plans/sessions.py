@@ -16,7 +16,7 @@ def p3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sessions(log_actors(table(spark, sf_dir, "mcp_queries")))
 
 
-_SESSIONS = r"""
+SESSIONS = r"""
 WITH raw AS (
   SELECT id,
     regexp_replace(lower(coalesce("user", '')), '[^\p{L}\p{N}._-]', '', 'g') AS u,
@@ -38,8 +38,8 @@ spans AS (
 
 QUERIES = {"p3_found": p3_found, "p3_sessions": p3_sessions}
 ORACLES = {
-    "p3_found": _SESSIONS + 'SELECT actor, min(id) FILTER (WHERE "at" = lo) AS first_id, max(id) FILTER (WHERE "at" = hi) AS last_id FROM spans GROUP BY actor, session_no',
-    "p3_sessions": _SESSIONS
+    "p3_found": SESSIONS + 'SELECT actor, min(id) FILTER (WHERE "at" = lo) AS first_id, max(id) FILTER (WHERE "at" = hi) AS last_id FROM spans GROUP BY actor, session_no',
+    "p3_sessions": SESSIONS
     + """SELECT actor, CAST(session_no AS BIGINT) AS session_no, min("at") AS start, max("at") AS "end", max("at") - min("at") AS duration,
       count(*) AS n_events, count(DISTINCT query) AS n_items, min(id) FILTER (WHERE "at" = lo) AS first_id, max(id) FILTER (WHERE "at" = hi) AS last_id
       FROM spans GROUP BY actor, session_no""",

@@ -187,9 +187,10 @@ _AS_OF = 1767225600
 
 @_query(
     "fresh_labels",
-    f"""WITH d AS (SELECT id, ({_AS_OF} - mtime) / 86400 AS d FROM docs WHERE mtime >= 1420070400 AND mtime < {_AS_OF})
+    f"""WITH t AS (SELECT id, CASE WHEN mtime >= 1420070400 AND mtime < 1767225600 THEN mtime WHEN mtime / 1e3 >= 1420070400 AND mtime / 1e3 < 1767225600 THEN mtime / 1e3 WHEN mtime / 1e6 >= 1420070400 AND mtime / 1e6 < 1767225600 THEN mtime / 1e6 END AS t FROM docs),
+    d AS (SELECT id, ({_AS_OF} - t) / 86400 AS d, ({_AS_OF} - t) / 86400 * 86400 AS s FROM t WHERE t IS NOT NULL)
     SELECT id, CASE WHEN d < 1 THEN 'fresh' WHEN d < 7 THEN 'fresh ' || CAST(floor(d) AS BIGINT) || 'd' WHEN d < 30 THEN CAST(floor(d) AS BIGINT) || 'd' WHEN d < 365 THEN CAST(floor(d / 7) AS BIGINT) || 'w' ELSE CAST(floor(d / 365) AS BIGINT) || 'y' END AS label,
-      CAST(floor(d) AS BIGINT) || 'd ago' AS ago FROM d WHERE d >= 1""",
+      CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || 's ago' WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ago' WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago FROM d""",
 )
 def fresh_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = (F.lit(_AS_OF) - stored_seconds(F.col("mtime"))) / 86400

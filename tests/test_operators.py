@@ -1,5 +1,6 @@
 """Small cases of the core operators."""
 
+import json
 import random
 import statistics
 
@@ -25,9 +26,9 @@ def column(spark, value, f, kind="string"):
 
 
 def test_sessions_gap_duplicates_and_nulls(spark):
-    events = [("a", 0.0, 1, "q"), ("a", 1800.0, 2, "q"), ("a", 3600.5, 3, "r"), ("a", 0.0, 1, "q"), (None, 5.0, 9, "q"), ("b", None, 10, "q"), ("b", float("nan"), 11, "q"), ("b", 7.0, 12, None), ("c", 5.0, None, "q")]
+    events = [("a", 0.0, 1, "q"), ("a", 1800.0, 2, "q"), ("a", 3600.000001, 3, "r"), ("a", 0.0, 1, "q"), (None, 5.0, 9, "q"), ("b", None, 10, "q"), ("b", float("nan"), 11, "q"), ("b", 7.0, 12, None), ("c", 5.0, None, "q")]
     df = spark.createDataFrame(events, "actor string, at double, event_id long, item string").withColumn("slice", F.lit("clash")).withColumn("session_no", F.lit("clash"))
-    assert rows(merge_sessions(df)) == [("a", 0, 0.0, 1800.0, 1800.0, 2, 1, 1, 2), ("a", 1, 3600.5, 3600.5, 0.0, 1, 1, 3, 3), ("b", 0, 7.0, 7.0, 0.0, 1, 0, 12, 12)]
+    assert rows(merge_sessions(df)) == [("a", 0, 0.0, 1800.0, 1800.0, 2, 1, 1, 2), ("a", 1, 3600.000001, 3600.000001, 0.0, 1, 1, 3, 3), ("b", 0, 7.0, 7.0, 0.0, 1, 0, 12, 12)]
     assert merge_sessions(df.limit(0)).count() == 0
 
 
@@ -262,12 +263,61 @@ def test_files(spark, tmp_path):
 
 def test_streamed_windows_equal_batch(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = log.events_stream(spark, f"{data}/events.parquet")
-    got = log.drained(log.tumbling(stream).select("start", "event_type", "n"), "t", f"file://{tmp_path}")
+    source = log.events_stream(spark, f"{data}/events.parquet")
     batch = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
-    # The last window stays open until the watermark passes it.
+    stream = log.closing(source, f"file://{tmp_path}/end")
+    got = log.drained(log.tumbling(stream).select("start", "event_type", "n"), "t", f"file://{tmp_path}", finish=lambda: log.end(source, f"file://{tmp_path}/end"))
+    assert rows(got) == rows(batch)
+    # Without being told of the end, the last window stays open.
+    still = log.drained(log.tumbling(source).select("start", "event_type", "n"), "u", f"file://{tmp_path}")
     last = batch.agg(F.max("start")).first()[0]
-    assert rows(got) == rows(batch.where(F.col("start") < last))
+    assert rows(still) == rows(batch.where(F.col("start") < last))
+
+
+def test_stream_sessions_split_only_beyond_the_gap(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    events = [(1, "a", at(0)), (2, "a", at(1800)), (2, "a", at(1800)), (3, "a", at(3600.000001)), (4, "b", at(5)), (5, None, at(5)), (None, "b", at(6)), (6, "b", None)]
+    spark.createDataFrame(events, "event_id long, actor string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = log.events_stream(spark, f"{tmp_path}/in")
+    found = log.log_sessions(log.closing(source, f"{tmp_path}/end"))
+    got = log.drained(found, "s", f"{tmp_path}/work", finish=lambda: log.end(source, f"{tmp_path}/end"))
+    assert rows(got.select("actor", "duration", "n_events", "first_id", "last_id")) == [("a", 0.0, 1, 3, 3), ("a", 1800.0, 2, 1, 2), ("b", 0.0, 1, 4, 4)]
+
+
+def test_stream_repeats_forget_after_the_idle_time(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    for k, part in enumerate(([(1, 0), (1, 1)], [(9, 60)], [(9, 61)], [(1, 62)])):
+        part = [(user, "x", start + dt.timedelta(minutes=m)) for user, m in part]
+        spark.createDataFrame(part, "user_id long, item string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{k}.parquet")
+    source = lambda: spark.readStream.schema("user_id long, item string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    short = log.drained(log.repeats(source(), "user_id", "item", idle=60), "short", f"{tmp_path}/a")
+    long = log.drained(log.repeats(source(), "user_id", "item", idle=36000), "long", f"{tmp_path}/b")
+    assert max(r[2] for r in rows(long) if r[0] == 1) == 3
+    assert max(r[2] for r in rows(short) if r[0] == 1) == 2
+
+
+def test_packed_paragraphs_keep_any_character(spark):
+    from lodestrata.functions.text import packed
+
+    text = "a\u001eb\n\n" + "word " * 20 + "\n \n" + "tail" * 3
+    got = column(spark, text, lambda c: F.to_json(packed(c, 10)))
+    assert json.loads(got) == ["a\u001eb", ("word " * 20).strip(), "tail" * 3]
+    assert column(spark, " \n", lambda c: F.to_json(packed(c, 10))) == "[]" and column(spark, None, lambda c: packed(c, 10)) is None
+    assert json.loads(column(spark, "ab\n\n" * 20_000, lambda c: F.to_json(packed(c, 5))))[0] == "ab\n\nab\n\nab\n\nab\n\nab"
+
+
+def test_sections_of_odd_markdown():
+    from lodestrata.functions.markdown import parse
+
+    assert parse("---\nx: 1\n---\nintro\n# A ##\n\n## B\ntext\r\n  ```\n# no\n```\n#### C\nc\n## D#\nd\n#nospace\n####### seven\n# #\nlast") == [
+        ("", "intro"), ("A > B", "text\n  ```\n# no\n```"), ("A > B > C", "c"), ("A > D", "d\n#nospace\n####### seven\n# #\nlast"),
+    ]
+    assert parse("---\nno end\n# H\nx") == [("", "---\nno end"), ("H", "x")] and parse("```\n# H\nx") == [("", "```\n# H\nx")] and parse("") == []
 
 
 def test_knn_limits_within_tasks(spark):
