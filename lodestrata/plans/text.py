@@ -279,7 +279,7 @@ g AS (SELECT *, fence OR coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY doc
 h AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '^(#{{1,6}})\s+(\S.*?)(?:\s+#+)?\s*$') THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END AS level,
   regexp_extract(line, '^(#{{1,6}})\s+(\S.*?)(?:\s+#+)?\s*$', 2) AS title FROM g),
 """
-_SECTIONS = (
+SECTIONS = (
     _LINES
     + "s AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER w AS section, "
     + ", ".join(f"max(CASE WHEN level = {k} THEN {{'n': n, 't': title}} END) OVER w AS at{k}" for k in range(1, 7))
@@ -299,33 +299,33 @@ def table_of_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.table_of_contents(table(spark, sf_dir, "docs"))
 
 
-@_query("markdown_sections", _SECTIONS + "SELECT doc_id, section_no, heading_path, text FROM sec")
+@_query("markdown_sections", SECTIONS + "SELECT doc_id, section_no, heading_path, text FROM sec")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.sections(table(spark, sf_dir, "docs"))
 
 
-@_query("markdown_chunks")
-def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.chunks(table(spark, sf_dir, "docs"))
-
-
-def _pieces(text: str) -> str:
+def _pieces(text: str, of: str = "documents", key: str = "doc_id") -> str:
     size = lambda x: f"CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, length({x}) // 4) END"
     return f"""
-paras AS (SELECT doc_id, {text} AS whole, regexp_split_to_array({_strip(text)}, '\\n\\s*\\n') AS ps FROM documents WHERE {text} IS NOT NULL),
+paras AS (SELECT {key}, {text} AS whole, regexp_split_to_array({_strip(text)}, '\\n\\s*\\n') AS ps FROM {of} WHERE {text} IS NOT NULL),
 walk AS (
-  SELECT doc_id, ps, 1 AS i, ps[1] AS piece, 1 AS piece_no, {size("ps[1]")} AS tok FROM paras WHERE {size(_strip("whole"))} > 450
+  SELECT {key}, ps, 1 AS i, ps[1] AS piece, 1 AS piece_no, {size("ps[1]")} AS tok FROM paras WHERE {size(_strip("whole"))} > 450
   UNION ALL
-  SELECT doc_id, ps, i + 1, CASE WHEN tok + {size("ps[i + 1]")} > 450 THEN ps[i + 1] ELSE piece || chr(10) || chr(10) || ps[i + 1] END,
+  SELECT {key}, ps, i + 1, CASE WHEN tok + {size("ps[i + 1]")} > 450 THEN ps[i + 1] ELSE piece || chr(10) || chr(10) || ps[i + 1] END,
     CASE WHEN tok + {size("ps[i + 1]")} > 450 THEN piece_no + 1 ELSE piece_no END, CASE WHEN tok + {size("ps[i + 1]")} > 450 THEN {size("ps[i + 1]")} ELSE tok + {size("ps[i + 1]")} END
   FROM walk WHERE i < len(ps)),
 done AS (
-  SELECT doc_id, piece_no, {_strip("arg_max(piece, i)")} AS piece FROM walk GROUP BY doc_id, piece_no
-  UNION ALL SELECT doc_id, 1, {_strip("whole")} FROM paras WHERE {size(_strip("whole"))} <= 450)
-SELECT doc_id, piece_no - 1 AS piece_no, piece FROM done WHERE piece <> ''"""
+  SELECT {key}, piece_no, {_strip("arg_max(piece, i)")} AS piece FROM walk GROUP BY {key}, piece_no
+  UNION ALL SELECT {key}, 1, {_strip("whole")} FROM paras WHERE {size(_strip("whole"))} <= 450)
+"""
+
+
+@_query("markdown_chunks", SECTIONS.replace("WITH", "WITH RECURSIVE", 1).rstrip() + "," + _pieces("text", "sec", "doc_id, section_no, heading_path") + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, piece_no) - 1 AS chunk_index, heading_path, piece AS content FROM done WHERE piece <> ''")
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.chunks(table(spark, sf_dir, "docs"))
 
 
-@_query("split_to_size", "WITH RECURSIVE " + _pieces("text"))
+@_query("split_to_size", "WITH RECURSIVE " + _pieces("text") + "SELECT doc_id, piece_no - 1 AS piece_no, piece FROM done WHERE piece <> ''")
 def split_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.packed(F.col("text"), 450)).alias("piece_no", "piece"))
 
