@@ -10,6 +10,7 @@ the segments. Scoring is a few array operations over whole batches of texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,8 @@ _ABSENT = 32000
 #: Symbols scored at once.
 CHUNK = 400_000
 _LETTERS = 128
-_OTHER = _LETTERS - 1
+#: Symbols above this one stand for the letters of a block of 256 code points that the samples do not have.
+_OWN = 103
 _GRAMS = _LETTERS**3
 #: Inline code, quoted or bracketed terms: part of a sentence, not of its language.
 _ASIDE = re.compile(r"`[^`\n]*`|\([^()\n]{1,60}\)|\"[^\"\n]{1,60}\"")
@@ -69,29 +71,38 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 
 
-def _alphabet() -> np.ndarray:
-    """Symbol of each code point below 0x3000: 0 for what is no letter, cases alike, letters beyond the alphabet as one."""
+def alphabet(texts: list[str]) -> np.ndarray:
+    """Symbol of each code point below 0x3000, and of one of each block above: 0 for what is no letter, cases alike.
+
+    The most frequent letters of the texts have symbols of their own; any other
+    letter has that of its block, so that scripts without samples, and those of
+    very many letters, still differ.
+    """
+    seen = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < 0x3000)
     table = np.zeros(0x3000, np.uint8)
-    letters = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ" + "ąćęłńśźżšžčěř" + "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
-    for i, c in enumerate(letters, 1):
-        table[ord(c)] = i
-        if len(c.upper()) == 1:
-            table[ord(c.upper())] = i
     for i in range(0x3000):
-        if not table[i] and chr(i).isalpha():
-            table[i] = _OTHER
-    # A capital A with tilde is far more often the trace of a wrong decoding than a letter.
-    table[ord("Ã")] = 0
+        if chr(i).isalpha():
+            table[i] = _block(np.array([i]))[0]
+    for k, (c, _) in enumerate(sorted(seen.items(), key=lambda e: (-e[1], e[0]))[: _OWN - 1], 1):
+        for form in {c, c.upper()}:
+            if len(form) == 1 and ord(form) < len(table):
+                table[ord(form)] = k
     return table
 
 
-_TABLE = _alphabet()
+def _block(codes: np.ndarray) -> np.ndarray:
+    return (_OWN + (codes >> 8) % (_LETTERS - _OWN)).astype(np.uint8)
 
 
-def _symbols(codes: np.ndarray) -> np.ndarray:
-    out = np.full(len(codes), _OTHER, np.uint8)
-    low = codes < len(_TABLE)
-    out[low] = _TABLE[codes[low]]
+def _symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    out = _block(codes)
+    low = codes < len(table)
+    out[low] = table[codes[low]]
+    # A capital A with tilde before what no word goes on with is the trace of a wrong decoding, unless capitals lead to it.
+    for at in np.flatnonzero(codes == 0xC3):
+        after = codes[at + 1] if at + 1 < len(codes) else 32
+        if 0x80 <= after < 0xC0 or not chr(after).isalpha() and not (at and chr(codes[at - 1]).isupper()):
+            out[at] = 0
     return out
 
 
@@ -131,6 +142,7 @@ class Profiles:
     langs: list[str]
     size: int
     ranks: np.ndarray
+    table: np.ndarray
 
     def distances(self, symbols: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(n x languages) mean out-of-place distances over the size, and the n-grams of each of n owners."""
@@ -173,7 +185,7 @@ def _breaks(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _prepared(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts joined: symbols with single zeros between words, the sentence of each; and of each sentence the text and the place in it."""
     marked = []
     for t in texts:
@@ -188,7 +200,7 @@ def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     low = codes < len(_KINDS)
     kinds = np.zeros(len(codes), np.uint8)
     kinds[low] = _KINDS[codes[low]]
-    symbols = _symbols(codes)
+    symbols = _symbols(codes, table)
     # Words with digits, slashes, underscores or inner stops are code, paths, numbers or names.
     blank = (kinds & _BLANK) > 0
     odd = ((kinds & _ODD) > 0) | (((kinds & _INNER) > 0) & np.r_[symbols[1:] > 0, False])
@@ -205,44 +217,49 @@ def _prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.r_[np.uint8(0), symbols], np.r_[sentence[:1], sentence], document, place
 
 
-def _fit(labelled_texts: list[tuple[str, str]], size: int) -> Profiles:
+def _fit(labelled_texts: list[tuple[str, str]], size: int, table: np.ndarray | None = None) -> Profiles:
     langs = sorted({lang for lang, _ in labelled_texts})
+    table = alphabet([t for _, t in labelled_texts]) if table is None else table
     ranks = np.full((_GRAMS, len(langs)), _ABSENT, np.int16)
     for k, lang in enumerate(langs):
-        symbols, _, _, _ = _prepared([t for of, t in labelled_texts if of == lang])
+        symbols, _, _, _ = _prepared([t for of, t in labelled_texts if of == lang], table)
         _, gram, rank = _ranked(*_grams(symbols, np.zeros(len(symbols), np.int64)))
         ranks[gram[:size], k] = rank[:size]
-    return Profiles(langs, size, ranks)
+    return Profiles(langs, size, ranks, table)
+
+
+def _trusted(samples: DataFrame, lang_col: str, text_col: str, most: int) -> list[tuple[str, str]]:
+    return [(r[0], r[1]) for r in samples.select(lang_col, text_col).dropna().orderBy(lang_col, text_col).limit(most).collect()]
 
 
 def fit_profiles(samples: DataFrame, lang_col: str = "lang", text_col: str = "text", max_samples: int = 100_000, size: int = PROFILE) -> Profiles:
-    """Profiles from at most max_samples labelled rows, the first by language and text; rows with a null are not used."""
-    rows = samples.select(lang_col, text_col).dropna().orderBy(lang_col, text_col).limit(max_samples).collect()
+    """Profiles, and the alphabet they are of, from at most max_samples labelled rows, the first by language and text; rows with a null are not used."""
+    rows = _trusted(samples, lang_col, text_col, max_samples)
     if not rows:
         raise ValueError("there are no samples to fit profiles on")
-    return _fit([(r[0], r[1]) for r in rows], size)
+    return _fit(rows, size)
 
 
-def refit_profiles(profiles: Profiles, samples: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = 100, chars: int = 4000, size: int = PROFILE) -> Profiles:
+def refit_profiles(profiles: Profiles, samples: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_lang: int = 100, chars: int = 4000, size: int = PROFILE, sample_lang_col: str = "lang", sample_text_col: str = "text", max_samples: int = 100_000) -> Profiles:
     """Profiles refitted on trusted samples and a bounded sample of labelled documents.
 
     Of each language the per_lang documents labelled with it that come first by
     a hash of their id, of 200 to chars characters, are taken; those that the
     given profiles find to be of that one language only are used. So at most
-    languages * per_lang * chars characters reach the driver. Other languages
-    than those of the profiles are not fitted. Without documents the profiles
-    are those of the samples.
+    languages * per_lang * chars characters reach the driver, beside the same
+    max_samples samples that fit_profiles() takes. Other languages than those of
+    the profiles are not fitted. Without documents the profiles are those of the
+    samples.
     """
     label = labelled(F.col(label_col))
     able = docs.select(F.col(text_col).alias("text"), label.alias("label"), F.xxhash64(id_col).alias("order")).where(F.col("label").isin(*profiles.langs) & F.char_length("text").between(200, chars))
     picked = able.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))).where(F.col("place") <= per_lang).select("label", "text")
-    rows = picked.collect()
-    rows.sort()
+    rows = sorted(picked.collect())
     found: dict[int, set] = {}
     for d, _, _, _, lang, _, _ in _segments(profiles, [r[1] for r in rows]):
         found.setdefault(d, set()).add(lang)
-    trusted = [(r[0], r[1]) for r in samples.select("lang", "text").dropna().collect() if r[0] in profiles.langs]
-    return _fit(trusted + [(r[0], r[1]) for d, r in enumerate(rows) if found.get(d) == {r[0]}], size)
+    trusted = [r for r in _trusted(samples, sample_lang_col, sample_text_col, max_samples) if r[0] in profiles.langs]
+    return _fit(trusted + [(r[0], r[1]) for d, r in enumerate(rows) if found.get(d) == {r[0]}], size, profiles.table)
 
 
 def _course(cost: np.ndarray) -> np.ndarray:
@@ -266,7 +283,7 @@ def _course(cost: np.ndarray) -> np.ndarray:
 
 def _segments(profiles: Profiles, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, float, int]]:
     """(text, segment, start, end, lang, confidence, sentences) of each segment."""
-    symbols, sentence, document, place = _prepared(texts)
+    symbols, sentence, document, place = _prepared(texts, profiles.table)
     distance, grams = profiles.distances(symbols, sentence, len(document))
     some = np.flatnonzero(grams)
     if not len(some):
@@ -308,14 +325,14 @@ def language_segments(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id
     language.
     """
     kinds = [("doc_id", pa.int64()), ("segment_no", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_sentences", pa.int64())]
-    langs, size = profiles.langs, profiles.size
+    langs, size, table = profiles.langs, profiles.size, profiles.table
     at = np.flatnonzero((profiles.ranks < _ABSENT).any(1)).astype(np.int64)
     known = profiles.ranks[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.full((_GRAMS, len(langs)), _ABSENT, np.int16)
         ranks[at] = known
-        own = Profiles(langs, size, ranks)
+        own = Profiles(langs, size, ranks, table)
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"]
             k = 0

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions.columns import source_name, tokens
 from lodestrata.session import materialize
 
-#: Bins of the keys per source: only the bin that holds the end of a budget is sorted.
-BINS = 4096
+#: Bins of the keys for each factor of e: only the bin that holds the end of a budget is sorted.
+BINS = 512
 
 
 def quality(text: Column) -> Column:
@@ -43,17 +43,19 @@ def shares(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col
     what is left of the budget, so it ends as near to it as the last one allows.
     Shares of a mix of nothing are null.
 
-    Keys are binned per source on the scale of their distribution; bins before
-    the one that holds the end of the budget are taken whole, and only that bin
-    is sorted, so no task sees a whole source.
+    Keys are binned per source by their logarithm. A weight only moves the
+    logarithm of an exponential key, so whatever the weights, a bin holds less
+    than 1 / (e * BINS) of a source's rows, but for chance. Bins before the one
+    that holds the end of the budget are taken whole, and only that bin is
+    sorted, so no task sees a whole source.
     """
     weight = quality(F.col(text_col)) if weight is None else weight
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_name(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("tokens"), weight.cast("double").alias("weight"))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = rows.withColumn("key", -F.log(unit) / F.greatest(F.coalesce("weight", F.lit(1e-9)), F.lit(1e-9)))
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int"))
+    rows = rows.withColumn("bin", F.floor(F.log("key") * BINS).cast("int"))
     rows = materialize(rows.select("doc_id", "source", "tokens", "key", "bin"))
-    # At most BINS rows a source.
+    # At most some 60 BINS rows a source: keys are of 53 bits.
     bins = materialize(rows.groupBy("source", "bin").agg(F.sum("tokens").alias("size"), F.sum(F.when(F.col("doc_id").isNotNull(), F.col("tokens"))).alias("usable")))
     total = bins.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     own = bins.groupBy("source").agg(F.sum("usable").alias("own"), F.sum("size").alias("all"))

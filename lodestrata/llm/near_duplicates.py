@@ -77,27 +77,25 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _shingled(docs: DataFrame, k: int, full: bool) -> DataFrame:
-    """(id, block, size, sig) of the texts with shingles, with the shingles themselves if full."""
-    kinds = [("id", pa.int64()), ("block", pa.string()), ("size", pa.int64()), ("sig", pa.int64())] + [("shingles", pa.binary())] * full
+def _shingled(docs: DataFrame, k: int) -> DataFrame:
+    """(id, block, size, sig, shingles) of the texts with shingles."""
+    kinds = [("id", pa.int64()), ("block", pa.string()), ("size", pa.int64()), ("sig", pa.int64()), ("shingles", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingle = Shingler(k)
         for batch in batches:
-            ids, blocks, sizes, sigs, sets = [], [], [], [], []
+            rows: list[tuple] = []
             for i, block, text in zip(batch["id"].to_pylist(), batch["block"].to_pylist(), batch["text"], strict=True):
                 h = shingle(text.as_py())
                 if len(h):
                     packed = _pack(h)
-                    ids.append(i), blocks.append(block), sizes.append(len(h))
-                    sigs.append(xxhash.xxh3_64_intdigest(packed) - (1 << 63))
-                    sets.append(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip((ids, blocks, sizes, sigs, sets), kinds)], schema=pa.schema(kinds))
+                    rows.append((i, block, len(h), xxhash.xxh3_64_intdigest(packed) - (1 << 63), packed))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(columns, kinds)], schema=pa.schema(kinds))
 
-    schema = "id long, block string, size long, sig long" + ", shingles binary" * full
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "id long, block string, size long, sig long, shingles binary")
 
 
 def _counts(sets: list[np.ndarray], groups: int) -> np.ndarray:
@@ -191,15 +189,14 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     the texts of the block with the same set of shingles. pairs(id_a, id_b,
     similarity): two classes whose sets have a Jaccard similarity of tau or
     more, smaller id first. So copies are never expanded, and no link between
-    different texts is lost.
+    different texts is lost. Shingles are compared by hashes of WIDTH bytes.
 
     Texts are cut into lower-cased runs of [a-z0-9]; a set holds all runs of k
     successive words, so a text of fewer words than k (an empty or null one
     too) has no set, is in no class and like nothing. Rows with a null id take
     no part; repeated rows change nothing, and of different texts under one id
-    each pairs that id with others, never with itself. Block columns compare null-safe
-    if the caller makes them so: a null makes the block null, which is a block
-    of its own.
+    each pairs that id with others, never with itself. In a block column null
+    equals null and nothing else.
 
     A block larger than a bucket is cut into buckets by size of set, from a
     histogram and without sorting the block in one task; only pairs of buckets
@@ -207,7 +204,9 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.to_json(F.struct(*[c.alias(f"b{i}") for i, c in enumerate(block)])).alias("block"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     rows = spread(rows)
-    thin = materialize(_shingled(rows, k, False))
+    # The texts are read and cut once; what follows reads the columns it needs of this table.
+    full = materialize(_shingled(rows, k))
+    thin = full.select("id", "block", "size", "sig")
     least = thin.groupBy("block", "sig", "size").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     classed = materialize(thin.join(least, ["block", "sig", "size"]))
     # Copies of a set fall into one bucket, where they are put together; those of a set with many are left out before.
@@ -228,8 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, block: list, ta
     ends = met.select("block", "bucket", F.struct("bucket", "bucket_b", F.lit(0).alias("side")).alias("task")).unionByName(met.where("bucket < bucket_b").select("block", F.col("bucket_b").alias("bucket"), F.struct("bucket", "bucket_b", F.lit(1).alias("side")).alias("task")))
     tasks = materialize(ends.groupBy("block", "bucket").agg(F.collect_list("task").alias("tasks")))
 
-    full = _shingled(rows, k, True).join(many, ["id", "sig"], "left_anti")
-    salted = full.join(cut, ["block", "size"], "left").withColumn("bucket", F.coalesce(F.floor((F.col("before") + F.pmod(F.col("sig"), F.col("weight"))) / bucket), F.lit(0)))
+    salted = full.join(many, ["id", "sig"], "left_anti").join(cut, ["block", "size"], "left").withColumn("bucket", F.coalesce(F.floor((F.col("before") + F.pmod(F.col("sig"), F.col("weight"))) / bucket), F.lit(0)))
     sent = salted.join(tasks, ["block", "bucket"], "left").withColumn("task", F.explode(F.coalesce("tasks", F.array(F.struct(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("bucket_b"), F.lit(0).alias("side"))))))
     sent = sent.select("id", "shingles", F.xxhash64("block", "task.bucket", "task.bucket_b").alias("task_id"), "block", "task.side")
     pairs = sent.groupBy("task_id", "block").applyInArrow(_join_of(tau), "id_a long, id_b long, similarity double")

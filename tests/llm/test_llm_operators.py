@@ -115,6 +115,17 @@ def test_pieces_cut_at_sentences():
     assert all(text[:b].endswith(". ") for _, b in chunking.pieces(text.strip(), 450, 40)[:-1])
 
 
+def test_pieces_end_with_paragraphs_where_one_ends():
+    # A paragraph that ends in the first half of a piece is not given up for a cut within the next.
+    short, long = "A short one. " * 30, "A sentence of a long paragraph. " * 90
+    text = (short + "\n\n" + long + "\n\n" + short).strip()
+    cut = chunking.pieces(text, 450, 40)
+    assert text[: cut[0][1]].rstrip() == short.strip() and any(text[:b].rstrip().endswith(long.strip()) for _, b in cut)
+    # Sentences without blanks between them.
+    chinese = "这是一个没有空格的句子用来测试切分。" * 300
+    assert all(chinese[b - 1] == "。" for _, b in chunking.pieces(chinese, 450, 40))
+
+
 def test_chunk(spark):
     docs = [(1, "# A\n" + "word " * 900), (2, None), (3, ""), (None, "x"), (4, "short"), (4, "short"), (5, "---\nk: v\n---\n")]
     got = chunking.chunk(spark.createDataFrame(docs, "id long, content string").withColumn("start", F.lit("clash"))).collect()
@@ -142,7 +153,7 @@ def test_survivors_order(spark):
     records, truths, sources = survivors.survivors(spark.createDataFrame(docs, DOC).withColumn("at", F.lit("clash")))
     r = records.collect()
     assert len(r) == 1 and (r[0].group_id, r[0].n_docs, r[0].survivor_id, r[0].title_id, r[0].mtime_id, r[0].mtime) == (1, 4, 2, 3, 3, 1.7e9)
-    assert r[0].title == "Good" and r[0].status == "canonical"
+    assert r[0].title == "Good" and r[0].status == "canonical" and r[0].titles == ["good"] and "canonical" in r[0].statuses
     assert all(0 <= s.sensitivity <= 1 and 0 <= s.specificity <= 1 for s in sources.collect())
     assert {t.value for t in truths.collect()} >= {"good"}
     assert survivors.survivors(spark.createDataFrame([], DOC))[0].count() == 0
@@ -337,6 +348,13 @@ def test_draw_prefers_weight(spark):
     assert sorted(r.doc_id for r in again.collect()) == sorted(got)
 
 
+def test_bins_of_a_draw_are_even_for_any_weights(spark):
+    for weight in (0.05, 1.0, 40.0):
+        unit = (F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        bins = spark.range(200_000).select(F.floor(F.log(-F.log(unit) / weight) * mixing.BINS).alias("bin")).groupBy("bin").count()
+        assert bins.agg(F.max("count")).first()[0] < 2 * 200_000 / (2.718 * mixing.BINS) + 30
+
+
 # Languages.
 EN = "The nightly copy reads the shared folder before every restart. The old notes are kept for the team. "
 DE = "Die nächtliche Prüfung liest den gemeinsamen Ordner vor jedem Neustart. Die alten Notizen bleiben für die Gruppe. "
@@ -388,6 +406,33 @@ def test_held_out_accuracy(spark, data):
     assert right > 0.8
 
 
+def test_languages_of_other_scripts(spark):
+    texts = {
+        "el": "Ο νυχτερινός έλεγχος διαβάζει τον κοινό φάκελο πριν από κάθε εκκίνηση. Οι παλιές σημειώσεις μένουν για την ομάδα. ",
+        "ar": "يقرأ الفحص الليلي المجلد المشترك قبل كل تشغيل. تبقى الملاحظات القديمة للفريق. ",
+        "he": "הבדיקה הלילית קוראת את התיקייה המשותפת לפני כל הפעלה. ההערות הישנות נשמרות לצוות. ",
+        "ja": "夜間の検査は起動の前に共有フォルダーを読みます。古いメモはチームのために残されます。 ",
+        "ru": RU,
+        "pt": "A VERIFICAÇÃO DA NOITE LÊ A PASTA COMUM E NÃO APAGA AS ANOTAÇÕES. As anotações antigas ficam para a equipa e não são apagadas. ",
+    }
+    own = languages.fit_profiles(spark.createDataFrame(list(texts.items()), "lang string, text string"))
+    for lang, text in texts.items():
+        half = text[: len(text) // 2]
+        assert [s[4] for s in languages._segments(own, [half])] == [lang]
+    # A capital A with tilde is a letter among capitals and the trace of a wrong decoding elsewhere.
+    codes = np.frombuffer("NÃO IRMÃ operaÃ§Ã£o Ã© ".encode("utf-32-le"), np.uint32)
+    kept = languages._symbols(codes, own.table)[codes == 0xC3] > 0
+    assert kept.tolist() == [True, True, False, False, False]
+
+
+def test_refit_reads_no_more_samples_than_stated(spark):
+    said = spark.createDataFrame([("en", EN), ("de", DE), ("ru", RU)], "code string, said string")
+    own = languages.fit_profiles(said, "code", "said")
+    docs = spark.createDataFrame([(1, EN * 3, "english"), (2, DE * 3, "de"), (3, RU * 3, "en")], "doc_id long, text string, lang string")
+    again = languages.refit_profiles(own, said, docs, sample_lang_col="code", sample_text_col="said", max_samples=2)
+    assert again.langs == ["de", "en"] and (again.table == own.table).all()
+
+
 # Properties.
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
