@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from lodestrata.functions.markdown import lines
 
 _SYMBOL = re.compile(r"^\s*(?:export\s+|default\s+|pub(?:\([^)]*\))?\s+|async\s+|public\s+|private\s+|static\s+)*(def|class|func|fn|function|interface|type|struct|enum|impl|trait|mod|const|let)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)")
-#: Chunks of one text beyond which it is cut by lines only.
-MOST_CHUNKS = 300
 
 
 def _tokens(s: str) -> int:
@@ -54,8 +52,8 @@ def _indent_starts(rows: list[str], first: int) -> list[int]:
     return [first + k for k, r in enumerate(rows) if r.strip() and len(r) - len(r.lstrip()) == least]
 
 
-def chunk_source(source: str, lang: str, most: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, label) from 1 of the chunks of a source; their lines cover it without overlap."""
+def chunk_source(source: str, lang: str, most: int, most_chunks: int | None = None) -> list[tuple[int, int, str]]:
+    """(first line, last line, label) from 1 of the chunks of a source; their lines cover it without overlap. With most_chunks, a source is cut by lines only once it has so many; without, by its structure to its end."""
     rows = source.splitlines(keepends=True)
     out: list[tuple[int, int]] = []
     # Spans still to cut, last first, with whether a cut further in may help.
@@ -69,7 +67,7 @@ def chunk_source(source: str, lang: str, most: int) -> list[tuple[int, int, str]
             continue
         part = rows[a:b]
         starts = None
-        if structured and len(out) < MOST_CHUNKS:
+        if structured and (most_chunks is None or len(out) < most_chunks):
             if a == 0 and b == len(rows):
                 starts = _python_starts("".join(part), a) if lang == "python" else None
             if starts is None:
@@ -106,7 +104,7 @@ def fenced_code(docs: DataFrame, id_col: str = "id", text_col: str = "content")
     return parts.select("doc_id", "block_no", "lang", F.array_join(F.transform("body", lambda x: x["line"]), "\n").alias("source")).where("source <> ''")
 
 
-def chunk_code(sources: DataFrame, most: int = 450) -> DataFrame:
+def chunk_code(sources: DataFrame, most: int = 450, most_chunks: int | None = None) -> DataFrame:
     """(doc_id, block_no, chunk_no, first_line, last_line, label, content) of sources(doc_id, block_no, lang, source); no grammar gives the same cut as any other text by indentation. Null sources give no rows."""
     kinds = [("doc_id", pa.int64()), ("block_no", pa.int64()), ("chunk_no", pa.int32()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("label", pa.string()), ("content", pa.string())]
 
@@ -116,7 +114,7 @@ def chunk_code(sources: DataFrame, most: int = 450) -> DataFrame:
             for r in batch.to_pylist():
                 if r["source"]:
                     text = r["source"].splitlines(keepends=True)
-                    rows += [(r["doc_id"], r["block_no"], k, a, b, label, "".join(text[a - 1 : b])) for k, (a, b, label) in enumerate(chunk_source(r["source"], r["lang"], most))]
+                    rows += [(r["doc_id"], r["block_no"], k, a, b, label, "".join(text[a - 1 : b])) for k, (a, b, label) in enumerate(chunk_source(r["source"], r["lang"], most, most_chunks))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds)], schema=pa.schema(kinds))
 

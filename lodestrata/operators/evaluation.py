@@ -50,6 +50,26 @@ def equal_success(cases: DataFrame) -> DataFrame:
     return cases.groupBy("category").agg(F.count("*").alias("n"), F.count_if(both).alias("both"), F.round(F.try_divide(100.0 * (base - own), base), 6).alias("saved_pct"), F.count_if(F.col("ok") & ~F.col("base_ok")).alias("wins"), F.count_if(F.col("base_ok") & ~F.col("ok")).alias("losses"))
 
 
+def run_cases(cases: DataFrame, hits: DataFrame, texts: DataFrame, answer, judge, k: int = 3) -> DataFrame:
+    """Both arms of an evaluation: one row per case(qid, query, category, ...) as equal_success() takes them.
+
+    hits(qid, id, rank) are what a search found, texts(id, text, line) what can
+    be read of it and the line it is listed by. One arm reads the first hit and
+    the listing, the other the first k hits. answer(query, context) gives a
+    column of the answer, judge(case row's columns by name, answer) whether it is
+    right; both are injected and get columns. Tokens are those of the context,
+    the answer, and in the first arm the listing. A case without hits reads an
+    empty context.
+    """
+    read = hits.where(F.col("rank") < k).join(texts, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("line", F.lit("")).alias("line")))).alias("h"))
+    joined = lambda f, by: F.coalesce(F.array_join(F.transform("h", lambda x: x[f]), by), F.lit(""))
+    first = F.coalesce(F.when(F.try_element_at("h", F.lit(1))["rank"] == 0, F.try_element_at("h", F.lit(1))["text"]), F.lit(""))
+    rows = cases.join(read, "qid", "left").withColumns({"_own": first, "_base": joined("text", "\n\n"), "_listing": joined("line", "\n")})
+    rows = rows.withColumns({"_said": answer(F.col("query"), F.col("_own")), "_base_said": answer(F.col("query"), F.col("_base"))})
+    n = lambda c: F.floor(F.char_length(c) / 4)
+    return rows.select("qid", "category", judge(rows, F.col("_base_said")).alias("base_ok"), (n("_base") + n("_base_said")).alias("base_tokens"), judge(rows, F.col("_said")).alias("ok"), (n("_own") + n("_said") + n("_listing")).alias("tokens"))
+
+
 #: Weights of a judge's marks.
 WEIGHTS = {"correctness": 0.35, "autonomy": 0.25, "actionability": 0.20, "safety": 0.10, "concision": 0.10}
 
@@ -60,10 +80,17 @@ def weighted_marks(marks: DataFrame) -> DataFrame:
 
 
 def within_budget(cases: DataFrame, cost: str, budget: float, done: DataFrame | None = None) -> DataFrame:
-    """Cases(idx, cost) in order with whether they still fit the budget; those done before (idx) are left out. Cases are an evaluation's and few, so one running sum over all is fine."""
-    left = cases if done is None else cases.join(done.select("idx"), "idx", "left_anti")
-    spent = F.sum(cost).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    return left.withColumn("spent", F.round(spent, 6)).withColumn("runs", F.col("spent") <= budget)
+    """Cases(idx, cost) in order of idx with whether they still fit the budget; those done before (idx) are left out.
+
+    Running sums are taken within blocks of 65,536 numbers, each in a task of its
+    own; only the blocks' sums, one row each, are summed in one place.
+    """
+    left = (cases if done is None else cases.join(done.select("idx"), "idx", "left_anti")).withColumn("_block", F.shiftright("idx", 16))
+    sums = left.groupBy("_block").agg(F.sum(cost).alias("_sum"))
+    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    spent = F.sum(cost).over(Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    out = left.withColumn("_spent", spent).join(before, "_block").withColumn("spent", F.round(F.col("_before") + F.col("_spent"), 6))
+    return out.drop("_block", "_before", "_spent").withColumn("runs", F.col("spent") <= budget)
 
 
 def gate(metrics: DataFrame, least_hit_1: float, least_n: int) -> DataFrame:

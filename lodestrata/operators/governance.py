@@ -17,12 +17,18 @@ BASE = {"canonical": 1.0, "plan": 0.6, "stale": 0.2, "duplicate": 0.0, "supersed
 CHUNK_LIMIT, DOC_LIMIT, WARN_AT = 4096, 100_000, 0.8
 
 
+def _drivers(docs: DataFrame) -> DataFrame:
+    """The documents that can make others duplicates, or become some: those that still stand."""
+    return docs.where(F.col("status").isin("canonical", "plan"))
+
+
 def duplicate_rule(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, dup_of, cosine): documents that a strictly newer one (by at, then id) of their class resembles, each with the one most similar, the smaller id on a tie.
 
-    pairs(id_a, id_b, cosine) within classes; docs(id, at), an unknown time as the oldest.
+    pairs(id_a, id_b, cosine) within classes; docs(id, at, status), an unknown
+    time as the oldest. Only canonical documents and plans take part.
     """
-    at = docs.select("id", F.coalesce("at", F.lit(float("-inf"))).alias("at"))
+    at = _drivers(docs).select("id", F.coalesce("at", F.lit(float("-inf"))).alias("at"))
     met = pairs.join(at.toDF("id_a", "at_a"), "id_a").join(at.toDF("id_b", "at_b"), "id_b")
     older = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("id_a") < F.col("id_b")))
     found = met.select(F.when(older, F.col("id_a")).otherwise(F.col("id_b")).alias("id"), F.when(older, F.col("id_b")).otherwise(F.col("id_a")).alias("dup_of"), "cosine")
@@ -34,7 +40,10 @@ def duplicate_greedy(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     Only documents connected by pairs can affect each other, so each connected
     component is walked on its own, over its pairs and not its documents' texts.
+    Only canonical documents and plans take part.
     """
+    known = _drivers(docs).select("id")
+    pairs = pairs.join(known.toDF("id_a"), "id_a", "left_semi").join(known.toDF("id_b"), "id_b", "left_semi")
     groups = connected_components(pairs, "id_a", "id_b")
     at = docs.select("id", F.coalesce("at", F.lit(float("-inf"))).alias("at"))
     rows = pairs.join(groups.select(F.col("id").alias("id_a"), "component"), "id_a").join(at.toDF("id_a", "at_a"), "id_a").join(at.toDF("id_b", "at_b"), "id_b")
@@ -71,16 +80,18 @@ def topic_winners(docs: DataFrame) -> DataFrame:
     """(id, topic, winner, new_status): of the documents of one workspace and topic the canonical, then newest, then last id wins; the rest become its duplicates. The topic is the stored one, else the slug of the title."""
     topic = F.coalesce("canonical_topic", slug(F.col("title")))
     rows = docs.withColumn("topic", topic).where("topic is not null and status <> 'superseded'")
-    order = Window.partitionBy("workspace_id", "topic").orderBy((F.col("status") == "canonical").desc(), F.desc_nulls_last("at"), F.desc("id"))
-    won = rows.withColumn("winner", F.first("id").over(order))
+    # An aggregate that combines before the shuffle, and a join of one row a topic, so that a topic of very many documents is in no one task.
+    place = F.struct(F.col("status") == "canonical", F.coalesce("at", F.lit(float("-inf"))), "id")
+    won = rows.join(rows.groupBy("workspace_id", "topic").agg(F.max_by("id", place).alias("winner")), ["workspace_id", "topic"])
     return won.select("id", "topic", "winner", F.when(F.col("id") == F.col("winner"), F.col("status")).otherwise("duplicate").alias("new_status"))
 
 
 def superseded(docs: DataFrame) -> DataFrame:
     """(id, new_status, new_lifecycle): among live documents of a workspace and topic only the newest stays."""
     rows = docs.where("canonical_topic is not null and status = 'canonical' and lifecycle = 'active'")
-    k = F.row_number().over(Window.partitionBy("workspace_id", "canonical_topic").orderBy(F.desc_nulls_last("at"), F.desc("id")))
-    return rows.withColumn("k", k).where("k > 1").select("id", F.lit("superseded").alias("new_status"), F.lit("archived").alias("new_lifecycle"))
+    keys = ["workspace_id", "canonical_topic"]
+    newest = rows.groupBy(*keys).agg(F.max_by("id", F.struct(F.coalesce("at", F.lit(float("-inf"))), "id")).alias("newest"))
+    return rows.join(newest, keys).where("id <> newest").select("id", F.lit("superseded").alias("new_status"), F.lit("archived").alias("new_lifecycle"))
 
 
 def metadata_drift(docs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.columns import plain
+from lodestrata.functions.text import document_title, name_title
+
 #: Endings of the files that are taken in.
 EXTENSIONS = ("md", "mdx", "markdown", "py", "go", "rs", "ts", "tsx")
 MOST_BYTES = 1_000_000
@@ -72,6 +75,12 @@ def migrated(docs: DataFrame) -> DataFrame:
     return docs.where("ext_id is null and trim(coalesce(content, '')) <> ''").select("id", F.concat(F.lit("mig_"), F.substring(digest, 1, 16)).alias("ext_id"), F.when(F.startswith("source_id", F.lit("vault")), "note").otherwise("reference").alias("kind"))
 
 
+def retitled(docs: DataFrame) -> DataFrame:
+    """(id, stored, title) of the documents(id, title, content, path) whose title is missing, empty or 'untitled': a title derived from the text, else from the path."""
+    found = F.nullif(document_title(F.col("content")), F.lit("Untitled"))
+    return docs.where(plain(F.col("title")).isin("", "untitled")).select("id", F.col("title").alias("stored"), F.coalesce(found, name_title(F.col("path"))).alias("title"))
+
+
 def facet_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
     """(doc_id, tag) with flat tags promoted by mapping(tag, facet) to facet/tag; leads (…-lead) become role/lead beside that. Repeated rows once."""
     named = tags.join(mapping, "tag", "left").select("doc_id", F.when(F.col("facet").isNotNull(), F.concat_ws("/", "facet", "tag")).otherwise(F.col("tag")).alias("tag"), F.endswith("tag", F.lit("-lead")).alias("lead"))

@@ -36,43 +36,71 @@ def best(found: DataFrame, of: str, other: str, k: int, by: str = "similarity")
     return found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
-def _blocked(vectors: DataFrame, size: int, ids: str, xs: str) -> DataFrame:
+#: Bytes of query vectors that are broadcast at once; a larger query set takes several passes over the rows.
+SENT = 64 << 20
+
+
+def _blocked(vectors: DataFrame, size: int, mark: str) -> DataFrame:
+    """Rows (id, v, part) in blocks of ids, vectors and parts as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                yield pa.RecordBatch.from_arrays([pa.array([part["id"].to_numpy().tobytes()]), pa.array([matrix(part["v"]).astype(np.float32).tobytes()])], [ids, xs])
+                block = batch.slice(at, size)
+                columns = (block["id"].to_numpy(), matrix(block["v"]).astype(np.float32), block["part"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()]) for c in columns], [f"{mark}{c}" for c in "ixp"])
 
-    return vectors.select("id", "v").mapInArrow(run, f"{ids} binary, {xs} binary")
+    return vectors.mapInArrow(run, ", ".join(f"{mark}{c} binary" for c in "ixp"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, itself: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, itself: bool = False, within: str | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank) of the k rows of vectors(id, v) most similar to each of queries(id, v).
 
-    A stated query set meets all rows in blocks: a block of 512 queries and one
-    of at most 8192 rows are one matrix product, of which the k best leave the
-    task. The similarity is the cosine in double, rounded to 6 places. A row is
-    not its own neighbour unless itself is set. Filter before: the limit comes
-    last. No rows or no queries give no rows.
+    With within, a column of both frames, only rows of the query's own value
+    count, null as a value. A stated query set meets all rows in blocks: the
+    queries are counted and sent to every task, SENT bytes at most at once, and
+    the rows are read where they lie, without a shuffle; a block of at most 512
+    queries and one of at most 8192 rows are one matrix product, of which the k
+    best leave the task. The similarity is the cosine in double, rounded to 6
+    places. A row is not its own neighbour unless itself is set. Filter before:
+    the limit comes last. No rows or no queries give no rows.
     """
-    pairs = _blocked(queries, 512, "q_ids", "qs").crossJoin(_blocked(vectors, 8192, "ids", "xs"))
+    part = F.lit(0).cast("long") if within is None else F.xxhash64(F.col(within).cast("string"), F.col(within).isNull())
+    rows, asked = (df.select("id", "v", part.alias("part")) for df in (vectors, queries))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, q = (unit(np.frombuffer(b, np.float32).reshape(len(i), -1)) for b, i in ((r["xs"], ids), (r["qs"], q_ids)))
-                s = np.round(q @ x.T, 6)
-                if not itself:
-                    s[q_ids[:, None] == ids[None, :]] = -9
-                for i, own in zip(q_ids, s, strict=True):
-                    # All that tie with the k-th stay, for the smaller id to win.
-                    near = np.flatnonzero(own >= np.partition(own, -k)[-k]) if len(own) > k else np.arange(len(own))
-                    near = near[np.lexsort((ids[near], -own[near]))][:k]
-                    near = near[own[near] > -9]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(ids[near]), pa.array(own[near])], ["id", "neighbour", "similarity"])
-
-    return best(pairs.mapInArrow(compare, "id long, neighbour long, similarity double"), "id", "neighbour", k)
+                ids, q_ids = np.frombuffer(r["ri"], np.int64), np.frombuffer(r["qi"], np.int64)
+                parts, q_parts = np.frombuffer(r["rp"], np.int64), np.frombuffer(r["qp"], np.int64)
+                x, q = (unit(np.frombuffer(b, np.float32).reshape(len(i), -1)) for b, i in ((r["rx"], ids), (r["qx"], q_ids)))
+                for of in np.intersect1d(parts, q_parts):
+                    yield _top(ids[parts == of], x[parts == of], q_ids[q_parts == of], q[q_parts == of], k, itself)
+
+    size = asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+    passes = max(1, -(-4 * size // SENT))
+    found = None
+    for one in range(passes):
+        own = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == one)
+        met = _blocked(rows, 8192, "r").crossJoin(F.broadcast(_blocked(own, 512, "q"))).mapInArrow(compare, "id long, neighbour long, similarity double")
+        found = met if found is None else found.unionByName(met)
+    return best(found, "id", "neighbour", k)
+
+
+def _top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, itself: bool) -> pa.RecordBatch:
+    """The k nearest rows of a block for each query of another, as one batch."""
+    s = np.round(q @ x.T, 6)
+    if not itself:
+        s[q_ids[:, None] == ids[None, :]] = -9
+    # All that tie with the k-th stay, for the smaller id to win.
+    least = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q_ids), -8.0)
+    row, col = np.nonzero(s >= np.maximum(least, -8.0)[:, None])
+    order = np.lexsort((ids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    row, col = row[keep], col[keep]
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[col]), pa.array(s[row, col])], ["id", "neighbour", "similarity"])
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -81,12 +109,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
 
 
-def similar_pairs(vectors: DataFrame, block: list[str], at_least: float, part: int = 2048) -> DataFrame:
+def similar_pairs(vectors: DataFrame, block: list[str], at_least: float, part: int = 8192) -> DataFrame:
     """(id_a, id_b, cosine): pairs of vectors(id, v, *block) of one block with a cosine of at_least or more, the smaller id first.
 
-    Blocks are cut by a hash into parts of bounded size; each pair of parts is
-    one matrix product in a task of its own, and only the pairs that pass leave
-    it. Null block columns compare as equal.
+    Blocks are cut by a hash into parts of about so many rows; each pair of parts
+    is one matrix product in a task of its own, and only the pairs that pass
+    leave it. So nothing is missed, and the price is a product for every two
+    rows of a block, and a copy of each row for every part of its block. Null
+    block columns compare as equal.
     """
     key = F.xxhash64(F.to_json(F.struct(*block)))
     rows = vectors.select("id", "v", key.alias("block"))

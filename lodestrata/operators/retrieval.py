@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import plain, stored_seconds
+from lodestrata.functions.text import tag_name
 from lodestrata.operators.knn import best, nearest
 from lodestrata.session import materialize, spread
 
@@ -17,6 +20,8 @@ STATUS_WEIGHTS = {"canonical": 1.0, "plan": 0.85, "stale": 0.5, "duplicate": 0.6
 #: Marks of statuses in a listing.
 STATUS_MARKS = {"canonical": "★", "plan": "◯", "stale": "✗", "duplicate": "⚠", "superseded": "⤺"}
 TERM = "[a-z0-9]{2,}"
+#: Dimensions of the hashed bag of words.
+DIM = 384
 
 
 def query_frame(spark: SparkSession, queries: list[str]) -> DataFrame:
@@ -61,24 +66,83 @@ def resolve_scope(known: list[str], asked: str | None = None, pinned: str | None
     return [scope]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(qid, id, score, rank) of the pool best documents(id, text) per query(qid, query) by Okapi BM25.
+@dataclass(frozen=True)
+class Index:
+    """What is kept of a collection of texts, as tables: postings(term, id, tf), lengths(id, length), and vectors(id, v) of the texts with terms."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    vectors: DataFrame
+
+
+def indexed(docs: DataFrame, dim: int = DIM) -> Index:
+    """The Index of documents(id, text), written to the shared folder.
+
+    Texts are read and cut once, in Arrow batches. Postings are in order of
+    their terms, the frequent ones spread over several files, so a search reads
+    only the row groups of the terms it asks for. A text of no terms has length 0
+    and is counted; a null id is not.
+    """
+    rows = spread(docs.select(F.col("id").cast("long").alias("id"), F.col("text").alias("text")).where("id is not null"))
+    whole = materialize(rows.mapInArrow(_counted(dim), "id long, length long, terms array<string>, tfs array<int>, v array<float>"))
+    pairs = whole.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"))
+    return Index(materialize(pairs.repartitionByRange("term", "id").sortWithinPartitions("term", "id")), whole.select("id", "length"), whole.where("length > 0").select("id", "v"))
+
+
+def _counted(dim: int):
+    import hashlib
+    import re
+    from collections import Counter
+    from collections.abc import Iterator
+
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = re.compile(TERM).findall, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lengths, terms, tfs = [], [], []
+                v = np.zeros((batch.num_rows, dim), np.float32)
+                for k, text in enumerate(batch["text"]):
+                    found = Counter(find((text.as_py() or "").lower()))
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    for t in found:
+                        if t not in known:
+                            known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % dim
+                    if found:
+                        v[k] = np.bincount([known[t] for t in found], weights=list(found.values()), minlength=dim)
+                    lengths.append(found.total()), terms.append(list(found)), tfs.append(list(found.values()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), lists], ["id", "length", "terms", "tfs", "v"])
+
+    return run
+
+
+#: Distinct terms of a set of queries up to which they are told to the scan of the postings.
+TOLD = 2000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the pool best documents(id) per query(qid, query) by Okapi BM25.
 
     Terms are runs of two or more of [a-z0-9] in lower case; a query has its
-    distinct terms, the first 24. The corpus is read once: only terms that a
-    query has leave the scan, joined against the short list of those, so the
-    shuffle holds matches and not the corpus. A document of no terms has length
-    0 and is counted. Scores are rounded to 6 places, ties go to the smaller id.
+    distinct terms, the first 24. Only the postings of those are read from the
+    index, which may be of more documents than are searched; without one,
+    documents(id, text) are indexed first. Counts and lengths are those of the
+    documents searched. Scores are rounded to 6 places, ties go to the smaller
+    id.
     """
+    index = index or indexed(docs)
     asked = queries.select("qid", F.explode(F.array_distinct(F.slice(_words(F.col("query")), 1, 24))).alias("term"))
-    # The empty term stands for the document itself, so that one pass gives the matches and the corpus's size.
-    needed = asked.select("term").unionByName(docs.sparkSession.createDataFrame(pa.table({"term": [""]}))).distinct()
-    words = spread(docs.select("id", "text")).select("id", _words(F.col("text")).alias("w"))
-    words = words.select("id", F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
-    # Read three times below: written once, so that the corpus is read once.
-    hits = materialize(words.join(needed, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf")))
+    postings, own = index.postings, docs.select("id")
+    told = [r[0] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
+    if len(told) <= TOLD:
+        postings = postings.where(F.col("term").isin(told))
     # One row. The lists of query terms are broadcast if Spark finds them small, as it does for any but a huge set of queries.
-    size = hits.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    size = index.lengths.join(own, "id", "left_semi").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
+    hits = postings.join(asked.select("term").distinct(), "term", "left_semi").join(own, "id", "left_semi").join(index.lengths, "id")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -86,7 +150,7 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     return best(scored, "qid", "id", pool, "score")
 
 
-def hashed_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 384) -> DataFrame:
+def hashed_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
     """(id, dim, weight): the hashed bag of words of each text as a sparse unit vector; a term's dimension is the number in the first four bytes of its MD5, lowest first, modulo dim. Texts without terms have no rows."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(_words(F.col(text_col))).alias("term"))
     digest = F.md5("term")
@@ -96,37 +160,16 @@ def hashed_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", di
     return counts.join(norms, "id").select("id", "dim", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def embedded(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 384) -> DataFrame:
+def embedded(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
     """(id, v): the same bag of words as a vector of counts, in Arrow batches; texts without terms have no row."""
-    import hashlib
-    import re
-    from collections.abc import Iterator
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(_counted(dim), "id long, length long, terms array<string>, tfs array<int>, v array<float>").where("length > 0").select("id", "v")
 
-    import numpy as np
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = re.compile(TERM).findall, {}
-        for batch in batches:
-            counts = np.zeros((batch.num_rows, dim), np.float32)
-            for k, text in enumerate(batch["text"]):
-                terms = find((text.as_py() or "").lower())
-                if len(known) > 1_000_000:
-                    known.clear()
-                for t in terms:
-                    if t not in known:
-                        known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "little") % dim
-                counts[k] = np.bincount([known[t] for t in terms], minlength=dim) if terms else 0
-            some = counts.any(1)
-            flat = pa.array(counts[some].ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch["id"].filter(pa.array(some)), lists], ["id", "v"])
-
-    return spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, v array<float>")
-
-
-def dense(docs: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """(qid, id, score, rank) of the pool documents(id, text) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents that share nothing with a query are no candidates for it. They are embedded in one pass, and a block of them and of the queries is one matrix product."""
-    near = nearest(embedded(docs), embedded(queries, "qid", "query"), pool, itself=True).where("similarity > 0")
+def dense(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the pool documents(id) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents that share nothing with a query are no candidates for it. Their vectors are the index's, or made first of documents(id, text); a block of them and of the queries is one matrix product."""
+    vectors = index.vectors.join(docs.select("id"), "id", "left_semi") if index else embedded(docs)
+    near = nearest(vectors, embedded(queries, "qid", "query"), pool, itself=True).where("similarity > 0")
     return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 
 
@@ -151,22 +194,43 @@ def status_weight(status: Column) -> Column:
     return out
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, as_of: float, limit: int = 5, pool: int | None = None) -> DataFrame:
-    """(qid, id, score, rank) of the best of searchable, visible documents: both candidate lists, each cut to the pool before they are fused, times freshness, weight of status and importance."""
-    pool = pool or limit * 5
-    fused = fuse(bm25(docs, queries, pool), dense(docs, queries, pool))
+def hybrid(docs: DataFrame, queries: DataFrame, as_of: float, limit: int = 5, filtered: bool = False, index: Index | None = None) -> DataFrame:
+    """(qid, id, score, rank) of the best of searchable, visible documents: both candidate lists, each cut to a pool of five times the limit, and of 50 at least if the documents are filtered by kind, tag or source, before they are fused, times freshness, weight of status and importance."""
+    pool = max(limit * 5, 50) if filtered else limit * 5
+    index = index or indexed(docs)
+    fused = fuse(bm25(docs, queries, pool, index), dense(docs, queries, pool, index))
     boost = freshness(F.col("at"), as_of) * status_weight(F.col("status")) * (1 + IMPORTANCE * F.col("importance"))
     scored = fused.join(docs.select("id", "at", "status", "importance"), "id").select("qid", "id", F.round(F.col("rrf") * boost, 9).alias("score"))
     return best(scored, "qid", "id", limit, "score")
 
 
-def dense_above(docs: DataFrame, queries: DataFrame, as_of: float, floor: float, limit: int) -> DataFrame:
+def search_chunks(chunks: DataFrame, docs: DataFrame, queries: DataFrame, index: Index, limit: int = 5, kind: str | None = None, source: str | None = None, tagged: DataFrame | None = None, archived: bool = False) -> DataFrame:
+    """(qid, id, doc_id, score) of all candidates among chunks(id, doc_id) of visible documents, of a kind, a source and with any of the tags (a frame (doc_id)) if asked for.
+
+    The candidates of each list are six times the limit, 50 at least; with tags
+    4096. All filters come before the pools are cut. score is the fused one,
+    rounded to 9 places; best() cuts to the limit.
+    """
+    keep = visible(docs, archived, kinds=[kind] if kind else None, sources=[source] if source else None, tagged=tagged)
+    own = chunks.select("id", "doc_id").join(keep.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    pool = 4096 if tagged is not None else max(limit * 6, 50)
+    fused = fuse(bm25(own, queries, pool, index), dense(own, queries, pool, index))
+    return fused.join(own, "id").select("qid", "id", "doc_id", F.round("rrf", 9).alias("score"))
+
+
+def dense_above(docs: DataFrame, queries: DataFrame, as_of: float, floor: float, limit: int, index: Index | None = None) -> DataFrame:
     """Pointers on the absolute scale: dense score times freshness and weight of status, only those at the floor or above."""
-    near = dense(docs, queries, limit * 5).select("qid", "id", F.col("score").alias("sim"))
+    near = dense(docs, queries, limit * 5, index).select("qid", "id", F.col("score").alias("sim"))
     scored = near.join(docs.select("id", "at", "status"), "id").select("qid", "id", F.round(F.col("sim") * freshness(F.col("at"), as_of) * status_weight(F.col("status")), 6).alias("score"))
     return best(scored.where(F.col("score") >= floor), "qid", "id", limit, "score")
 
 
+def boot_pointers(docs: DataFrame, tags: DataFrame, agent: str, queries: DataFrame, as_of: float, floor: float = 0.62, limit: int = 5, index: Index | None = None) -> DataFrame:
+    """dense_above() among the documents tagged owner/<agent>, in lower case; an agent that owns nothing gets no rows."""
+    own = tags.where(tag_name(F.col("tag")) == f"owner/{agent.lower()}").select(F.col("doc_id").alias("id")).distinct()
+    return dense_above(docs.join(own, "id", "left_semi"), queries, as_of, floor, limit, index)
+
+
 def best_per_document(hits: DataFrame, limit: int = 12, offset: int = 0) -> DataFrame:
     """Chunk hits (qid, id, doc_id, score) collapsed to the best chunk of each document, with the score as a share of the query's best, and a page of them per query."""
     first = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "id"))

@@ -17,6 +17,45 @@ def upsert(store: DataFrame, items: DataFrame, text_col: str = "content") -> Dat
     return both.select(F.coalesce("s.ext_id", "i.ext_id").alias("ext_id"), pick("title").alias("title"), pick(text_col).alias(text_col), F.coalesce(F.when(action.isin("added", "updated"), F.col("i.mtime")), F.col("s.mtime")).alias("mtime"), action.alias("action"))
 
 
+def overwritten(store: DataFrame, items: DataFrame, text_col: str = "content") -> DataFrame:
+    """(ext_id, title, content): what upsert() of the items overwrites, to be kept as versions."""
+    gone = upsert(store, items, text_col).where("action = 'updated'").select("ext_id")
+    return store.join(gone, "ext_id", "left_semi").select("ext_id", "title", text_col)
+
+
+def version_listing(versions: DataFrame, text_col: str = "content") -> DataFrame:
+    """(ext_id, version_id, title, ts, size, place) of versions(ext_id, version_id, title, content, ts), place 0 for a document's newest."""
+    place = F.row_number().over(Window.partitionBy("ext_id").orderBy(F.desc("ts"), F.desc("version_id"))) - 1
+    return versions.select("ext_id", "version_id", "title", "ts", F.char_length(text_col).alias("size"), place.alias("place"))
+
+
+def restored(store: DataFrame, versions: DataFrame, picks: DataFrame, text_col: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(store, snapshots) after documents are rolled back to versions, as picks(ext_id, version_id) say.
+
+    Only the text reverts; everything else of a document stays, and its text
+    before is a snapshot(ext_id, title, content), so that it can be undone. A
+    pick of no version of that document changes nothing. The store gains action,
+    'restored' or 'kept'; of several picks of one document the largest counts.
+    """
+    one = picks.groupBy("ext_id").agg(F.max("version_id").alias("version_id"))
+    found = versions.select("ext_id", "version_id", F.col(text_col).alias("_text")).join(one, ["ext_id", "version_id"]).where("_text is not null").select("ext_id", "_text").dropDuplicates(["ext_id"])
+    both = store.join(found, "ext_id", "left")
+    out = both.withColumn("action", F.when(F.col("_text").isNotNull(), "restored").otherwise("kept")).withColumn(text_col, F.coalesce("_text", text_col)).drop("_text")
+    return out, both.where("_text is not null").select("ext_id", "title", text_col)
+
+
+def newest_of_all(log: DataFrame, at: str, cap: int, *ties: str) -> DataFrame:
+    """The cap newest rows of a whole log, by a top-k that keeps cap rows a task."""
+    return log.orderBy(F.desc(at), *[F.desc(t) for t in ties]).limit(cap)
+
+
+def undeleted(tombstones: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ext_id, title, content, kind, tags): the documents wanted(ext_id) as their latest tombstones(id, ext_id, title, content, kind, tags, deleted_at) have them, without the tags of a kind, which writing a document adds. Those without a tombstone have no row."""
+    last = F.max_by(F.struct("title", "content", "kind", "tags"), F.struct("deleted_at", "id")).alias("t")
+    found = tombstones.join(wanted.select("ext_id").distinct(), "ext_id", "left_semi").groupBy("ext_id").agg(last)
+    return found.select("ext_id", "t.title", "t.content", "t.kind", F.filter("t.tags", lambda x: ~F.startswith(x, F.lit("kind/"))).alias("tags"))
+
+
 def newest(log: DataFrame, key: str, at: str, cap: int, *ties: str) -> DataFrame:
     """The cap newest rows of each key of an append-only log, with their place from 1."""
     k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), *[F.desc(t) for t in ties]))

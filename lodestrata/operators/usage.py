@@ -13,9 +13,13 @@ DAY = 86400
 
 
 def clean_log(queries: DataFrame) -> DataFrame:
-    """The log with rows delivered twice once, at as seconds (null if unknown), and actor and session cleaned, 'unknown' where empty."""
+    """The log with rows delivered twice once, at as seconds (null if unknown), and actor and session cleaned, 'unknown' where empty.
+
+    Rows are told apart by their id, not by all of their columns, so a report
+    reads and shuffles only the columns it uses; rows of one id must be alike.
+    """
     name = lambda c: F.coalesce(F.nullif(clean_name(F.col(c)), F.lit("")), F.lit("unknown"))
-    return queries.distinct().withColumns({"at": stored_seconds(F.col("ts")), "actor": name("user"), "session": name("session_id"), "q": F.lower("query")}).drop("ts", "user", "session_id")
+    return queries.dropDuplicates(["id"]).withColumns({"at": stored_seconds(F.col("ts")), "actor": name("user"), "session": name("session_id"), "q": F.lower("query")}).drop("ts", "user", "session_id")
 
 
 def in_window(log: DataFrame, since: float, until: float) -> DataFrame:
@@ -159,9 +163,17 @@ def window_compare(results: DataFrame, log: DataFrame, split: float) -> DataFram
 
 
 def rate_limited(events: DataFrame, key: str, at_micros: Column, most: int = 5, window_us: int = 60_000_000) -> DataFrame:
-    """Events with how many of their key fell into the window that ends with them, and whether those are over the limit."""
-    frame = Window.partitionBy(key).orderBy("at_us").rangeBetween(-(window_us - 1), 0)
-    return events.withColumn("at_us", at_micros).withColumn("recent", F.count("*").over(frame)).withColumn("limited", F.col("recent") > most)
+    """Events with how many of their key fell into the window that ends with them, and whether those are over the limit.
+
+    A key is cut into slices of one window's length, each a partition of its own
+    that also holds the slice before, so a hot key is spread over time. Events
+    of an unknown time have a null count.
+    """
+    rows = events.withColumn("at_us", at_micros).withColumn("_own", F.floor(F.col("at_us") / window_us))
+    frame = Window.partitionBy(key, "_slice").orderBy("at_us").rangeBetween(-(window_us - 1), 0)
+    near = rows.withColumn("_slice", F.explode(F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("_own", F.col("_own") + 1))))
+    counted = near.withColumn("recent", F.when(F.col("_own").isNotNull(), F.count("*").over(frame)))
+    return counted.where("_slice <=> _own").drop("_slice", "_own").withColumn("limited", F.col("recent") > most)
 
 
 def share_bucket(ratio: Column) -> Column:

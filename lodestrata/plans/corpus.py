@@ -56,7 +56,7 @@ def dup_pairs(spark, sf_dir):
 
 @_query(
     "dup_rule",
-    _PAIRS + """, o AS (SELECT id_a, id_b, cosine, (coalesce(a."at", '-infinity'::DOUBLE), a.id) < (coalesce(b."at", '-infinity'::DOUBLE), b.id) AS first_older FROM p JOIN d a ON a.id = id_a JOIN d b ON b.id = id_b),
+    _PAIRS + """, o AS (SELECT id_a, id_b, cosine, (coalesce(a."at", '-infinity'::DOUBLE), a.id) < (coalesce(b."at", '-infinity'::DOUBLE), b.id) AS first_older FROM p JOIN d a ON a.id = id_a JOIN d b ON b.id = id_b WHERE a.status IN ('canonical', 'plan') AND b.status IN ('canonical', 'plan')),
 f AS (SELECT CASE WHEN first_older THEN id_a ELSE id_b END AS id, CASE WHEN first_older THEN id_b ELSE id_a END AS dup_of, cosine FROM o)
 SELECT id, dup_of, cosine FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, dup_of) = 1""",
 )
@@ -279,6 +279,72 @@ def put_batch(spark, sf_dir):
     return store.upsert(*_written(spark, sf_dir)).drop("content")
 
 
+@_query("put_versions", """, own AS (SELECT * FROM d WHERE ext_id IS NOT NULL) SELECT ext_id, title FROM own WHERE id % 3 = 0 AND title IS NOT NULL""")
+def put_versions(spark, sf_dir):
+    """What the batch of writes overwrites, as versions to be kept."""
+    return store.overwritten(*_written(spark, sf_dir)).select("ext_id", "title")
+
+
+def _kept_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The owned documents, and three versions of each."""
+    own = _docs(spark, sf_dir).where("ext_id is not null").select("id", "ext_id", "title", "content", "mtime")
+    k = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k")
+    old = own.select("id", "ext_id", "title", "content", k).select((F.col("id") * 10 + F.col("k")).alias("version_id"), "ext_id", "title", F.concat(F.coalesce("content", F.lit("")), F.lit(" v"), F.col("k").cast("string")).alias("content"), (F.col("id") + F.col("k") % 3).cast("double").alias("ts"))
+    return own, old
+
+
+_KEPT = """, own AS (SELECT * FROM d WHERE ext_id IS NOT NULL),
+old AS (SELECT id, id * 10 + k AS version_id, ext_id, title, coalesce(content, '') || ' v' || k AS content, CAST(id + k % 3 AS DOUBLE) AS ts FROM own, (VALUES (1), (2), (3)) t(k))
+"""
+
+
+@_query("version_listing", _KEPT + "SELECT ext_id, version_id, title, ts, length(content) AS size, row_number() OVER (PARTITION BY ext_id ORDER BY ts DESC, version_id DESC) - 1 AS place FROM old")
+def version_listing(spark, sf_dir):
+    return store.version_listing(_kept_versions(spark, sf_dir)[1])
+
+
+@_query(
+    "version_restore",
+    _KEPT + """SELECT o.ext_id, o.title, md5(coalesce(v.content, o.content)) AS digest, CASE WHEN v.content IS NOT NULL THEN 'restored' ELSE 'kept' END AS action, v.content IS NOT NULL AND o.content IS NOT NULL AS snapshot
+    FROM own o LEFT JOIN old v ON v.ext_id = o.ext_id AND o.id % 4 = 0 AND v.version_id = o.id * 10 + 2""",
+)
+def version_restore(spark, sf_dir):
+    """Every fourth owned document rolled back to its second version; what stood there becomes a version itself."""
+    own, old = _kept_versions(spark, sf_dir)
+    picks = own.where("id % 4 = 0").select("ext_id", (F.col("id") * 10 + 2).alias("version_id"))
+    restored, snapshots = store.restored(own, old, picks)
+    kept = snapshots.where("content is not null").select("ext_id", F.lit(True).alias("snapshot"))
+    return restored.join(kept, "ext_id", "left").select("ext_id", "title", F.md5("content").alias("digest"), "action", F.coalesce("snapshot", F.lit(False)).alias("snapshot"))
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tombstones: every third owned document deleted once, every ninth twice."""
+    own = _docs(spark, sf_dir).where("ext_id is not null and content is not null and id % 3 = 0")
+    tags = _tags(spark, sf_dir).groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    once = own.join(tags, "id", "left").select("id", "ext_id", "title", "content", "kind", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), (F.col("id") % 50).cast("double").alias("deleted_at"))
+    again = once.where("id % 9 = 0").select((-F.col("id")).alias("id"), "ext_id", F.concat("title", F.lit(" again")).alias("title"), "content", "kind", "tags", (F.col("deleted_at") + 7).alias("deleted_at"))
+    return once.unionByName(again)
+
+
+_DELETED = """, g AS (SELECT doc_id, list(tag ORDER BY tag) AS tags FROM t GROUP BY doc_id),
+one AS (SELECT id, ext_id, title, content, kind, coalesce(tags, []) AS tags, CAST(id % 50 AS DOUBLE) AS deleted_at FROM d LEFT JOIN g ON g.doc_id = d.id WHERE ext_id IS NOT NULL AND content IS NOT NULL AND id % 3 = 0),
+tomb AS (SELECT * FROM one UNION ALL SELECT -id, ext_id, title || ' again', content, kind, tags, deleted_at + 7 FROM one WHERE id % 9 = 0)
+"""
+
+
+@_query("tombstones_kept", _DELETED + "SELECT id, ext_id, deleted_at FROM tomb ORDER BY deleted_at DESC, id DESC LIMIT 20")
+def tombstones_kept(spark, sf_dir):
+    """The newest tombstones of all, as many as are kept."""
+    return store.newest_of_all(_deleted(spark, sf_dir), "deleted_at", 20, "id").select("id", "ext_id", "deleted_at")
+
+
+@_query("undeleted", _DELETED + """SELECT ext_id, title, kind, array_to_string(list_filter(tags, lambda x: NOT starts_with(x, 'kind/')), ',') AS tags FROM tomb WHERE ext_id IN (SELECT ext_id FROM d WHERE id % 6 = 0) QUALIFY row_number() OVER (PARTITION BY ext_id ORDER BY deleted_at DESC, id DESC) = 1""")
+def undeleted(spark, sf_dir):
+    """Deleted documents made anew from their latest tombstones."""
+    wanted = _docs(spark, sf_dir).where("id % 6 = 0 and ext_id is not null").select("ext_id")
+    return store.undeleted(_deleted(spark, sf_dir), wanted).select("ext_id", "title", "kind", F.array_join("tags", ",").alias("tags"))
+
+
 @_query("collections", "SELECT 'notes' AS name, id FROM d WHERE kind = 'note' UNION ALL SELECT 'quill plans', id FROM d WHERE source_id = 'code-quill' AND status = 'plan' UNION ALL SELECT 'all', id FROM d")
 def collections(spark, sf_dir):
     saved = spark.createDataFrame([("notes", '{"kind": "note"}'), ("quill plans", '{"source": "code-quill", "status": "plan"}'), ("all", "{}")], "name string, filter string")
@@ -364,13 +430,6 @@ def folder_tags(spark, sf_dir):
     return ingest.folder_tags(_docs(spark, sf_dir))
 
 
-@_query("retitled", r"SELECT id, title AS stored, title IS NULL OR lower(trim(title)) IN ('', 'untitled') AS wanting FROM d WHERE title IS NULL OR lower(trim(title)) IN ('', 'untitled')")
-def retitled(spark, sf_dir):
-    """Documents whose stored title says nothing, to be titled anew from their text."""
-    nothing = plain(F.col("title")).isin("", "untitled")
-    return _docs(spark, sf_dir).where(nothing).select("id", F.col("title").alias("stored"), nothing.alias("wanting"))
-
-
 # Caches.
 _VERSION = """, c AS (SELECT source_id, count(*) AS n, max("at") AS "at", sum(CAST('0x' || md5(concat_ws('|', id, coalesce(status, ''), coalesce(lifecycle, '')))[1:8] AS BIGINT)) AS state FROM d GROUP BY 1),
 ver AS (SELECT source_id, concat_ws(':', source_id, n, CAST(coalesce(floor("at"), 0) AS BIGINT), state) AS version FROM c)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata import session
 from lodestrata.catalog import table
 from lodestrata.functions.text import first_words, tag_name
 from lodestrata.operators import evaluation as E
@@ -31,6 +32,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.searchable(table(spark, sf_dir, "docs"))
 
 
+_indexes: dict[tuple, R.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str) -> R.Index:
+    """The index of docs or chunks, built once an application for the files of the table as they are now."""
+    rows = table(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, session.generation, name, *sorted(rows.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().toPandas().itertuples(index=False, name=None)))
+    if key not in _indexes:
+        _indexes[key] = R.indexed(_docs(spark, sf_dir) if name == "docs" else rows.select("id", F.col("content").alias("text")))
+    return _indexes[key]
+
+
 def _asked(spark: SparkSession) -> DataFrame:
     return R.query_frame(spark, ASKED)
 
@@ -77,12 +90,12 @@ _FUSED = "fused AS (SELECT qid, id, sum(1 / (60 + rank)) AS rrf FROM (SELECT qid
 
 @_query("bm25_topk", _ALL + _bm25_sql("d", 10) + "x AS (SELECT 1) SELECT qid, id, score, rank FROM lexical")
 def _(spark, sf_dir):
-    return R.bm25(R.visible(_docs(spark, sf_dir)), _asked(spark), 10)
+    return R.bm25(R.visible(_docs(spark, sf_dir)), _asked(spark), 10, _index(spark, sf_dir, "docs"))
 
 
 @_query("hashed_knn_topk", _ALL + _dense_sql("d", 10) + "x AS (SELECT 1) SELECT qid, id, score, rank FROM near")
 def _(spark, sf_dir):
-    return R.dense(R.visible(_docs(spark, sf_dir)), _asked(spark), 10)
+    return R.dense(R.visible(_docs(spark, sf_dir)), _asked(spark), 10, _index(spark, sf_dir, "docs"))
 
 
 @_query("hashed_embed", _ALL + _dense_sql("everything", 10) + "x AS (SELECT 1) SELECT id, dim, round(weight, 6) AS weight FROM dv")
@@ -92,8 +105,8 @@ def _(spark, sf_dir):
 
 @_query("rrf_fusion", _ALL + _bm25_sql("d", 25) + _dense_sql("d", 25) + _FUSED + "x AS (SELECT 1) SELECT qid, id, round(rrf, 9) AS rrf FROM fused")
 def _(spark, sf_dir):
-    d, q = R.visible(_docs(spark, sf_dir)), _asked(spark)
-    return R.fuse(R.bm25(d, q, 25), R.dense(d, q, 25)).withColumn("rrf", F.round("rrf", 9))
+    d, q, ix = R.visible(_docs(spark, sf_dir)), _asked(spark), _index(spark, sf_dir, "docs")
+    return R.fuse(R.bm25(d, q, 25, ix), R.dense(d, q, 25, ix)).withColumn("rrf", F.round("rrf", 9))
 
 
 @_query(
@@ -102,7 +115,7 @@ def _(spark, sf_dir):
 SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 5""",
 )
 def _(spark, sf_dir):
-    return R.hybrid(R.visible(_docs(spark, sf_dir)), _asked(spark), AS_OF, 5)
+    return R.hybrid(R.visible(_docs(spark, sf_dir)), _asked(spark), AS_OF, 5, index=_index(spark, sf_dir, "docs"))
 
 
 @_query(
@@ -112,7 +125,27 @@ SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 )
 def _(spark, sf_dir):
     """Records above a floor on the absolute scale, as an agent gets them at its start."""
-    return R.dense_above(R.visible(_docs(spark, sf_dir), kinds=["record"]), _asked(spark), AS_OF, 0.3, 5)
+    return R.dense_above(R.visible(_docs(spark, sf_dir), kinds=["record"]), _asked(spark), AS_OF, 0.3, 5, _index(spark, sf_dir, "docs"))
+
+
+@_query(
+    "hybrid_of_kind",
+    _ALL + "r AS (SELECT * FROM d WHERE kind = 'note'),\n" + _bm25_sql("r", 50) + _dense_sql("r", 50) + _FUSED + f"""scored AS (SELECT qid, f.id, round(rrf * ({_FRESH} * {_STATUS} * (1 + 0.35 * importance)), 9) AS score FROM fused f JOIN d ON d.id = f.id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 5""",
+)
+def _(spark, sf_dir):
+    """The flagship search among notes: filtered, so from the larger pool."""
+    return R.hybrid(R.visible(_docs(spark, sf_dir), kinds=["note"]), _asked(spark), AS_OF, 5, True, _index(spark, sf_dir, "docs"))
+
+
+@_query(
+    "boot_pointers",
+    _ALL + "own AS (SELECT *, 'owner/' || split_part(lower(regexp_replace(trim(tag), '^/+|/+$', '', 'g')), '/', 2) AS owner FROM doc_tags WHERE lower(regexp_replace(trim(tag), '^/+|/+$', '', 'g')) = 'owner/dar'),\nr AS (SELECT * FROM d WHERE id IN (SELECT doc_id FROM own)),\n" + _dense_sql("r", 25) + f"""scored AS (SELECT qid, n.id, round(score * {_FRESH} * {_STATUS}, 6) AS score FROM near n JOIN r ON r.id = n.id)
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM scored WHERE score >= 0.25 QUALIFY rank < 5""",
+)
+def _(spark, sf_dir):
+    """What an agent is pointed to at its start: documents tagged as its own, however the agent is spelled, above a floor on the absolute scale."""
+    return R.boot_pointers(R.visible(_docs(spark, sf_dir)), table(spark, sf_dir, "doc_tags"), "Dar", _asked(spark), AS_OF, 0.25, 5, _index(spark, sf_dir, "docs"))
 
 
 @_query(
@@ -122,7 +155,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Search among the documents of any tag in an area; the tags are a semi-join before the limit."""
     tagged = table(spark, sf_dir, "doc_tags").where(F.startswith(tag_name(F.col("tag")), F.lit("area")))
-    return R.bm25(R.visible(_docs(spark, sf_dir), tagged=tagged), _asked(spark), 10)
+    return R.bm25(R.visible(_docs(spark, sf_dir), tagged=tagged), _asked(spark), 10, _index(spark, sf_dir, "docs"))
 
 
 @_query("source_scoped_topk", _ALL + "t AS (SELECT * FROM d WHERE source_id = 'code-quill'),\n" + _bm25_sql("t", 10) + "x AS (SELECT 1) SELECT qid, id, score, rank FROM lexical")
@@ -130,7 +163,7 @@ def _(spark, sf_dir):
     # The sources are few, one row each.
     known = [r[0] for r in table(spark, sf_dir, "docs").select("source_id").distinct().collect()]
     scope = R.resolve_scope(known, asked="code-quill") if "code-quill" in known else None
-    return R.bm25(R.visible(_docs(spark, sf_dir), sources=scope), _asked(spark), 10)
+    return R.bm25(R.visible(_docs(spark, sf_dir), sources=scope), _asked(spark), 10, _index(spark, sf_dir, "docs"))
 
 
 # Chunks: candidates of both kinds over all chunks of visible documents.
@@ -139,11 +172,19 @@ _CHUNKS += "hit AS (SELECT qid, f.id, c.doc_id, round(rrf, 9) AS score FROM fuse
 
 
 def _chunk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = R.visible(_docs(spark, sf_dir)).select(F.col("id").alias("doc_id"))
-    chunks = table(spark, sf_dir, "chunks").select("id", "doc_id", F.col("content").alias("text")).join(keep, "doc_id", "left_semi")
-    q = _asked(spark)
-    fused = R.fuse(R.bm25(chunks, q, 50), R.dense(chunks, q, 50))
-    return fused.join(chunks.select("id", "doc_id"), "id").select("qid", "id", "doc_id", F.round("rrf", 9).alias("score"))
+    return R.search_chunks(table(spark, sf_dir, "chunks"), _docs(spark, sf_dir), _asked(spark), _index(spark, sf_dir, "chunks"), 8)
+
+
+_TAGGED = "SELECT doc_id FROM doc_tags WHERE starts_with(lower(regexp_replace(trim(tag), '^/+|/+$', '', 'g')), 'area')"
+_SCOPED = _ALL + f"c AS (SELECT c.id, c.doc_id, c.content AS text FROM chunks c WHERE c.doc_id IN (SELECT id FROM everything WHERE lifecycle <> 'pending_delete' AND status <> 'duplicate' AND kind = 'note' AND source_id = 'code-quill' AND id IN ({_TAGGED}))),\n" + _bm25_sql("c", 4096) + _dense_sql("c", 4096) + _FUSED
+
+
+@_query("chunk_search_scoped", _SCOPED + "hit AS (SELECT qid, f.id, c.doc_id, round(rrf, 9) AS score FROM fused f JOIN c ON c.id = f.id) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM hit QUALIFY rank < 5")
+def _(spark, sf_dir):
+    """Chunks of notes of one source with any tag of an area, archived ones too."""
+    tagged = table(spark, sf_dir, "doc_tags").where(F.startswith(tag_name(F.col("tag")), F.lit("area")))
+    hits = R.search_chunks(table(spark, sf_dir, "chunks"), _docs(spark, sf_dir), _asked(spark), _index(spark, sf_dir, "chunks"), 5, "note", "code-quill", tagged, archived=True)
+    return knn.best(hits, "qid", "id", 5, "score")
 
 
 @_query("chunk_search", _CHUNKS + "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM hit) SELECT * FROM r WHERE rank < 8")
@@ -213,7 +254,7 @@ def _(spark, sf_dir):
     """Twenty candidates re-scored by the built-in scorer on title and the start of the text."""
     d, q = R.visible(_docs(spark, sf_dir)), _asked(spark)
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring(F.coalesce("content", F.lit("")), 1, 400))
-    hits = R.bm25(d, q, 20).join(d.select("id", text.alias("text")), "id").join(q, "qid")
+    hits = R.bm25(d, q, 20, _index(spark, sf_dir, "docs")).join(d.select("id", text.alias("text")), "id").join(q, "qid")
     return R.rerank(hits, "query", "text", 5)
 
 
@@ -222,7 +263,7 @@ def _(spark, sf_dir):
     """What a reranker reads of each candidate: its title and the start of its first chunk."""
     d = R.visible(_docs(spark, sf_dir))
     first = table(spark, sf_dir, "chunks").where("chunk_index = 0").groupBy(F.col("doc_id").alias("id")).agg(F.min_by("content", F.struct("chunk_index", "id")).alias("content"))
-    hits = R.bm25(d, _asked(spark), 5).join(d.select("id", "title"), "id").join(first, "id", "left")
+    hits = R.bm25(d, _asked(spark), 5, _index(spark, sf_dir, "docs")).join(d.select("id", "title"), "id").join(first, "id", "left")
     return hits.select("qid", "id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring(F.coalesce("content", F.lit("")), 1, 400)).alias("text"))
 
 
@@ -239,6 +280,23 @@ def _(spark, sf_dir):
     return R.listing(_docs(spark, sf_dir))
 
 
+@_query(
+    "eval_run",
+    _ALL + _bm25_sql("d", 3) + """h AS (SELECT l.qid, rank, coalesce(d.content, '') AS text, d.path AS line FROM lexical l JOIN d USING (id)),
+    r AS (SELECT qid, coalesce(max(text) FILTER (WHERE rank = 0), '') AS own, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS base, string_agg(line, chr(10) ORDER BY rank) AS listing FROM h GROUP BY qid),
+    c AS (SELECT a.qid, query, CASE WHEN a.qid % 2 = 0 THEN 'even' ELSE 'odd' END AS category, coalesce(own, '') AS own, coalesce(base, '') AS base, coalesce(listing, '') AS listing FROM asked a LEFT JOIN r USING (qid)),
+    s AS (SELECT *, right(own, 400) AS said, right(base, 400) AS base_said, split_part(query, ' ', 1) AS word FROM c)
+    SELECT qid, category, contains(lower(base_said), word) AS base_ok, length(base) // 4 + length(base_said) // 4 AS base_tokens, contains(lower(said), word) AS ok, length(own) // 4 + length(said) // 4 + length(listing) // 4 AS tokens FROM s""",
+)
+def _(spark, sf_dir):
+    """Searches answered from the first hit and from the first three, by an answer that is the end of what was read, right if it names the search's first word."""
+    d, q = R.visible(_docs(spark, sf_dir)), _asked(spark)
+    cases = q.select("qid", "query", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("category"))
+    answer = lambda query, context: F.right(context, F.lit(400))
+    judge = lambda row, said: F.contains(F.lower(said), F.substring_index(row["query"], " ", 1))
+    return E.run_cases(cases, R.bm25(d, q, 3, _index(spark, sf_dir, "docs")), d.select("id", F.col("content").alias("text"), F.col("path").alias("line")), answer, judge)
+
+
 _PROBES = r"""probes AS (SELECT id AS qid, list_filter(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 40 AND NOT regexp_matches(x, '^[#*|`-]'))[1][1:200] AS query FROM d WHERE content IS NOT NULL),
 asked AS (SELECT qid, query FROM probes WHERE query IS NOT NULL ORDER BY md5(CAST(qid AS VARCHAR)), qid LIMIT 20),
 """
@@ -255,7 +313,7 @@ def _(spark, sf_dir):
     d = R.visible(_docs(spark, sf_dir))
     drawn = d.select(F.col("id").alias("qid"), probe_line(F.col("content")).alias("query")).where("query is not null").orderBy(F.md5(F.col("qid").cast("string")), "qid").limit(20)
     labels = drawn.select("qid", F.col("qid").alias("id"))
-    return E.mean_metrics(E.rank_metrics(R.bm25(d, drawn, 5), labels, 5)).select("n", "hit_1", "recall")
+    return E.mean_metrics(E.rank_metrics(R.bm25(d, drawn, 5, _index(spark, sf_dir, "docs")), labels, 5)).select("n", "hit_1", "recall")
 
 
 # Vectors.
@@ -285,6 +343,4 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Neighbours within the query's own source."""
     v = knn.usable(table(spark, sf_dir, "vec_docs"), "id", "embedding", 64, "source_id")
-    q = v.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), "source_id")
-    met = v.join(q, "source_id").where("id <> qid").select(F.col("qid").alias("of"), F.col("id").alias("neighbour"), F.round(knn.cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
-    return knn.best(met, "of", "neighbour", 10).select(F.col("of").alias("id"), "neighbour", "similarity", "rank")
+    return knn.nearest(v, v.where("id % 100 = 0"), 10, within="source_id")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.sessions import log_actors
 from lodestrata.plans.sessions import SESSIONS
-from lodestrata.session import shared_folder
+from lodestrata.session import work_folder
 from lodestrata.streaming import log as S
 
 
 def _run(spark: SparkSession, sf_dir: str, name: str, of, windows: bool = True) -> DataFrame:
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = S.events_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     if not windows:
         return S.drained(of(events), name, folder)
@@ -46,7 +46,7 @@ def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions of the query log as a stream. The log's rows come late by up to its whole span (ids follow arrival, times do not), so the watermark waits that long."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     log = S.events_stream(spark, f"{sf_dir.rstrip('/')}/mcp_queries.parquet", ts=None)
     rows = log_actors(log).select("event_id", "actor", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts"))
     found = S.log_sessions(S.closing(rows, f"{folder}/end"), late=f"{11 * 365} days")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from lodestrata.catalog import table
 from lodestrata.functions import code, markdown
 from lodestrata.functions import text as T
 from lodestrata.functions.columns import stored_seconds, tokens
+from lodestrata.operators import ingest
+from lodestrata.session import spread, work_folder
+from lodestrata.sources import files
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,6 +85,12 @@ def name_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "docs").select("id", T.name_title(F.col("path")).alias("title"))
 
 
+@_query("retitled", f"WITH a AS ({ORACLES['document_titles']}), b AS ({ORACLES['name_titles']}) SELECT d.id, d.title AS stored, coalesce(nullif(a.title, 'Untitled'), b.title) AS title FROM docs d JOIN b ON b.id = d.id LEFT JOIN a ON a.id = d.id WHERE d.title IS NULL OR lower(trim(d.title)) IN ('', 'untitled')")
+def retitled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose stored title says nothing, with a title derived from their text, else from their path."""
+    return ingest.retitled(table(spark, sf_dir, "docs"))
+
+
 @_query("authors", f"SELECT id, coalesce({_front('agent')}, {_front('author')}, {_front('generator')}, {_front('created_by')}) AS author, lower({_front('status')}) AS status FROM docs WHERE {_FRONT} <> ''")
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author and status of the documents that have front matter."""
@@ -117,12 +128,16 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "secret_scan",
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    f"""WITH p AS (SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'ask user' || doc_id || '@example.org' WHEN 1 THEN 'AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0') WHEN 2 THEN 'api_key: k' || doc_id || chr(10) || 'the key of ' || doc_id ELSE 'nothing here' END AS text FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM p)
     SELECT doc_id, count(*) AS n_lines FROM l WHERE {" OR ".join(f"regexp_matches(line, '{p}')" for p in T.SECRETS)} GROUP BY doc_id""",
 )
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents that hold the shape of a secret."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    """Lines of documents that hold the shape of a secret; the test documents have none, so each is given a line or two, with one or without."""
+    i = F.col("doc_id").cast("string")
+    planted = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("ask user"), i, F.lit("@example.org"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("AKIA"), F.lpad(i, 16, "0"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("api_key: k"), i, F.lit("\nthe key of "), i)).otherwise(F.lit("nothing here"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), planted).alias("text"))
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     hit = F.lit(False)
     for pattern in T.SECRETS:
         hit = hit | F.col("line").rlike(pattern)
@@ -353,3 +368,52 @@ def section_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the fenced code of documents, by its language."""
     return code.chunk_code(code.fenced_code(table(spark, sf_dir, "docs")), most=60)
+
+
+@_query(
+    "code_cover",
+    _LINES + """m AS (SELECT *, sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS mark FROM h WHERE fenced),
+    b AS (SELECT doc_id, (mark - 1) // 2 AS block_no, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT fence), '') AS source FROM m GROUP BY ALL)
+    SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, md5(source) AS digest, 0 AS over FROM b WHERE source <> ''""",
+)
+def code_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of each fenced block put together again, and those over the budget that could have been cut."""
+    chunks = code_chunks(spark, sf_dir)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda x: x["content"]), "")
+    over = (F.char_length("content") >= 4 * 61) & (F.col("last_line") > F.col("first_line"))
+    return chunks.groupBy("doc_id", "block_no").agg(F.md5(whole).alias("digest"), F.count_if(over).alias("over"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("log_lines", "SELECT DISTINCT CAST(id AS VARCHAR) AS ts, query AS path, response_tokens_est AS tokens_est, session_id FROM mcp_queries WHERE query IS NOT NULL")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query log written as JSON lines with broken ones between, and read again."""
+    log = table(spark, sf_dir, "mcp_queries").where("query is not null").select(F.col("id").cast("string").alias("ts"), F.col("query").alias("path"), F.col("response_tokens_est").alias("tokens_est"), "session_id").distinct()
+    good = F.to_json(F.struct("ts", "path", "tokens_est", "session_id"))
+    folder = _folder(spark, "log")
+    log.select(F.explode(F.array(good, F.concat(F.lit("{broken "), "ts"))).alias("value")).write.text(folder)
+    return files.read_log(spark, folder).where("ts is not null")
+
+
+@_query("label_lines", "SELECT DISTINCT lower(query) AS query, unnest([CAST(id AS VARCHAR) || '.md', CAST(id + 1 AS VARCHAR) || '.md']) AS id FROM mcp_queries WHERE query IS NOT NULL AND NOT contains(query, '|') AND NOT starts_with(query, '#') AND NOT contains(query, chr(9)) AND query = trim(query) AND query <> ''")
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written in both notations, with comments and blank lines between, and read again."""
+    asked = table(spark, sf_dir, "mcp_queries").where("query is not null and not contains(query, '|') and not startswith(query, '#') and not contains(query, '\t') and query = trim(query) and query <> ''")
+    mark = F.when(F.col("id") % 2 == 0, "\t").otherwise(" | ")
+    line = F.concat(F.lower("query"), mark, F.col("id").cast("string"), F.lit(".md, "), (F.col("id") + 1).cast("string"), F.lit(".md"))
+    folder = _folder(spark, "labels")
+    asked.select(F.explode(F.array(line, F.lit("# a comment\t1.md"), F.lit(" "))).alias("value")).write.text(folder)
+    return files.read_labels(spark, folder).distinct()
+
+
+@_query("files_scanned", "SELECT 'notes' AS source_id, 'd' || (doc_id % 7) || '/' || doc_id || '.md' AS path, octet_length(encode(text)) AS size_bytes, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) BETWEEN 1 AND 20000 AND doc_id % 7 <> 3")
+def files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, some in a folder that is ignored, and scanned."""
+    folder = _folder(spark, "files")
+    size = F.octet_length("text")
+    rows = spread(table(spark, sf_dir, "documents").where(size.between(1, 20000)).select("doc_id", "text"))
+    files.written(rows.select(F.concat(F.lit("d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text"), folder)
+    return files.scan(spark, folder, "notes", folders=("d3",)).select("source_id", "path", "size_bytes", "content_hash")

@@ -28,7 +28,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "mcp_query_results").distinct()
+    # A result is known by its query and rank.
+    return table(spark, sf_dir, "mcp_query_results").dropDuplicates(["query_id", "rank"])
 
 
 _LOG = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -48,6 +49,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder within the shared one; clear() deletes it, and so does the end of the driver if the session still runs then."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/lodestrata-{context.applicationId}"
+    if context.applicationId not in _cleared:
+        _cleared.add(context.applicationId)
+        atexit.register(clear, spark)
+    return folder
+
+
+_cleared: set[str] = set()
+#: How often clear() was called: what is kept by name between calls is void after one.
+generation = 0
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that materialize() and the streams of this application wrote; no frame made from it can be read any more."""
+    if spark._jsc is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    global generation
+    generation += 1
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lodestrata-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -55,7 +81,7 @@ def materialize(df: DataFrame) -> DataFrame:
     of an executor, and gives the optimizer the real size of what it joins.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestrata-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/lodestrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.ingest import EXTENSIONS, accepted
+from lodestrata.operators.ingest import EXTENSIONS, MOST_BYTES, accepted
 
 #: Folders and files that are never taken in.
 SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "__pycache__", ".venv")
@@ -17,21 +19,52 @@ SKIPPED_GLOBS = ("*.min.*", "*.lock")
 def scan(spark: SparkSession, root: str, source_id: str, globs: tuple[str, ...] = (), folders: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
     """(source_id, path, mtime, size_bytes, content, content_hash) of the accepted files below a root, paths relative to it.
 
-    Names and sizes are filtered before a file is opened: Spark lists the files
-    and reads the contents of those that pass only.
+    Files are listed first, without their contents, and names and sizes are
+    judged; only the files that pass are opened. Their paths are held by the
+    driver, as Spark's own listing of a folder is. On a local disk a link that
+    leads out of the root is not followed.
     """
     ending = "*.{" + ",".join(EXTENSIONS) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ending).load(root)
     base = "/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
-    listed = files.select(F.lit(source_id).alias("source_id"), path.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
-    return accepted(listed, [*SKIPPED_GLOBS, *globs], list(folders))
-
-
-def ignore_patterns(path: str) -> list[str]:
-    """Patterns of an ignore file, without blank lines and comments; none if there is no file."""
-    file = Path(path)
-    return [line.strip() for line in file.read_text().splitlines() if line.strip() and not line.startswith("#")] if file.exists() else []
+    relative = F.substring_index(F.col("path"), base, -1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ending).load(root)
+    named = listed.where(F.col("length") <= MOST_BYTES).select(F.col("path").alias("whole"), relative.alias("path"), F.col("length").alias("size_bytes"))
+    fine = [r["whole"] for r in accepted(named, [*SKIPPED_GLOBS, *globs], list(folders)).select("whole").collect() if _inside(r["whole"], base)]
+    opened = spark.read.format("binaryFile").load(fine) if fine else listed.where("false")
+    return opened.select(F.lit(source_id).alias("source_id"), relative.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+
+
+def _inside(path: str, base: str) -> bool:
+    """Whether a local file is below the root when links are followed; object stores have no links."""
+    if not path.startswith("file:"):
+        return True
+    local = "/" + path.removeprefix("file:").lstrip("/")
+    return os.path.realpath(local).startswith(os.path.realpath(base).rstrip("/") + "/")
+
+
+def written(texts: DataFrame, root: str) -> None:
+    """Write texts(path, text) as files below a root that all executors reach as a mounted folder; tasks write their own rows, and again if they are tried again."""
+    folder = root.removeprefix("file://").removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                whole = os.path.join(folder, path)
+                os.makedirs(os.path.dirname(whole), exist_ok=True)
+                with open(whole, "w", encoding="utf-8", newline="") as out:
+                    out.write(text)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    texts.where("path is not null and text is not null").select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
+def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
+    """Patterns of an ignore file, wherever Spark reads files, without blank lines and comments; none if there is no file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return []
+    # An ignore file is a few lines.
+    return [r[0].strip() for r in spark.read.text(path).collect() if r[0].strip() and not r[0].startswith("#")]
 
 
 def configured(spark: SparkSession, sources: list[dict], reserved: str, root: str | None = None) -> DataFrame:

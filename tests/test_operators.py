@@ -144,7 +144,9 @@ def test_owner_forks(spark):
 
 def test_duplicates_rule_and_greedy(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95), (4, 5, 0.99)], "id_a long, id_b long, cosine double")
-    docs = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0), (4, None), (5, None)], "id long, at double")
+    docs = spark.createDataFrame([(1, 10.0, "plan"), (2, 20.0, "canonical"), (3, 30.0, "canonical"), (4, None, "plan"), (5, None, "canonical"), (6, 99.0, "stale")], "id long, at double, status string")
+    # Pairs with a document that no longer stands count for nothing.
+    pairs = pairs.unionByName(spark.createDataFrame([(3, 6, 0.999), (1, 6, 1.0)], pairs.schema))
     assert rows(governance.duplicate_rule(pairs, docs).select("id", "dup_of")) == [(1, 2), (2, 3), (4, 5)]
     assert rows(governance.duplicate_greedy(pairs, docs)) == [(1, 2), (2, 3), (4, 5)]
 
@@ -249,6 +251,9 @@ def test_files(spark, tmp_path):
     (root / "sub" / "b.py").write_text("x = 1\n")
     (root / "sub" / "c.min.ts").write_text("x")
     (root / "d.txt").write_text("no")
+    (root / "large.md").write_text("x" * 1_000_001)
+    (tmp_path / "secret.md").write_text("outside")
+    (root / "link.md").symlink_to(tmp_path / "secret.md")
     assert rows(files.scan(spark, str(root), "s").select("path", "content")) == [("a.md", "# A\n"), ("sub/b.py", "x = 1\n")]
     (tmp_path / "labels").write_text("# c\n\nhow to\tx.md, y.md\nother | z.md\nbad\n")
     assert rows(files.read_labels(spark, str(tmp_path / "labels"))) == [("how to", "x.md"), ("how to", "y.md"), ("other", "z.md")]
@@ -392,3 +397,90 @@ def test_fixed_values():
     assert retrieval.STATUS_MARKS == {"canonical": "★", "plan": "◯", "stale": "✗", "duplicate": "⚠", "superseded": "⤺"}
     assert evaluation.WEIGHTS == {"correctness": 0.35, "autonomy": 0.25, "actionability": 0.20, "safety": 0.10, "concision": 0.10}
     assert (retrieval.RRF, retrieval.HALF_LIFE_DAYS, retrieval.IMPORTANCE) == (60, 90.0, 0.35)
+
+
+def test_nearest_in_passes_and_within_groups(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    x[100:140] = x[7]
+    groups = [None if i % 5 == 0 else f"g{i % 3}" for i in range(300)]
+    df = knn.usable(spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, groups))], "id long, embedding array<float>, g string"), "id", "embedding", 64, "g").repartition(3)
+    u = knn.unit(x)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    for passes in (1, 4):
+        monkeypatch.setattr(knn, "SENT", 64 << 20 if passes == 1 else 30 * 64)
+        asked = df.where("id % 10 = 7")
+        for within in (None, "g"):
+            got = {}
+            for r in knn.nearest(df, asked, 5, within=within).collect():
+                got.setdefault(r.id, {})[r["rank"]] = r.neighbour
+            for i in range(7, 300, 10):
+                able = [j for j in range(300) if j != i and (within is None or groups[j] == groups[i])]
+                want = sorted(able, key=lambda j: (-s[i, j], j))[:5]
+                assert [got[i][k] for k in range(5)] == want
+    assert knn.nearest(df, df.limit(0)).count() == 0 and knn.nearest(df.limit(0), df).count() == 0
+
+
+def test_rate_limits_of_a_hot_key_like_brute_force(spark):
+    rng = random.Random(3)
+    events = [("hot" if rng.random() < 0.8 else "cold", rng.randrange(0, 5000), i) for i in range(400)] + [("hot", None, 400), (None, 3, 401), ("hot", 100, 402), ("hot", 100, 403)]
+    df = spark.createDataFrame(events, "k string, t long, i long").withColumn("_x", F.lit("clash"))
+    got = {r.i: r.recent for r in usage.rate_limited(df, "k", F.col("t"), 5, 60).collect()}
+    for k, t, i in events:
+        assert got[i] == (None if t is None else sum(a == k and b is not None and t - 59 <= b <= t for a, b, _ in events))
+
+
+def test_budget_over_blocks(spark):
+    cases = spark.createDataFrame([(i * 30_000, 1.0) for i in range(10)], "idx long, cost double")
+    assert [(r.spent, r.runs) for r in evaluation.within_budget(cases, "cost", 7.0).orderBy("idx").collect()] == [(float(k + 1), k < 7) for k in range(10)]
+
+
+def test_versions_and_tombstones(spark):
+    kept = spark.createDataFrame([("a", "A", "now"), ("b", "B", None), ("c", "C", "c")], "ext_id string, title string, content string")
+    old = spark.createDataFrame([(1, "a", "A0", "first", 1.0), (2, "a", "A1", "second", 2.0), (3, "b", "B0", "b0", 1.0), (4, "c", "C0", None, 1.0)], "version_id long, ext_id string, title string, content string, ts double")
+    assert [(r.ext_id, r.version_id, r.size) for r in store.version_listing(old).where("place = 0").orderBy("ext_id").collect()] == [("a", 2, 6), ("b", 3, 2), ("c", 4, None)]
+    picks = spark.createDataFrame([("a", 1), ("a", 1), ("b", 3), ("c", 4), ("a", 0), ("c", 1)], "ext_id string, version_id long")
+    out, snapshots = store.restored(kept, old, picks)
+    assert rows(out.select("ext_id", "title", "content", "action")) == [("a", "A", "first", "restored"), ("b", "B", "b0", "restored"), ("c", "C", "c", "kept")]
+    assert sorted((r.ext_id, r.content or "") for r in snapshots.collect()) == [("a", "now"), ("b", "")]
+    dead = spark.createDataFrame([(1, "a", "A", "x", "note", ["kind/note", "k"], 1.0), (2, "a", "A2", "y", "note", None, 1.0), (3, "b", "B", "z", None, [], 9.0)], "id long, ext_id string, title string, content string, kind string, tags array<string>, deleted_at double")
+    wanted = spark.createDataFrame([("a",), ("a",), ("zz",)], "ext_id string")
+    assert [(r.ext_id, r.title, r.tags) for r in store.undeleted(dead, wanted).collect()] == [("a", "A2", None)]
+    assert [r.id for r in store.newest_of_all(dead, "deleted_at", 2, "id").collect()] == [3, 2]
+
+
+def test_index_of_more_than_is_searched(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha gamma"), (3, ""), (4, None), (5, "beta delta"), (None, "alpha")], "id long, text string")
+    queries = retrieval.query_frame(spark, ["alpha beta", ""])
+    index = retrieval.indexed(docs)
+    some = docs.where("id in (1, 2, 3)")
+    assert rows(retrieval.bm25(some, queries, 5, index)) == rows(retrieval.bm25(some, queries, 5)) != rows(retrieval.bm25(docs, queries, 5, index))
+    assert rows(retrieval.dense(some, queries, 5, index)) == rows(retrieval.dense(some, queries, 5))
+    assert index.lengths.count() == 5 and index.vectors.count() == 3
+    none = retrieval.indexed(docs.limit(0))
+    assert retrieval.bm25(docs.limit(0), queries, 5, none).count() == 0
+
+
+def test_run_cases_without_hits(spark):
+    cases = spark.createDataFrame([(1, "alpha", "c"), (2, "beta", "c")], "qid int, query string, category string")
+    hits = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "qid int, id long, rank int")
+    texts = spark.createDataFrame([(10, "x" * 40 + "alpha", "a.md"), (11, None, None)], "id long, text string, line string")
+    got = evaluation.run_cases(cases, hits, texts, lambda q, context: F.right(context, F.lit(5)), lambda row, said: F.contains(said, row["query"]))
+    # The other arm reads the second hit too, an empty text after a blank line.
+    assert rows(got.select("qid", "base_ok", "ok", "tokens")) == [(1, False, True, 11 + 1 + 1), (2, False, False, 0)]
+
+
+def test_clear_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    from lodestrata.session import clear, materialize, work_folder
+
+    kept = materialize(spark.range(3))
+    folder = Path(work_folder(spark).removeprefix("file://"))
+    assert kept.count() == 3 and folder.exists()
+    clear(spark)
+    assert not folder.exists()
+    assert materialize(spark.range(3)).count() == 3
