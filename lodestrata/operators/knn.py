@@ -53,12 +53,13 @@ def _blocked(vectors: DataFrame, size: int, mark: str) -> DataFrame:
     return vectors.mapInArrow(run, ", ".join(f"{mark}{c} binary" for c in "ixp"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, itself: bool = False, within: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, itself: bool = False, within: str | None = None, size: int | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank) of the k rows of vectors(id, v) most similar to each of queries(id, v).
 
     With within, a column of both frames, only rows of the query's own value
     count, null as a value. A stated query set meets all rows in blocks: the
-    queries are counted and sent to every task, SENT bytes at most at once, and
+    queries are counted (but for a known size, the numbers of all their vectors)
+    and sent to every task, SENT bytes at most at once, and
     the rows are read where they lie, without a shuffle; a block of at most 512
     queries and one of at most 8192 rows are one matrix product, of which the k
     best leave the task. The similarity is the cosine in double, rounded to 6
@@ -77,7 +78,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, itself: bool =
                 for of in np.intersect1d(parts, q_parts):
                     yield _top(ids[parts == of], x[parts == of], q_ids[q_parts == of], q[q_parts == of], k, itself)
 
-    size = asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+    if size is None:
+        size = asked.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
     passes = max(1, -(-4 * size // SENT))
     found = None
     for one in range(passes):

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +74,7 @@ def resolve_scope(known: list[str], asked: str | None = None, pinned: str | None
 
 @dataclass(frozen=True)
 class Index:
-    """What is kept of a collection of texts, as tables: postings(term, id, tf), lengths(id, length), and vectors(id, v) of the texts with terms."""
+    """What is kept of a collection of texts, as tables: postings(term, id, tf, length of the text), lengths(id, length), and vectors(id, v) of the texts with terms."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -85,18 +91,15 @@ def indexed(docs: DataFrame, dim: int = DIM) -> Index:
     """
     rows = spread(docs.select(F.col("id").cast("long").alias("id"), F.col("text").alias("text")).where("id is not null"))
     whole = materialize(rows.mapInArrow(_counted(dim), "id long, length long, terms array<string>, tfs array<int>, v array<float>"))
-    pairs = whole.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"))
+    pairs = whole.select("id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "length")
     return Index(materialize(pairs.repartitionByRange("term", "id").sortWithinPartitions("term", "id")), whole.select("id", "length"), whole.where("length > 0").select("id", "v"))
 
 
-def _counted(dim: int):
-    import hashlib
-    import re
-    from collections import Counter
-    from collections.abc import Iterator
+_COUNTED = pa.schema([("id", pa.int64()), ("length", pa.int64()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))])
 
-    import numpy as np
 
+def _counted(dim: int):
+    """Of batches of (id, text): the number of terms, the distinct ones with how often each occurs, and their hashed bag."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = re.compile(TERM).findall, {}
         for whole in batches:
@@ -115,15 +118,31 @@ def _counted(dim: int):
                         v[k] = np.bincount([known[t] for t in found], weights=list(found.values()), minlength=dim)
                     lengths.append(found.total()), terms.append(list(found)), tfs.append(list(found.values()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), lists], ["id", "length", "terms", "tfs", "v"])
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32())), lists], schema=_COUNTED)
 
     return run
 
 
-#: Distinct terms of a set of queries up to which they are told to the scan of the postings.
+#: Queries, and terms of them, up to which they are held by the driver and told to the scans; more of them stay tables.
 TOLD = 2000
 
 
+def _few(queries: DataFrame) -> pa.Table | None:
+    """(id, text) of the queries with a known id if there are no more than TOLD, which Spark reads without a job where they are local."""
+    rows = queries.select(F.col("qid").cast("long"), "query").limit(TOLD + 1).collect()
+    known = [r for r in rows if r[0] is not None]
+    return None if len(rows) > TOLD else pa.table({"id": pa.array([r[0] for r in known], pa.int64()), "text": pa.array([r[1] for r in known], pa.string())})
+
+
+def _terms(queries: DataFrame, few: pa.Table | None) -> tuple[DataFrame, list[str] | None]:
+    """(qid, term) of the queries' distinct terms, the first 24 of each; and all of them, if the queries are few."""
+    if few is None:
+        return queries.select(F.col("qid").cast("long").alias("qid"), F.explode(F.array_distinct(F.slice(_words(F.col("query")), 1, 24))).alias("term")), None
+    pairs = [(i, t) for i, text in zip(few["id"].to_pylist(), few["text"].to_pylist()) for t in dict.fromkeys(re.findall(TERM, (text or "").lower())[:24])]
+    local = pa.table({"qid": pa.array([i for i, _ in pairs], pa.int64()), "term": pa.array([t for _, t in pairs], pa.string())})
+    return queries.sparkSession.createDataFrame(local), sorted({t for _, t in pairs})
+
+
 def bm25(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = None) -> DataFrame:
     """(qid, id, score, rank) of the pool best documents(id) per query(qid, query) by Okapi BM25.
 
@@ -135,19 +154,17 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = N
     id.
     """
     index = index or indexed(docs)
-    asked = queries.select("qid", F.explode(F.array_distinct(F.slice(_words(F.col("query")), 1, 24))).alias("term"))
-    postings, own = index.postings, docs.select("id")
-    told = [r[0] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
-    if len(told) <= TOLD:
-        postings = postings.where(F.col("term").isin(told))
+    asked, told = _terms(queries, _few(queries))
+    own = docs.select("id")
+    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi") if told is None else index.postings.where(F.col("term").isin(told))
     # One row. The lists of query terms are broadcast if Spark finds them small, as it does for any but a huge set of queries.
     size = index.lengths.join(own, "id", "left_semi").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    hits = postings.join(asked.select("term").distinct(), "term", "left_semi").join(own, "id", "left_semi").join(index.lengths, "id")
+    hits = postings.join(own, "id", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.join(idf, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return best(scored, "qid", "id", pool, "score")
+    return best(scored, "qid", "id", pool, "score").withColumn("qid", F.col("qid").cast("int"))
 
 
 def hashed_terms(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = DIM) -> DataFrame:
@@ -169,7 +186,13 @@ def embedded(docs: DataFrame, id_col: str = "id", text_col: str = "text", dim: i
 def dense(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = None) -> DataFrame:
     """(qid, id, score, rank) of the pool documents(id) nearest to each query in the hashed bag of words; score is (1 + cosine) / 2. Documents that share nothing with a query are no candidates for it. Their vectors are the index's, or made first of documents(id, text); a block of them and of the queries is one matrix product."""
     vectors = index.vectors.join(docs.select("id"), "id", "left_semi") if index else embedded(docs)
-    near = nearest(vectors, embedded(queries, "qid", "query"), pool, itself=True).where("similarity > 0")
+    few = _few(queries)
+    if few is None:
+        near = nearest(vectors, embedded(queries, "qid", "query"), pool, itself=True)
+    else:
+        made = pa.Table.from_batches(list(_counted(DIM)(iter(few.to_batches()))), _COUNTED).filter(pc.field("length") > 0).select(["id", "v"])
+        near = nearest(vectors, queries.sparkSession.createDataFrame(made), pool, itself=True, size=DIM * made.num_rows)
+    near = near.where("similarity > 0")
     return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 
 

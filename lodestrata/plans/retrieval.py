@@ -38,7 +38,7 @@ _indexes: dict[tuple, R.Index] = {}
 def _index(spark: SparkSession, sf_dir: str, name: str) -> R.Index:
     """The index of docs or chunks, built once an application for the files of the table as they are now."""
     rows = table(spark, sf_dir, name)
-    key = (spark.sparkContext.applicationId, session.generation, name, *sorted(rows.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().toPandas().itertuples(index=False, name=None)))
+    key = (spark.sparkContext.applicationId, session.generation, name, *session.file_states(rows))
     if key not in _indexes:
         _indexes[key] = R.indexed(_docs(spark, sf_dir) if name == "docs" else rows.select("id", F.col("content").alias("text")))
     return _indexes[key]

@@ -98,6 +98,16 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_states(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files that a frame reads, as they are now."""
+    spark, out = df.sparkSession, []
+    for file in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((file, state.getLen(), state.getModificationTime()))
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits than those, as a small table in one file has.
 
