@@ -11,9 +11,9 @@ from lodestrata.session import materialize
 def spread_rank(rows: DataFrame, group: str, key: Column, name: str = "rank", salts: int = 64) -> DataFrame:
     """Adds a rank from 0 within each group, gapless and repeatable but in no stated order.
 
-    Rows are spread by a hash of key over salts per group; a small table of the
-    salts' counts gives each its first rank, so a group of any size is ranked
-    in as many tasks. Rows with equal keys are ranked in an arbitrary order.
+    Rows are spread by a hash of key over salts per group; a table of the salts'
+    counts, of at most salts rows a group, gives each its first rank, so a group
+    of any size is ranked in as many tasks. Rows with equal keys are ranked in an arbitrary order.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
     counts = materialize(salted.groupBy(group, "_salt").agg(F.count("*").alias("_n")))

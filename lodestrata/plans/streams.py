@@ -44,6 +44,12 @@ def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", "event_type").agg(F.max("times").alias("times"))
 
 
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of files: what each user touched until ten minutes were quiet."""
+    found = _run(spark, sf_dir, "bursts", lambda e: S.bursts(e, "user_id", "event_type", 600.0))
+    return found.select("user_id", F.unix_micros("start").alias("start"), "n", F.array_join("paths", ",").alias("paths"))
+
+
 def p3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions of the query log as a stream. The log's rows come late by up to its whole span (ids follow arrival, times do not), so the watermark waits that long."""
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -55,13 +61,16 @@ def p3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MICROS = "epoch_us(ts) AS us FROM events WHERE ts IS NOT NULL"
-QUERIES = {"stream_daily": stream_daily, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_deduplicated": stream_deduplicated, "stream_repeats": stream_repeats, "p3_stream": p3_stream}
+QUERIES = {"stream_daily": stream_daily, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_deduplicated": stream_deduplicated, "stream_repeats": stream_repeats, "stream_bursts": stream_bursts, "p3_stream": p3_stream}
 ORACLES = {
     "stream_daily": f"SELECT us // 86400000000 * 86400000000 AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(24,6))) AS DOUBLE) AS value FROM (SELECT *, {_MICROS}) GROUP BY ALL",
     "stream_sliding": f"SELECT (us // 86400000000 - k) * 86400000000 AS start, count(*) AS n FROM (SELECT {_MICROS}), range(7) t(k) GROUP BY ALL",
     "stream_sessions": f"""WITH m AS (SELECT user_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id, {_MICROS}) WHERE user_id IS NOT NULL),
     n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us) AS k FROM m)
     SELECT user_id, min(us) AS start, max(us) AS "end", count(*) AS n FROM n GROUP BY user_id, k""",
+    "stream_bursts": f"""WITH m AS (SELECT user_id, event_type, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 600000000 THEN 0 ELSE 1 END AS opens FROM (SELECT user_id, event_type, {_MICROS}) WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY us) AS k FROM m)
+    SELECT user_id, min(us) AS start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM n GROUP BY user_id, k""",
     "stream_deduplicated": "SELECT DISTINCT event_id, epoch_us(ts) AS at FROM events",
     "p3_stream": SESSIONS
     + """SELECT actor, CAST(round(min("at") * 1e6) AS BIGINT) AS start, CAST(round(max("at") * 1e6) AS BIGINT) AS "end", count(*) AS n_events,

@@ -65,6 +65,13 @@ def log_sessions(log: DataFrame, gap: float = 1800.0, late: str = "1 hour") -> D
     return w.select("actor", start.alias("start"), end.alias("end"), (end - start).alias("duration"), "n_events", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"))
 
 
+def bursts(changes: DataFrame, key: str, path: str, quiet: float = 0.5, late: str = "1 minute") -> DataFrame:
+    """(key, start, end, n, paths): changes(key, path, ts) of a watched source gathered until it was quiet for more than so many seconds, each path once, in order: what is to be taken in again at a time. Rows with a null key, path or time take no part; the paths of an open burst are its state."""
+    rows = _known(changes.withWatermark("ts", late), key, path)
+    w = rows.groupBy(F.session_window("ts", f"{round(quiet * 1e6)} microseconds"), key).agg(F.count("*").alias("n"), F.max("ts").alias("end"), F.sort_array(F.collect_set(path)).alias("paths"))
+    return w.select(key, F.col("session_window.start").alias("start"), "end", "n", "paths")
+
+
 def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark: bursts of the same event are one."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
