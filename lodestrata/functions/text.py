@@ -189,6 +189,15 @@ def palette_place(c: Column, colours: int) -> Column:
     return F.pmod(F.aggregate(points, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(colours))
 
 
+def polyline(values: Column, width: int = 100, height: int = 30, pad: int = 3) -> Column:
+    """The points of a line through an array of numbers, scaled to a box, "x,y" with a place each and blanks between; null for no numbers or none above 0."""
+    most, n = F.array_max(values), F.size(values)
+    place = lambda x: F.bround(x, 1).cast("decimal(10,1)").cast("string")
+    across = lambda i: F.when(n > 1, F.lit(float(pad)) + i * F.lit(width - 2.0 * pad) / (n - 1)).otherwise(F.lit(pad + (width - 2.0 * pad) / 2))
+    points = F.transform(values, lambda v, i: F.concat(place(across(i)), F.lit(","), place(F.lit(height - float(pad)) - v / most * F.lit(height - 2.0 * pad))))
+    return F.when((n > 0) & (most > 0), F.array_join(points, " "))
+
+
 def packed(c: Column, most: int) -> Column:
     """Paragraphs packed greedily into pieces of at most so many tokens; a paragraph over the limit stays whole, alone; null for null.
 

@@ -70,6 +70,18 @@ def run_cases(cases: DataFrame, hits: DataFrame, texts: DataFrame, answer, judge
     return rows.select("qid", "category", judge(rows, F.col("_base_said")).alias("base_ok"), (n("_base") + n("_base_said")).alias("base_tokens"), judge(rows, F.col("_said")).alias("ok"), (n("_own") + n("_said") + n("_listing")).alias("tokens"))
 
 
+def newest_run(runs: DataFrame) -> DataFrame:
+    """(ts, hit_1) of the newest of runs(ts, hit_1): one row, of nulls if there is none or no run was measured."""
+    known = runs.where("ts is not null and hit_1 is not null")
+    return known.agg(F.max("ts").alias("ts"), F.max_by("hit_1", F.struct("ts", "hit_1")).alias("hit_1"))
+
+
+def at_precision(saved: DataFrame, run: DataFrame) -> DataFrame:
+    """saved(saved) beside a run(ts, hit_1), with the tokens that count at its precision, halves to even; null where nothing was measured, never the raw sum."""
+    # One row each.
+    return saved.crossJoin(F.broadcast(run)).withColumn("at_precision", F.bround(F.col("saved") * F.col("hit_1"), 0).cast("long"))
+
+
 #: Weights of a judge's marks.
 WEIGHTS = {"correctness": 0.35, "autonomy": 0.25, "actionability": 0.20, "safety": 0.10, "concision": 0.10}
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.columns import plain, stored_seconds
-from lodestrata.functions.text import tag_name
+from lodestrata.functions.text import fresh_label, snippet, tag_name
 from lodestrata.operators.knn import best, nearest
 from lodestrata.session import materialize, spread
 
@@ -196,6 +196,12 @@ def dense(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None =
     return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 
 
+def near_texts(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, rank) of the k texts(id, text) nearest to each of queries(qid, query) in the hashed bag of words, whatever the number of queries and the type of their ids."""
+    near = nearest(embedded(texts), embedded(queries, "qid", "query"), k, itself=True)
+    return near.select(F.col("id").alias("qid"), F.col("neighbour").alias("id"), "rank")
+
+
 def fuse(*ranked: DataFrame) -> DataFrame:
     """(qid, id, rrf): the sum of 1 / (60 + rank) over ranked lists (qid, id, rank), ranks from 0."""
     out = ranked[0].select("qid", "id", "rank")
@@ -289,6 +295,16 @@ def rerank(hits: DataFrame, query: str, text: str, limit: int, scorer=term_overl
     return sized.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < limit).select("qid", "id", "relevance", "place")
 
 
+def summaries(rows: DataFrame, as_of: float) -> DataFrame:
+    """(id, line) of rows(id, path, status, at, tokens_est, content): path, mark, age and size, and below it the start of the text if there is any."""
+    mark = F.lit("")
+    for name, sign in STATUS_MARKS.items():
+        mark = F.when(F.col("status") == name, F.lit(sign)).otherwise(mark)
+    head = F.concat("path", F.lit("  "), mark, F.lit(" "), F.coalesce(fresh_label((F.lit(as_of) - F.col("at")) / 86400), F.lit("")), F.lit("  ~"), F.col("tokens_est").cast("string"), F.lit("tok"))
+    start = F.nullif(snippet(F.col("content")), F.lit(""))
+    return rows.select("id", F.concat(head, F.coalesce(F.concat(F.lit("\n  "), start), F.lit(""))).alias("line"))
+
+
 def listing(rows: DataFrame) -> DataFrame:
     """(id, line) of rows(id, path, status): the path padded to the longest, and the mark of its status."""
     mark = F.lit("")

@@ -56,6 +56,12 @@ def undeleted(tombstones: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("ext_id", "t.title", "t.content", "t.kind", F.filter("t.tags", lambda x: ~F.startswith(x, F.lit("kind/"))).alias("tags"))
 
 
+def store_only(docs: DataFrame, kinds: list[str]) -> DataFrame:
+    """(id, embeds, content_hash): whether documents have vectors. Those of the kinds are stored and found by words only; their hash is empty, so that they count as changed, and are embedded, when their kind changes. A null kind is none of them."""
+    only = F.coalesce(F.col("kind").isin(kinds), F.lit(False))
+    return docs.select("id", (~only).alias("embeds"), F.when(only, F.lit("")).otherwise(F.col("content_hash")).alias("content_hash"))
+
+
 def newest(log: DataFrame, key: str, at: str, cap: int, *ties: str) -> DataFrame:
     """The cap newest rows of each key of an append-only log, with their place from 1."""
     k = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), *[F.desc(t) for t in ties]))

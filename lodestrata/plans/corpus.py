@@ -124,7 +124,7 @@ def vector_meta_drift(spark, sf_dir):
       + CASE WHEN pinned = 1 THEN 1.0 ELSE 0 END + 0.5 * least(1.0, coalesce(hits, 0) / 10), 4) AS importance FROM d LEFT JOIN h USING (path)""",
 )
 def importance(spark, sf_dir):
-    return governance.recomputed_importance(_docs(spark, sf_dir), table(spark, sf_dir, "mcp_query_results").distinct())
+    return governance.recomputed_importance(_docs(spark, sf_dir), table(spark, sf_dir, "mcp_query_results").dropDuplicates(["query_id", "rank"]))
 
 
 @_query("orphan_chunks", "SELECT c.id, c.doc_id FROM chunks c WHERE c.doc_id NOT IN (SELECT id FROM d WHERE lifecycle <> 'pending_delete')")
@@ -247,7 +247,7 @@ _VERSIONS = """, v AS (SELECT path AS key, query_id AS n, score FROM (SELECT DIS
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An append-only log with a long history per key: the queries that each path came first for."""
-    return table(spark, sf_dir, "mcp_query_results").distinct().where("rank = 0").select(F.col("path").alias("key"), F.col("query_id").alias("n"), "score")
+    return table(spark, sf_dir, "mcp_query_results").dropDuplicates(["query_id", "rank"]).where("rank = 0").select(F.col("path").alias("key"), F.col("query_id").alias("n"), "score")
 
 
 @_query("version_cap", _VERSIONS + "SELECT key, n, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS place FROM v QUALIFY place <= 5")
@@ -279,6 +279,14 @@ def put_batch(spark, sf_dir):
     return store.upsert(*_written(spark, sf_dir)).drop("content")
 
 
+@_query("store_only", "SELECT id, coalesce(kind, '') NOT IN ('record', 'checkpoint') AS embeds, CASE WHEN kind IN ('record', 'checkpoint') THEN '' ELSE content_hash END AS content_hash, coalesce(kind, '') IN ('record', 'checkpoint') AND id IN (SELECT id FROM vec_docs) AS to_drop FROM d")
+def only_stored(spark, sf_dir):
+    """Documents of kinds that are never embedded, and which of their vectors are to be dropped."""
+    found = table(spark, sf_dir, "vec_docs").select("id", F.lit(True).alias("has"))
+    out = store.store_only(_docs(spark, sf_dir), ["record", "checkpoint"]).join(found, "id", "left")
+    return out.select("id", "embeds", "content_hash", (~F.col("embeds") & F.coalesce("has", F.lit(False))).alias("to_drop"))
+
+
 @_query("put_versions", """, own AS (SELECT * FROM d WHERE ext_id IS NOT NULL) SELECT ext_id, title FROM own WHERE id % 3 = 0 AND title IS NOT NULL""")
 def put_versions(spark, sf_dir):
     """What the batch of writes overwrites, as versions to be kept."""
@@ -357,7 +365,7 @@ def collections(spark, sf_dir):
     SELECT session_id, right(transcript, 24000) AS transcript FROM s WHERE length(transcript) >= 20""",
 )
 def captured_sessions(spark, sf_dir):
-    log = table(spark, sf_dir, "mcp_queries").distinct().where("session_id is not null and session_id not in ('', 'unknown')")
+    log = table(spark, sf_dir, "mcp_queries").dropDuplicates(["id"]).where("session_id is not null and session_id not in ('', 'unknown')")
     return store.captured(log, "session_id", ["id"], "query")
 
 

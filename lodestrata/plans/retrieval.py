@@ -11,6 +11,7 @@ from lodestrata.functions.text import first_words, tag_name
 from lodestrata.operators import evaluation as E
 from lodestrata.operators import knn
 from lodestrata.operators import retrieval as R
+from lodestrata.plans import text
 
 QUERIES, ORACLES = {}, {}
 AS_OF = 1767225600
@@ -297,6 +298,18 @@ def _(spark, sf_dir):
     return E.run_cases(cases, R.bm25(d, q, 3, _index(spark, sf_dir, "docs")), d.select("id", F.col("content").alias("text"), F.col("path").alias("line")), answer, judge)
 
 
+@_query(
+    "listing_summaries",
+    _ALL + f"""s AS ({text.ORACLES["snippets"].replace("WITH s AS", "WITH s_ AS").replace("FROM s", "FROM s_")}),
+    a AS (SELECT *, ({AS_OF} - "at") / 86400 AS days FROM everything)
+    SELECT a.id, path || '  ' || CASE status WHEN 'canonical' THEN '★' WHEN 'plan' THEN '◯' WHEN 'stale' THEN '✗' WHEN 'duplicate' THEN '⚠' WHEN 'superseded' THEN '⤺' ELSE '' END || ' ' ||
+      CASE WHEN days IS NULL THEN '' WHEN days < 1 THEN 'fresh' WHEN days < 7 THEN 'fresh ' || CAST(floor(days) AS BIGINT) || 'd' WHEN days < 30 THEN CAST(floor(days) AS BIGINT) || 'd' WHEN days < 365 THEN CAST(floor(days / 7) AS BIGINT) || 'w' ELSE CAST(floor(days / 365) AS BIGINT) || 'y' END
+      || '  ~' || tokens_est || 'tok' || coalesce(chr(10) || '  ' || nullif(snippet, ''), '') AS line FROM a LEFT JOIN s ON s.id = a.id""",
+)
+def _(spark, sf_dir):
+    return R.summaries(_docs(spark, sf_dir), AS_OF)
+
+
 _PROBES = r"""probes AS (SELECT id AS qid, list_filter(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 40 AND NOT regexp_matches(x, '^[#*|`-]'))[1][1:200] AS query FROM d WHERE content IS NOT NULL),
 asked AS (SELECT qid, query FROM probes WHERE query IS NOT NULL ORDER BY md5(CAST(qid AS VARCHAR)), qid LIMIT 20),
 """

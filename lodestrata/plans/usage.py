@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.catalog import table
+from lodestrata.functions.text import polyline, short_number
 from lodestrata.operators import usage as U
 
 QUERIES, ORACLES = {}, {}
@@ -169,6 +170,30 @@ def _(log, spark, sf_dir):
     return U.sparkline(log, SINCE, UNTIL)
 
 
+@_query(
+    "sparkline_points",
+    f""", seen AS (SELECT actor, CAST(least(23, floor(("at" - {SINCE}) / ({UNTIL - SINCE} / 24))) AS INT) AS bin, count(*) AS n FROM log WHERE "at" BETWEEN {SINCE} AND {UNTIL} GROUP BY 1, 2),
+    g AS (SELECT a.actor, b.bin AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT actor FROM seen) a CROSS JOIN range(24) b(bin) LEFT JOIN seen s ON s.actor = a.actor AND s.bin = b.bin),
+    m AS (SELECT *, max(n) OVER (PARTITION BY actor) AS most FROM g)
+    SELECT actor, string_agg(CAST(CAST(round_even(3.0::DOUBLE + bin * 94.0::DOUBLE / 23, 1) AS DECIMAL(10,1)) AS VARCHAR) || ',' || CAST(CAST(round_even(27.0::DOUBLE - n::DOUBLE / most * 24.0::DOUBLE, 1) AS DECIMAL(10,1)) AS VARCHAR), ' ' ORDER BY bin) AS points FROM m GROUP BY actor""",
+)
+def _(log, spark, sf_dir):
+    bins = U.sparkline(log, SINCE, UNTIL).groupBy("actor").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("b"))
+    return bins.select("actor", polyline(F.transform("b", lambda x: x["n"].cast("double"))).alias("points"))
+
+
+@_query(
+    "session_receipts",
+    """, r AS (SELECT session, count(*) AS n, sum(would_have_read_tokens) AS w, greatest(0, coalesce(sum(would_have_read_tokens), 0) - coalesce(sum(top_result_tokens), 0) - coalesce(sum(response_tokens_est), 0)) AS saved FROM log GROUP BY session)
+    SELECT session, 'Session ' || session || ': ~' || """
+    + "{0} || ' tokens saved over ' || n || ' queries, of ~' || {1} || ' that would have been read' AS line FROM r".format(*[f"CASE WHEN {c} < 1000 THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) WHEN {c} < 1000000 THEN printf('%.1fk', floor({c} / 100) / 10) ELSE printf('%.1fM', floor({c} / 100000) / 10) END" for c in ("saved", "coalesce(w, 0)")]),
+)
+def _(log, spark, sf_dir):
+    """What each session saved, as a line."""
+    sums = U.savings(log, "session")
+    return sums.select("session", F.concat(F.lit("Session "), "session", F.lit(": ~"), short_number(F.col("saved")), F.lit(" tokens saved over "), F.col("n").cast("string"), F.lit(" queries, of ~"), short_number(F.col("would_read")), F.lit(" that would have been read")).alias("line"))
+
+
 @_query(
     "usage_buckets",
     f"""SELECT CASE WHEN "at" IS NULL THEN 'Unknown' WHEN {SPLIT // 86400} - floor("at" / 86400) <= 0 THEN 'Today' WHEN {SPLIT // 86400} - floor("at" / 86400) = 1 THEN 'Yesterday' ELSE 'Earlier' END AS bucket,

@@ -484,3 +484,35 @@ def test_clear_deletes_what_was_written(spark):
     clear(spark)
     assert not folder.exists()
     assert materialize(spark.range(3)).count() == 3
+
+
+def test_polyline_and_receipts_of_nothing(spark):
+    from lodestrata.functions.text import polyline
+
+    points = lambda v: column(spark, v, polyline, "array<double>")
+    assert points([0.0, 1.0, 2.0]) == "3.0,27.0 50.0,15.0 97.0,3.0" and points([5.0]) == "50.0,3.0"
+    assert points([]) is None and points([0.0, 0.0]) is None and points(None) is None
+    runs = spark.createDataFrame([(1.0, 0.9), (2.0, 0.5), (3.0, None), (None, 0.1)], "ts double, hit_1 double")
+    saved = spark.createDataFrame([(101,)], "saved long")
+    assert rows(evaluation.at_precision(saved, evaluation.newest_run(runs)).select("ts", "at_precision")) == [(2.0, 50)]
+    assert rows(evaluation.at_precision(saved, evaluation.newest_run(runs.limit(0))).select("ts", "at_precision")) == [(None, None)]
+
+
+def test_store_only_and_summaries(spark):
+    docs = spark.createDataFrame([(1, "record", "h"), (2, None, "h"), (3, "note", None)], "id long, kind string, content_hash string")
+    assert sorted((r.id, r.embeds, r.content_hash) for r in store.store_only(docs, ["record"]).collect()) == [(1, False, ""), (2, True, "h"), (3, True, None)]
+    kind = "id long, path string, status string, at double, tokens_est long, content string"
+    listed = spark.createDataFrame([(1, "a.md", "stale", 86400.0 * 9, 12, "# T\nsome text"), (2, "b.md", "odd", None, 0, None)], kind)
+    assert rows(retrieval.summaries(listed, 86400.0 * 10)) == [(1, "a.md  ✗ fresh 1d  ~12tok\n  T some text"), (2, "b.md" + " " * 5 + "~0tok")]
+
+
+def test_bursts_of_changes(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    changes = [("s", "b.md", 0.0), ("s", "a.md", 0.3), ("s", "b.md", 0.7), ("s", "c.md", 2.0), ("t", "a.md", 0.1), (None, "x", 0.0), ("t", None, 0.2)]
+    spark.createDataFrame([(s, p, start + dt.timedelta(seconds=at)) for s, p, at in changes], "source string, path string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = log.events_stream(spark, f"{tmp_path}/in")
+    found = log.bursts(log.closing(source, f"{tmp_path}/end"), "source", "path")
+    got = log.drained(found, "b", f"{tmp_path}/work", finish=lambda: log.end(source, f"{tmp_path}/end"))
+    assert sorted((r.source, r.n, tuple(r.paths)) for r in got.collect()) == [("s", 1, ("c.md",)), ("s", 3, ("a.md", "b.md")), ("t", 1, ("a.md",))]
