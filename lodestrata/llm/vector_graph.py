@@ -251,7 +251,7 @@ def nearest(held: _Held, queries: np.ndarray, query_ids: np.ndarray, k: int, at_
     the queries' nodes, if they are of this shard.
     """
     q, graph = unit(queries), held.graph
-    parts, left, width = [], np.arange(len(q)), max(beam, k + 1)
+    parts, left, width = [], np.arange(len(q)), max(beam, k + 1, EXPAND)
     for width in (width, width * WIDER):
         found, sims = graph.search(q[left], width)
         # The query itself may be among the k + 1 best.
