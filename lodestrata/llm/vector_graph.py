@@ -27,7 +27,7 @@ BUILD_BEAM, BEAM, EXPAND = 32, 96, 4
 #: Candidates of a node that are looked at in pruning, the nearest.
 CAP = 40
 #: Vectors searched at once; vectors that join the graph at once; nodes that searches may start from, and how many of them do.
-BLOCK, BATCH, GATES, STARTS = 256, 2048, 1024, 8
+BLOCK, BATCH, GATES, STARTS = 512, 2048, 1024, 8
 #: Vectors of a shard on average.
 SHARD = 6_000
 #: Vectors sampled for centroids: so many at least, so many a shard, and so many at most.
