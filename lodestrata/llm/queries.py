@@ -64,7 +64,7 @@ def p4_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = ("vec_docs", "vec_chunks")
 #: Searches on the same shards and graphs. Near copies are the nearest of all, so a narrow beam reaches them and they share
 #: their nearest centroids; all ten neighbours of any vector need a wide beam and more shards.
-NEAR, ALL = {"at_least": 0.85, "gap": 0.1, "beam": 24}, {"gap": 0.35, "beam": 96}
+NEAR, ALL = {"at_least": 0.85, "gap": 0.12, "beam": 24}, {"gap": 0.35, "beam": 96}
 
 
 def _each_vector_table(spark: SparkSession, sf_dir: str, of) -> DataFrame:
