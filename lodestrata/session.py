@@ -55,7 +55,7 @@ def work_folder(spark: SparkSession) -> str:
     folder = f"{shared_folder(spark)}/lodestrata-{context.applicationId}"
     if context.applicationId not in _cleared:
         _cleared.add(context.applicationId)
-        atexit.register(clear, spark)
+        atexit.register(_at_end, spark)
     return folder
 
 
@@ -74,6 +74,13 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at_end(spark: SparkSession) -> None:
+    try:
+        clear(spark)
+    except Exception:  # noqa: BLE001 - the session's machine may be gone by now
+        pass
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
