@@ -22,17 +22,23 @@ def _drivers(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("status").isin("canonical", "plan"))
 
 
-def duplicate_rule(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, dup_of, cosine): documents that a strictly newer one (by at, then id) of their class resembles, each with the one most similar, the smaller id on a tie.
+def duplicate_rule(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, dup_of, cosine): documents that a strictly newer one (by at, then id) of their kind resembles, each with the one most similar, the newest on a tie.
 
-    pairs(id_a, id_b, cosine) within classes; docs(id, at, status), an unknown
-    time as the oldest. Only canonical documents and plans take part.
+    pairs and members as knn.similar_classes() gives them; docs(id, at, status),
+    an unknown time as the oldest. Only canonical documents and plans take part.
+    Of a class of copies only the newest can be what another is a duplicate of,
+    so each document meets one row of every class like its own.
     """
-    at = _drivers(docs).select("id", F.coalesce("at", F.lit(float("-inf"))).alias("at"))
-    met = pairs.join(at.toDF("id_a", "at_a"), "id_a").join(at.toDF("id_b", "at_b"), "id_b")
-    older = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("id_a") < F.col("id_b")))
-    found = met.select(F.when(older, F.col("id_a")).otherwise(F.col("id_b")).alias("id"), F.when(older, F.col("id_b")).otherwise(F.col("id_a")).alias("dup_of"), "cosine")
-    return found.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("dup_of")).alias("d"))).alias("m")).select("id", (-F.col("m.d")).alias("dup_of"), F.col("m.cosine").alias("cosine"))
+    key = F.struct(F.coalesce("at", F.lit(float("-inf"))).alias("at"), F.col("id"))
+    known = members.join(_drivers(docs).select("id", key.alias("age")), "id")
+    newest = known.groupBy("class_id").agg(F.max("age").alias("newest"))
+    both = pairs.select("id_a", "id_b", "cosine").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "cosine"))
+    own = newest.select(F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b"), F.lit(1.0).alias("cosine"))
+    like = both.unionByName(own).join(newest.toDF("id_b", "newest"), "id_b")
+    # Of the classes like a document's own, the best whose newest is newer than it.
+    met = known.join(like.withColumnRenamed("id_a", "class_id"), "class_id").where(F.col("newest") > F.col("age"))
+    return met.groupBy("id").agg(F.max(F.struct("cosine", "newest")).alias("m")).select("id", F.col("m.newest.id").alias("dup_of"), F.col("m.cosine").alias("cosine"))
 
 
 def duplicate_greedy(pairs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import materialize
+
 
 def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, *keep: str) -> DataFrame:
     """(id, v) and the columns to keep, of the rows whose vector is of dim finite numbers that are not all zero, with a known id."""
@@ -144,3 +146,26 @@ def similar_pairs(vectors: DataFrame, block: list[str], at_least: float, part: i
         return pa.table({"id_a": a, "id_b": b, "cosine": s})
 
     return sent.groupBy("block", "a", "b").applyInArrow(join, "id_a long, id_b long, cosine double")
+
+
+def similar_classes(vectors: DataFrame, block: list[str], at_least: float, part: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): similar_pairs() between classes of equal vectors of a block, and members(id, class_id) of all rows.
+
+    A class is known by its smallest id. Copies are never expanded into pairs,
+    so a group of any number of copies is one row to compare and a row each
+    among the members; no link between different vectors is lost.
+    """
+    key = F.xxhash64(F.to_json(F.struct(*block)))
+    rows = vectors.select("id", "v", *block, key.alias("_block"), F.xxhash64("v").alias("_h1"), F.xxhash64(F.lit(1), "v").alias("_h2"))
+    keys = ["_block", "_h1", "_h2"]
+    members = materialize(rows.select("id", *keys).join(rows.groupBy(*keys).agg(F.min("id").alias("class_id")), keys).select("id", "class_id"))
+    first = members.where("id = class_id").select("id")
+    return similar_pairs(rows.join(first, "id", "left_semi").select("id", "v", *block), block, at_least, part), members
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_a, id_b, cosine) of all rows of similar_classes(), copies expanded: for what must see every pair."""
+    a, b = members.toDF("x", "class_a"), members.toDF("y", "class_b")
+    across = pairs.toDF("class_a", "class_b", "cosine").join(a, "class_a").join(b, "class_b").select("x", "y", "cosine")
+    within = a.join(b, F.col("class_a") == F.col("class_b")).where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
+    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")

@@ -43,30 +43,33 @@ p AS (SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v),
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of one source and kind whose similarity (1 + cosine) / 2 is at least 0.9."""
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of one source and kind whose similarity (1 + cosine) / 2 is at least 0.9, as pairs of classes of copies, and their members."""
     kept = table(spark, sf_dir, "vec_docs").withColumn("kind", F.coalesce("kind", F.lit("doc"))).where(~F.col("kind").isin(*governance.EPHEMERAL))
-    return knn.similar_pairs(knn.usable(kept, "id", "embedding", 64, "source_id", "kind"), ["source_id", "kind"], 0.8)
+    return knn.similar_classes(knn.usable(kept, "id", "embedding", 64, "source_id", "kind"), ["source_id", "kind"], 0.8)
 
 
-@_query("dup_pairs", _PAIRS + "SELECT id_a, id_b, cosine FROM p")
+@_query("dup_pairs", _PAIRS + """, m AS (SELECT id, min(id) OVER (PARTITION BY source_id, kind, v) AS class_id FROM v)
+SELECT id_a, id_b, cosine FROM p WHERE id_a IN (SELECT class_id FROM m) AND id_b IN (SELECT class_id FROM m) UNION ALL SELECT class_id, id, 1.0::DOUBLE FROM m WHERE id <> class_id""")
 def dup_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir)
+    """Pairs of documents alike, each copy paired with the first of its class only."""
+    pairs, members = _classes(spark, sf_dir)
+    return pairs.unionByName(members.where("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine")))
 
 
 @_query(
     "dup_rule",
-    _PAIRS + """, o AS (SELECT id_a, id_b, cosine, (coalesce(a."at", '-infinity'::DOUBLE), a.id) < (coalesce(b."at", '-infinity'::DOUBLE), b.id) AS first_older FROM p JOIN d a ON a.id = id_a JOIN d b ON b.id = id_b WHERE a.status IN ('canonical', 'plan') AND b.status IN ('canonical', 'plan')),
-f AS (SELECT CASE WHEN first_older THEN id_a ELSE id_b END AS id, CASE WHEN first_older THEN id_b ELSE id_a END AS dup_of, cosine FROM o)
-SELECT id, dup_of, cosine FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, dup_of) = 1""",
+    _PAIRS + """, o AS (SELECT id_a, id_b, cosine, a."at" AS at_a, b."at" AS at_b, (coalesce(a."at", '-infinity'::DOUBLE), a.id) < (coalesce(b."at", '-infinity'::DOUBLE), b.id) AS first_older FROM p JOIN d a ON a.id = id_a JOIN d b ON b.id = id_b WHERE a.status IN ('canonical', 'plan') AND b.status IN ('canonical', 'plan')),
+f AS (SELECT CASE WHEN first_older THEN id_a ELSE id_b END AS id, CASE WHEN first_older THEN id_b ELSE id_a END AS dup_of, coalesce(CASE WHEN first_older THEN at_b ELSE at_a END, '-infinity'::DOUBLE) AS at_of, cosine FROM o)
+SELECT id, dup_of, cosine FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, at_of DESC, dup_of DESC) = 1""",
 )
 def dup_rule(spark, sf_dir):
-    return governance.duplicate_rule(_pairs(spark, sf_dir), _docs(spark, sf_dir))
+    return governance.duplicate_rule(*_classes(spark, sf_dir), _docs(spark, sf_dir))
 
 
 @_query("dup_greedy")
 def dup_greedy(spark, sf_dir):
-    return governance.duplicate_greedy(_pairs(spark, sf_dir), _docs(spark, sf_dir))
+    return governance.duplicate_greedy(knn.expanded(*_classes(spark, sf_dir)), _docs(spark, sf_dir))
 
 
 @_query("duplicate_probe", _PAIRS + """, n AS (SELECT a.id, b.id AS nearest, round((1 + list_cosine_similarity(a.v, b.v)) / 2, 4) AS similarity, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0)

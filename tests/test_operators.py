@@ -147,7 +147,8 @@ def test_duplicates_rule_and_greedy(spark):
     docs = spark.createDataFrame([(1, 10.0, "plan"), (2, 20.0, "canonical"), (3, 30.0, "canonical"), (4, None, "plan"), (5, None, "canonical"), (6, 99.0, "stale")], "id long, at double, status string")
     # Pairs with a document that no longer stands count for nothing.
     pairs = pairs.unionByName(spark.createDataFrame([(3, 6, 0.999), (1, 6, 1.0)], pairs.schema))
-    assert rows(governance.duplicate_rule(pairs, docs).select("id", "dup_of")) == [(1, 2), (2, 3), (4, 5)]
+    alone = docs.select("id", F.col("id").alias("class_id"))
+    assert rows(governance.duplicate_rule(pairs, alone, docs).select("id", "dup_of")) == [(1, 2), (2, 3), (4, 5)]
     assert rows(governance.duplicate_greedy(pairs, docs)) == [(1, 2), (2, 3), (4, 5)]
 
 
@@ -516,3 +517,27 @@ def test_bursts_of_changes(spark, tmp_path):
     found = log.bursts(log.closing(source, f"{tmp_path}/end"), "source", "path")
     got = log.drained(found, "b", f"{tmp_path}/work", finish=lambda: log.end(source, f"{tmp_path}/end"))
     assert sorted((r.source, r.n, tuple(r.paths)) for r in got.collect()) == [("s", 1, ("c.md",)), ("s", 3, ("a.md", "b.md")), ("t", 1, ("a.md",))]
+
+
+def test_copies_are_one_class_and_the_rule_sees_them_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 64))
+    x = np.concatenate([base, base[:4] + 0.1 * rng.normal(size=(4, 64)), np.repeat(base[:2], 15, 0)]).astype(np.float32)
+    x[16:46] = np.repeat(x[:2], 15, 0)
+    data = [(i, v.tolist(), "b") for i, v in enumerate(x)]
+    pairs, members = knn.similar_classes(knn.usable(spark.createDataFrame(data, "id long, embedding array<float>, b string"), "id", "embedding", 64, "b"), ["b"], 0.8)
+    ids = {r.id: r.class_id for r in members.collect()}
+    assert len(ids) == len(x) and all(ids[i] == (i if i < 16 else (i - 16) // 15) for i in ids)
+    u = knn.unit(x)
+    s = np.round(u @ u.T, 6)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.8}
+    assert {(r.id_a, r.id_b) for r in knn.expanded(pairs, members).collect()} == want
+    at = [float(rng.integers(0, 5)) if i % 7 else None for i in range(len(x))]
+    status = ["stale" if i % 11 == 3 else "plan" for i in range(len(x))]
+    docs = spark.createDataFrame(list(zip(range(len(x)), at, status)), "id long, at double, status string")
+    age = lambda i: (-1.0 if at[i] is None else at[i], i)
+    near = {i: [j for j in range(len(x)) if (min(i, j), max(i, j)) in want and i != j and status[j] == "plan" and age(j) > age(i)] for i in range(len(x)) if status[i] == "plan"}
+    best = {(i, max(js, key=lambda j: (s[i, j], age(j)))) for i, js in near.items() if js}
+    assert set(rows(governance.duplicate_rule(pairs, members, docs).select("id", "dup_of"))) == best
