@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from lodestrata.functions.columns import plain, stored_seconds
 from lodestrata.functions.text import fresh_label, snippet, tag_name
@@ -30,9 +31,14 @@ TERM = "[a-z0-9]{2,}"
 DIM = 384
 
 
+def _local(spark: SparkSession, rows: pa.Table) -> DataFrame:
+    """Rows as a local relation, whose values and size Spark knows; an Arrow table of none has to be told apart."""
+    return spark.createDataFrame(rows if rows.num_rows else [], from_arrow_schema(rows.schema))
+
+
 def query_frame(spark: SparkSession, queries: list[str]) -> DataFrame:
     """(qid, query), numbered from 1, as a local relation, whose size Spark knows."""
-    return spark.createDataFrame(pa.table({"qid": pa.array(range(1, len(queries) + 1), pa.int32()), "query": pa.array(queries, pa.string())}))
+    return _local(spark, pa.table({"qid": pa.array(range(1, len(queries) + 1), pa.int32()), "query": pa.array(queries, pa.string())}))
 
 
 def _words(c: Column) -> Column:
@@ -140,7 +146,7 @@ def _terms(queries: DataFrame, few: pa.Table | None) -> tuple[DataFrame, list[st
         return queries.select(F.col("qid").cast("long").alias("qid"), F.explode(F.array_distinct(F.slice(_words(F.col("query")), 1, 24))).alias("term")), None
     pairs = [(i, t) for i, text in zip(few["id"].to_pylist(), few["text"].to_pylist()) for t in dict.fromkeys(re.findall(TERM, (text or "").lower())[:24])]
     local = pa.table({"qid": pa.array([i for i, _ in pairs], pa.int64()), "term": pa.array([t for _, t in pairs], pa.string())})
-    return queries.sparkSession.createDataFrame(local), sorted({t for _, t in pairs})
+    return _local(queries.sparkSession, local), sorted({t for _, t in pairs})
 
 
 def bm25(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None = None) -> DataFrame:
@@ -191,7 +197,7 @@ def dense(docs: DataFrame, queries: DataFrame, pool: int, index: Index | None =
         near = nearest(vectors, embedded(queries, "qid", "query"), pool, itself=True)
     else:
         made = pa.Table.from_batches(list(_counted(DIM)(iter(few.to_batches()))), _COUNTED).filter(pc.field("length") > 0).select(["id", "v"])
-        near = nearest(vectors, queries.sparkSession.createDataFrame(made), pool, itself=True, size=DIM * made.num_rows)
+        near = nearest(vectors, _local(queries.sparkSession, made), pool, itself=True, size=DIM * made.num_rows)
     near = near.where("similarity > 0")
     return near.select(F.col("id").cast("int").alias("qid"), F.col("neighbour").alias("id"), F.round((1 + F.col("similarity")) / 2, 7).alias("score"), "rank")
 

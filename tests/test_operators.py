@@ -461,10 +461,21 @@ def test_index_of_more_than_is_searched(spark):
     assert rows(retrieval.bm25(some, queries, 5, index)) == rows(retrieval.bm25(some, queries, 5)) != rows(retrieval.bm25(docs, queries, 5, index))
     assert rows(retrieval.dense(some, queries, 5, index)) == rows(retrieval.dense(some, queries, 5))
     assert index.lengths.count() == 5 and index.vectors.count() == 3
+    for words in ([], ["", "!"]):
+        asked = retrieval.query_frame(spark, words)
+        assert retrieval.bm25(docs, asked, 5, index).count() == 0 and retrieval.dense(docs, asked, 5, index).count() == 0
     none = retrieval.indexed(docs.limit(0))
     assert retrieval.bm25(docs.limit(0), queries, 5, none).count() == 0
 
 
+def test_many_queries_stay_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha gamma"), (3, "Beta delta")], "id long, text string")
+    queries = retrieval.query_frame(spark, ["alpha beta", "delta", "beta beta alpha", ""])
+    few = [rows(f(docs, queries, 5)) for f in (retrieval.bm25, retrieval.dense)]
+    monkeypatch.setattr(retrieval, "TOLD", 2)
+    assert [rows(f(docs, queries, 5)) for f in (retrieval.bm25, retrieval.dense)] == few and len(few[0]) == 7
+
+
 def test_run_cases_without_hits(spark):
     cases = spark.createDataFrame([(1, "alpha", "c"), (2, "beta", "c")], "qid int, query string, category string")
     hits = spark.createDataFrame([(1, 10, 0), (1, 11, 1)], "qid int, id long, rank int")
