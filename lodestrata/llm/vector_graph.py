@@ -134,21 +134,22 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of a beam for each query, in no order; -1 and -9 where it holds fewer."""
-        parts = [self._search(queries[at : at + BLOCK], beam) for at in range(0, len(queries), BLOCK)]
+        seen = np.empty(min(BLOCK, len(queries)) * self.n, np.uint8)
+        parts = [self._search(queries[at : at + BLOCK], beam, seen) for at in range(0, len(queries), BLOCK)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, beam: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b, n = len(q), self.n
-        gates = min(GATES, n)
-        first = q @ self.x[:gates].T
-        starts = min(STARTS, gates, beam)
-        at = np.argpartition(-first, starts - 1, axis=1)[:, :starts]
+        starts = min(STARTS, n, GATES, beam)
         ids = np.full((b, beam), -1, np.int32)
         sims = np.full((b, beam), -9, np.float32)
-        ids[:, :starts], sims[:, :starts] = at, np.take_along_axis(first, at, 1)
+        at, first = self._starts(q, starts)
+        ids[:, :starts], sims[:, :starts] = at, first
         done = ids < 0
-        seen = np.zeros(b * n, bool)
-        seen[(np.arange(b)[:, None] * n + at).ravel()] = True
+        # The place, from 1 on, of the edge by which a query met a node.
+        seen[: b * n] = 0
+        seen[(np.arange(b)[:, None] * n + at).ravel()] = 1
+        place = np.arange(1, EXPAND * SLACK + 1, dtype=np.uint8)
         active = np.arange(b)
         while len(active):
             open_sims = np.where(done[active], -9, sims[active])
@@ -162,37 +163,59 @@ class Graph:
             near = self.edges.take(np.where(live, ids[active[:, None], pick], 0).ravel(), axis=0)
             near[~live.ravel()] = -1
             near = near.reshape(len(active), -1)
-            key = (active.astype(np.int64) * n)[:, None] + near
-            key = key[near >= 0]
-            key = key[~seen.take(key)]
-            seen[key] = True
+            spot = np.flatnonzero(near >= 0)
+            key = ((active * n).astype(np.int32)[:, None] + near).ravel().take(spot)
+            fresh = np.flatnonzero(seen.take(key) == 0)
+            key, by = key.take(fresh), np.broadcast_to(place, near.shape).ravel().take(spot.take(fresh))
+            # Of the edges of one step to the same node, one leaves its place.
+            seen[key] = by
+            key = key.take(np.flatnonzero(seen.take(key) == by))
             row = key // n
-            sim = np.einsum("ij,ij->i", q.take(row, axis=0), self.x.take(key - row * n, axis=0))
+            sim = _dots(q, self.x, row, key - row * n)
             better = np.flatnonzero(sim > sims.min(1).take(row))
             if not len(better):
                 continue
-            # Nodes met by two edges of one step are still twice here; few are left to tell apart.
-            key, once = np.unique(key.take(better), return_index=True)
-            sim = sim.take(better.take(once))
-            row = key // n
+            key, sim, row = key.take(better), sim.take(better), row.take(better)
             node = key - row * n
             head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             count = np.diff(np.r_[head, len(row)])
             rows = row[head]
-            place = np.arange(len(row)) - np.repeat(head, count)
             width = beam + int(count.max())
             wide_sims = np.full((len(rows), width), -9, np.float32)
             # A node's number, or -2 less it once it was expanded.
             wide_ids = np.full((len(rows), width), -1, np.int32)
             old, finished = ids.take(rows, axis=0), done.take(rows, axis=0)
             wide_sims[:, :beam], wide_ids[:, :beam] = sims.take(rows, axis=0), np.where(finished, -2 - old, old)
-            spot = np.repeat(np.arange(len(rows)) * width + beam, count) + place
+            spot = np.arange(len(row)) + np.repeat(np.arange(len(rows)) * width + beam - head, count)
             wide_sims.ravel()[spot], wide_ids.ravel()[spot] = sim, node
             best = np.argpartition(-wide_sims, beam - 1, axis=1)[:, :beam] + (np.arange(len(rows)) * width)[:, None]
             kept = wide_ids.ravel().take(best)
             sims[rows], ids[rows], done[rows] = wide_sims.ravel().take(best), np.where(kept < 0, -2 - kept, kept), kept < 0
         return ids, sims
 
+    def _starts(self, q: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(gates, similarities) of the gates nearest to each query; few queries at once, so that the products stay in the cache."""
+        at, close = np.empty((len(q), starts), np.int64), np.empty((len(q), starts), np.float32)
+        gates = self.x[: min(GATES, self.n)].T
+        for i in range(0, len(q), 64):
+            first = q[i : i + 64] @ gates
+            at[i : i + 64] = np.argpartition(-first, starts - 1, axis=1)[:, :starts]
+            close[i : i + 64] = np.take_along_axis(first, at[i : i + 64], 1)
+        return at, close
+
+
+def _dots(a: np.ndarray, b: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Products of pairs (row of a, row of b); 1,024 at once are gathered in the cache."""
+    out = np.empty(len(row), np.float32)
+    x, y = np.empty((1024, a.shape[1]), np.float32), np.empty((1024, a.shape[1]), np.float32)
+    for at in range(0, len(row), 1024):
+        n = min(1024, len(row) - at)
+        # Without "clip", take() writes through a copy.
+        a.take(row[at : at + n], axis=0, out=x[:n], mode="clip")
+        b.take(node[at : at + n], axis=0, out=y[:n], mode="clip")
+        np.vecdot(x[:n], y[:n], out=out[at : at + n])
+    return out
+
 
 def unit(v: np.ndarray) -> np.ndarray:
     return knn.unit(v).astype(np.float32)
