@@ -176,6 +176,31 @@ def test_source_quality_finds_the_liar(spark):
     assert quality["good"].sensitivity > quality["liar"].sensitivity and quality["good"].specificity > quality["liar"].specificity
 
 
+def test_rounds_go_on_until_the_sources_settle(spark, monkeypatch):
+    rng = random.Random(4)
+    # Many small groups of sources of middling quality, of which hardly two agree: slow to settle.
+    claims = [(g, "f", rng.choice((f"t{g}", f"t{g}", f"u{g}", f"v{g}{s}")), f"s{s}") for g in range(300) for s in rng.sample(range(9), 3)]
+    df = spark.createDataFrame(claims, "group_id long, field string, value string, source string")
+    told = lambda frame: {tuple(r)[:-2] if len(r) > 3 else r.source: tuple(r)[-2:] for r in frame.collect()}
+    truths, sources = survivors.source_quality(df)
+    got = told(sources)
+    # One more round from where they ended, written out.
+    groups, p = {}, {(t.group_id, t.value): t.probability for t in truths.collect()}
+    for g, _, v, s in set(claims):
+        groups.setdefault(g, {}).setdefault(v, set()).add(s)
+    for s, (sensitivity, specificity) in got.items():
+        mine = [(p[g, v], s in by) for g, values in groups.items() if any(s in x for x in values.values()) for v, by in values.items()]
+        true, false = sum(q for q, _ in mine), sum(1 - q for q, _ in mine)
+        assert abs((sum(q for q, said in mine if said) + 4) / (true + 6) - sensitivity) < 1e-5
+        assert abs(1 - (sum(1 - q for q, said in mine if said) + 1) / (false + 10) - specificity) < 1e-5
+    # Rounds as joins, and so many rounds at the latest, are the same.
+    few = told(survivors.source_quality(df, 3)[1])
+    assert few != got
+    monkeypatch.setattr(survivors, "HELD", 0)
+    joined = told(survivors.source_quality(df, 3)[1])
+    assert joined.keys() == few.keys() and all(np.allclose(joined[s], few[s], atol=1e-9) for s in few)
+
+
 # Vectors.
 def clustered(n=1500, seed=0):
     rng = np.random.default_rng(seed)
